@@ -107,8 +107,8 @@ def _extend(size: int, gram: int):
     return run
 
 
-def _remove(size: int, gram: int, texts: bool):
-    """doc_id, text, wanted, repeats (window hashes)."""
+def _remove(size: int, gram: int, texts: bool, carried: tuple[str, ...]):
+    """doc_id, text, wanted, repeats (window hashes), and what is carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in chunks(batches, 1):
@@ -137,19 +137,21 @@ def _remove(size: int, gram: int, texts: bool):
                 text = b" ".join(left)
                 n_removed.append(int(gone.sum()))
                 digests.append(hashlib.sha256(text).hexdigest())
-                kept_texts.append(text.decode())
+                if texts:
+                    kept_texts.append(text.decode() if len(left) < len(own) else batch.column(1)[i].as_py().decode())
             n_words = [len(x) for x in words]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), *[pa.array(kept_texts, pa.string())] * texts],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", *["kept_text"] * texts],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), *[pa.array(kept_texts, pa.string())] * texts, *batch.columns[4:]],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", *["kept_text"] * texts, *carried],
             )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, repeats (maximal removed spans, in words), and
-    with texts also kept_text, the kept words joined by one space.
+    with texts also kept_text, the kept words joined by one space, or the text itself where nothing goes. Columns
+    named in carry follow; they must not have the names of the others.
 
     A word goes if a window of `words` consecutive words that covers it also starts in a document with a smaller
     doc_id; all windows are judged on the input. Null texts have no words; texts shorter than a window keep all. Rows
@@ -157,20 +159,20 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts
     what others lose, and lose what smaller ids hold. Windows are compared by 64-bit hashes. Other columns are
     ignored; an empty table gives an empty table.
     """
-    texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
-    seeds = texts_of.where("doc_id is not null").mapInArrow(_anchors(words, gram), "doc_id long, anchor long")
+    if clash := {"doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"} & set(carry):
+        raise ValueError(f"carried columns have names of the result's: {sorted(clash)}")
+    texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), *carry)
+    seeds = cut(texts_of.where("doc_id is not null").select("doc_id", "body").mapInArrow(_anchors(words, gram), "doc_id long, anchor long"), "seeds")
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low")
     mine = seeds.join(shared, "anchor").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("doc_id") == F.col("low"), F.col("anchor"))).alias("provided"), F.collect_set(F.when(F.col("doc_id") != F.col("low"), F.col("anchor"))).alias("wanted")
     )
-    joined = cut(
-        texts_of.join(mine, "doc_id", "left").select("doc_id", "body", "provided", "wanted"),
-        "seeded",
-    )
-    held = joined.where("wanted is not null").mapInArrow(_extend(words, gram), "doc_id long, window long, later boolean")
+    joined = cut(texts_of.join(mine, "doc_id", "left").select("doc_id", "body", "provided", "wanted", *carry), "seeded")
+    held = joined.where("wanted is not null").select("doc_id", "body", "provided", "wanted").mapInArrow(_extend(words, gram), "doc_id long, window long, later boolean")
     first = held.groupBy("window").agg(F.min("doc_id").alias("low"))
     gone = held.where("later").join(first, "window").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("gone"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>" + ", kept_text string" * texts
-    whole = joined.where("wanted is null or size(wanted) = 0").select("doc_id", "body", "wanted", F.lit(None).cast("array<long>").alias("gone"))
-    some = joined.where("size(wanted) > 0").select("doc_id", "body", "wanted").join(gone, "doc_id", "left").select("doc_id", "body", "wanted", "gone")
-    return whole.mapInArrow(_remove(words, gram, texts), schema).unionByName(some.mapInArrow(_remove(words, gram, texts), schema))
+    schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>", *["kept_text string"] * texts, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    whole = joined.where("wanted is null or size(wanted) = 0").select("doc_id", "body", "wanted", F.lit(None).cast("array<long>").alias("gone"), *carry)
+    some = joined.where("size(wanted) > 0").join(gone, "doc_id", "left").select("doc_id", "body", "wanted", "gone", *carry)
+    remove = _remove(words, gram, texts, tuple(carry))
+    return whole.mapInArrow(remove, schema).unionByName(some.mapInArrow(remove, schema))

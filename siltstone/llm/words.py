@@ -173,11 +173,20 @@ def unpack_values(at: list[bytes], body: list[bytes]) -> list[bytes]:
     return out
 
 
-def with_values(table: DataFrame, values: DataFrame, function: Callable[[pa.Table, list[bytes]], Iterator], schema: str) -> DataFrame:
-    """function(documents of a block, values by position) -> pa.Table of schema."""
-
-    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
-        return function(docs, unpack_values(own.column("at").to_pylist(), own.column("body").to_pylist()))
-
-    left = table.where("kind = 0").select("block", "doc_id", "flag", "body", "n")
+def with_values(table: DataFrame, values: DataFrame, function: Callable[..., pa.Table], schema: str, words: bool = False) -> DataFrame:
+    """function(documents of a block, values by position) -> pa.Table of schema; with words, its words by position
+    come third. Only the values are shuffled."""
+
+    def run(own: pa.Table, joined: pa.Table) -> pa.Table:
+        found = unpack_values(joined.column("at").to_pylist(), joined.column("body").to_pylist())
+        if not words:
+            return function(own, found)
+        kind = own.column("kind").to_numpy()
+        listed = own.filter(pa.array(kind == 1))
+        by_place: list[bytes] = [b""] * listed.num_rows
+        for i, w in zip(listed.column("at").to_pylist(), listed.column("word").to_pylist(), strict=True):
+            by_place[i] = w
+        return function(own.filter(pa.array(kind == 0)), found, by_place)
+
+    left = table.where("kind in (0, 1)" if words else "kind = 0").select("block", "doc_id", "flag", "body", "n", *["kind", "at", "word"] * words)
     return left.groupBy("block").cogroup(values.select("block", "at", "body").groupBy("block")).applyInArrow(run, schema)
