@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import retrieval
+from .common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (retrieval.REGISTRY,)
+QUERIES: dict[str, Query] = {k: v for part in _PARTS for k, v in part.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.sql.items()}
