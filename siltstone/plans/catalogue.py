@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import analytics, retrieval
 from .common import Query
 
-_PARTS = (retrieval.REGISTRY,)
+_PARTS = (retrieval.REGISTRY, analytics.REGISTRY)
 QUERIES: dict[str, Query] = {k: v for part in _PARTS for k, v in part.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.sql.items()}
