@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that the lexical search ignores (English and Vietnamese).
 STOPWORDS = ["a", "an", "and", "are", "các", "câu", "cho", "của", "from", "gì", "is", "là", "nội", "of", "the", "to", "trong", "từ", "về", "what", "what's"]
@@ -42,12 +43,12 @@ def query_terms(query: str) -> list[str]:
     return [w for w in words if w not in STOPWORDS and (len(w) > 1 or w.isdigit())]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd_unmarked(text: pd.Series) -> pd.Series:
     def plain(x: str | None) -> str | None:
         if x is None:

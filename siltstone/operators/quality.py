@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import control_ratio, readable_ratio, strip, term_set
 
@@ -59,7 +60,7 @@ def ocr_adds_text(native: Column, recognised: Column) -> Column:
     return (F.size(F.array_except(term_set(recognised), term_set(native))) >= 5) | (F.length(recognised) > F.length(native) * 1.1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(first: pd.Series, second: pd.Series) -> pd.Series:
     """SequenceMatcher ratio of the compacted texts; no expression gives it."""
 
