@@ -44,8 +44,8 @@ def header_ranges(text: Column) -> Column:
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Inclusive ends."""
-    return F.greatest(a_start, b_start) <= F.least(a_end, b_end)
+    """Inclusive ends; a range with a null end meets none (greatest and least would skip the null)."""
+    return F.coalesce((a_start <= a_end) & (a_start <= b_end) & (b_start <= a_end) & (b_start <= b_end), F.lit(False))
 
 
 def overlap_size(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

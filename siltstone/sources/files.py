@@ -41,7 +41,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def text_documents(files: DataFrame) -> DataFrame:
     """Elements of the text files: UTF-8 without its mark, normalised, a paragraph each."""
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"^\x{FEFF}", "")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\x{FEFF}", "")
     return files.where("route = 'text'").select("document_id", "source_file", paragraphs(text).alias("elements"))
 
 
