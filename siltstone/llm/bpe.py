@@ -89,11 +89,14 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.lit(True).alias("flag"))
     table = block_table(source, bytes.split)
-    values = word_values(table, lambda word, n: encoder(path).word(word))
+    # ids that fit are halved for the shuffle
+    width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
+    values = word_values(table, lambda word, n: np.frombuffer(encoder(path).word(word), "<u4").astype(width).tobytes())
 
     def finish(own: pa.Table, ids: list[bytes]) -> pa.Table:
         table = pieces(path)
-        decoded = [b" ".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+        decoded = [b" ".join(map(table.__getitem__, np.frombuffer(x, width).tolist())) for x in ids]
+        ids = [np.frombuffer(x, width).astype("<u4").tobytes() for x in ids]
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if texts else {})
         for body in own.column("body").to_pylist():
             at = unpack(body).tolist()

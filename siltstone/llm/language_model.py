@@ -25,7 +25,7 @@ from .common import cut, mix, utf8
 from .words import block_table, pack, unpack, with_values, word_values
 
 #: No word contains white space, so this is none.
-END = b"\n"
+END = b" "
 MU = 100.0
 BITS_AN_ENTRY = 10
 PROBES = 6

@@ -2,8 +2,8 @@
 
 A block is what one task reads, up to BLOCK_WORDS words. Its distinct words are listed once; its documents become
 positions in that list. Values that are global to a word (its token ids, its count) are worked out once for each
-distinct word, which gets one row from each block that has it, however often it occurs there, and are joined back to
-the block by position. The documents lie in a table bucketed by block, so they are never shuffled.
+distinct word and joined back to the blocks by position. What is shuffled for that is each block's distinct words,
+packed by hash bucket, and the values, packed alike; the documents lie in a table bucketed by block and never move.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,11 @@ from .common import shared_dir
 BLOCK_WORDS = 6_000_000
 #: Distinct words of a block; with BLOCK_WORDS they bound a worker's memory.
 BLOCK_DISTINCT = 700_000
-#: Rows of word values that a task packs by block at a time.
-PACKED_ROWS = 200_000
-SCHEMA = "block long, kind int, doc_id long, flag boolean, body binary, word binary, at int, n long"
+#: Buckets of words for each shuffle partition: a bucket is what a task holds at a time.
+BUCKETS_A_PARTITION = 8
+SCHEMA = "block long, kind int, doc_id long, flag boolean, body binary, places binary, counts binary, at int, n long"
+#: No word contains it, so it stands between words.
+BETWEEN = b"\n"
 
 
 class Numbers(dict):
@@ -44,11 +47,20 @@ def unpack(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def block_rows(split: Callable[[bytes], list[bytes]], flagged: bool, extra: Callable | None = None) -> Callable:
-    """mapInArrow from doc_id, text, flag to rows of SCHEMA: kind 0 a document, kind 1 a word, kind 2 what extra gives.
+def pack_rising(x: np.ndarray) -> bytes:
+    return pack(np.diff(x.astype(np.int64), prepend=0))
 
-    n of a word counts its occurrences in documents whose flag is set, if flagged, and in all else. A number is given
-    to each word by falling frequency in the block, so that most positions are small.
+
+def unpack_rising(body: bytes) -> np.ndarray:
+    return np.cumsum(unpack(body).astype(np.int64))
+
+
+def block_rows(split: Callable[[bytes], list[bytes]], flagged: bool, buckets: int, extra: Callable | None = None) -> Callable:
+    """mapInArrow from doc_id, text, flag to rows of SCHEMA: kind 0 a document, kind 1 the words of a bucket, kind 2
+    what extra gives.
+
+    Words are numbered by falling frequency in the block, then in order, so that most positions are small and
+    neighbours alike. Counts are of occurrences in documents whose flag is set, if flagged, and in all else.
     """
 
     def flush(block: int, docs: list, words: Numbers) -> Iterator[pa.RecordBatch]:
@@ -58,21 +70,30 @@ def block_rows(split: Callable[[bytes], list[bytes]], flagged: bool, extra: Call
         lengths = np.array([len(x[2]) for x in docs], np.int64)
         raw = np.concatenate([x[2] for x in docs]) if lengths.sum() else np.zeros(0, np.uint32)
         marks = np.repeat(np.array([bool(x[1]) for x in docs]), lengths)
-        order = np.argsort(-np.bincount(raw, minlength=len(listed)), kind="stable")
+        often = np.bincount(raw, minlength=len(listed))
+        order = np.array(sorted(range(len(listed)), key=lambda i, o=(-often).tolist(): (o[i], listed[i])), np.int64)
         place = np.empty(len(listed), np.uint32)
         place[order] = np.arange(len(listed), dtype=np.uint32)
         raw = place[raw]
-        counts = np.bincount(raw[marks] if flagged else raw, minlength=len(listed))
         ends = np.cumsum(lengths)
         for at in range(0, len(docs), 2000):
             some = docs[at : at + 2000]
             yield rows(block, 0, doc_id=[x[0] for x in some], flag=[x[1] for x in some], body=[pack(raw[e - n : e]) for e, n in zip(ends[at : at + 2000].tolist(), lengths[at : at + 2000].tolist(), strict=True)], n=lengths[at : at + 2000])
-        for at in range(0, len(listed), 20000):
-            some = order[at : at + 20000]
-            yield rows(block, 1, word=[listed[i] for i in some.tolist()], at=np.arange(at, at + len(some), dtype=np.int32), n=counts[at : at + len(some)])
+        listed = [listed[i] for i in order.tolist()]
+        counts = np.bincount(raw[marks], minlength=len(listed)) if flagged else None
+        bucket = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed)) % np.uint64(buckets)
+        by_bucket = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1).astype(np.uint64))
+        full = np.nonzero(bounds[1:] > bounds[:-1])[0]
+        for at in range(0, len(full), 2000):
+            some = [by_bucket[bounds[b] : bounds[b + 1]] for b in full[at : at + 2000]]
+            given = {"at": full[at : at + 2000], "body": [BETWEEN.join(map(listed.__getitem__, x.tolist())) for x in some], "places": [pack_rising(x) for x in some], "n": [len(x) for x in some]}
+            yield rows(block, 1, **given, **({"counts": [pack(counts[x]) for x in some]} if flagged else {}))
         if extra:
-            for key, body, n in extra(raw, marks, ends, [listed[i] for i in order.tolist()]):
-                yield rows(block, 2, at=[key], body=[body], n=[n])
+            found = list(extra(raw, marks, ends, listed))
+            for at in range(0, len(found), 2000):
+                some = found[at : at + 2000]
+                yield rows(block, 2, at=[x[0] for x in some], body=[x[1] for x in some], n=[x[2] for x in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, docs, words, total = TaskContext.get().partitionId() << 24, [], Numbers(), 0
@@ -91,7 +112,7 @@ def block_rows(split: Callable[[bytes], list[bytes]], flagged: bool, extra: Call
 
 
 def rows(block: int, kind: int, **given) -> pa.RecordBatch:
-    types = {"doc_id": pa.int64(), "flag": pa.bool_(), "body": pa.binary(), "word": pa.binary(), "at": pa.int32(), "n": pa.int64()}
+    types = {"doc_id": pa.int64(), "flag": pa.bool_(), "body": pa.binary(), "places": pa.binary(), "counts": pa.binary(), "at": pa.int32(), "n": pa.int64()}
     size = len(next(iter(given.values())))
     columns = [pa.array(np.full(size, block, np.int64)), pa.array(np.full(size, kind, np.int32))]
     columns += [pa.array(given[k], t) if k in given else pa.nulls(size, t) for k, t in types.items()]
@@ -103,72 +124,68 @@ def block_table(docs: DataFrame, split: Callable[[bytes], list[bytes]], flagged:
     spark = docs.sparkSession
     name = f"siltstone_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select("doc_id", "text", "flag").mapInArrow(block_rows(split, flagged, extra), SCHEMA)
-    blocks.write.format("parquet").option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(buckets, "block").saveAsTable(name)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = docs.select("doc_id", "text", "flag").mapInArrow(block_rows(split, flagged, partitions * BUCKETS_A_PARTITION, extra), SCHEMA)
+    blocks.write.format("parquet").option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(partitions, "block").saveAsTable(name)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.table(name)
 
 
-def word_values(table: DataFrame, value: Callable[[bytes, int], bytes], totals: str = "n_words long") -> DataFrame:
-    """value(word, n) -> bytes is called once for each distinct word, n being the sum over blocks. Returns
-    block, at (binary: positions), body (binary: lengths, then the values one after the other), fresh (words that
-    this row is the first to count, with n over 0). One row for each block from each run of PACKED_ROWS rows."""
+def word_values(table: DataFrame, value: Callable[[bytes, int], bytes]) -> DataFrame:
+    """value(word, n) -> bytes is called once for each distinct word, n being the sum of its counts (0 without any).
+    Returns block, places, body (lengths, then the values one after the other), fresh: on one row of each bucket the
+    number of its words with n over 0."""
+
+    def close(held: list[tuple]) -> pa.RecordBatch:
+        lists = [x[2].split(BETWEEN) for x in held]
+        totals: dict[bytes, int] = {}
+        for x, words in zip(held, lists, strict=True):
+            if x[4]:
+                for w, c in zip(words, unpack(x[4]).tolist(), strict=True):
+                    totals[w] = totals.get(w, 0) + c
+        known: dict[bytes, bytes] = {}
+        bodies = []
+        for words in lists:
+            for w in words:
+                if w not in known:
+                    known[w] = value(w, totals.get(w, 0))
+            own = list(map(known.__getitem__, words))
+            bodies.append(pack(np.fromiter(map(len, own), np.uint32, len(own))) + b"".join(own))
+        fresh = [sum(c > 0 for c in totals.values())] + [0] * (len(held) - 1)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[3] for x in held], pa.binary()), pa.array(bodies, pa.binary()), pa.array(fresh, pa.int64())], ["block", "places", "body", "fresh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        kept: list[tuple] = []
-        fresh = 0
-
-        def close() -> None:
-            nonlocal fresh
-            if held:
-                n = sum(x[3] for x in held)
-                fresh += n > 0
-                own = value(held[0][0], n)
-                kept.extend((x[1], x[2], own) for x in held)
-                held.clear()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal fresh
-            blocks: dict[int, list] = {}
-            for block, at, own in kept:
-                blocks.setdefault(block, []).append((at, own))
-            kept.clear()
-            out = [(b, pack(np.array([x[0] for x in v], np.uint32)), pack(np.array([len(x[1]) for x in v], np.uint32)) + b"".join(x[1] for x in v)) for b, v in blocks.items()]
-            counts = [fresh] + [0] * (len(out) - 1)
-            if out:
-                fresh = 0
-                for i, x in enumerate(out):
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0]]), pa.array([x[1]], pa.binary()), pa.array([x[2]], pa.binary()), pa.array([counts[i]], pa.int64())], ["block", "at", "body", "fresh"])
-
         for batch in batches:
-            for x in zip(*(batch.column(i).to_pylist() for i in (2, 0, 1, 3)), strict=True):
-                if held and held[0][0] != x[0]:
-                    close()
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][1] != x[1]:
+                    yield close(held)
+                    held = []
                 held.append(x)
-            if len(kept) >= PACKED_ROWS:
-                yield from flush()
-        close()
-        yield from flush()
+        if held:
+            yield close(held)
 
-    words = table.where("kind = 1").select("block", "at", "word", "n")
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, at binary, body binary, fresh long")
+    words = table.where("kind = 1").select("block", "at", "body", "places", "counts")
+    return words.repartition("at").sortWithinPartitions("at").mapInArrow(run, "block long, places binary, body binary, fresh long")
 
 
-def unpack_values(at: list[bytes], body: list[bytes]) -> list[bytes]:
+def unpack_values(places: list[bytes], bodies: list[bytes]) -> list[bytes]:
     """The values of a block by position."""
-    places, values = [], []
-    for a, b in zip(at, body, strict=True):
-        where, begin = unpack(a), len(a)
+    where, values = [], []
+    for a, b in zip(places, bodies, strict=True):
+        begin = len(a)
         ends = np.cumsum(unpack(b[:begin]).astype(np.int64)) + begin
-        places.append(where)
+        where.append(unpack_rising(a))
         for e in ends.tolist():
             values.append(b[begin:e])
             begin = e
+    return _placed(where, values)
+
+
+def _placed(where: list[np.ndarray], values: list[bytes]) -> list[bytes]:
     out = [b""] * len(values)
-    for i, v in zip(np.concatenate(places).tolist() if places else [], values, strict=True):
+    for i, v in zip(np.concatenate(where).tolist() if where else [], values, strict=True):
         out[i] = v
     return out
 
@@ -178,15 +195,13 @@ def with_values(table: DataFrame, values: DataFrame, function: Callable[..., pa.
     come third. Only the values are shuffled."""
 
     def run(own: pa.Table, joined: pa.Table) -> pa.Table:
-        found = unpack_values(joined.column("at").to_pylist(), joined.column("body").to_pylist())
+        found = unpack_values(joined.column("places").to_pylist(), joined.column("body").to_pylist())
         if not words:
             return function(own, found)
         kind = own.column("kind").to_numpy()
         listed = own.filter(pa.array(kind == 1))
-        by_place: list[bytes] = [b""] * listed.num_rows
-        for i, w in zip(listed.column("at").to_pylist(), listed.column("word").to_pylist(), strict=True):
-            by_place[i] = w
+        by_place = _placed([unpack_rising(x) for x in listed.column("places").to_pylist()], [w for x in listed.column("body").to_pylist() for w in x.split(BETWEEN)])
         return function(own.filter(pa.array(kind == 0)), found, by_place)
 
-    left = table.where("kind in (0, 1)" if words else "kind = 0").select("block", "doc_id", "flag", "body", "n", *["kind", "at", "word"] * words)
-    return left.groupBy("block").cogroup(values.select("block", "at", "body").groupBy("block")).applyInArrow(run, schema)
+    left = table.where("kind in (0, 1)" if words else "kind = 0").select("block", "doc_id", "flag", "body", "n", *["kind", "places"] * words)
+    return left.groupBy("block").cogroup(values.select("block", "places", "body").groupBy("block")).applyInArrow(run, schema)
