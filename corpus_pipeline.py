@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut
-from siltstone.llm.exact_dedup import exact_dedup
+from siltstone.llm.exact_dedup import exact_dedup, normalised
 from siltstone.llm.langid import predict, train
 from siltstone.llm.packing import pack
 from siltstone.llm.simhash import simhash_near_dedup
@@ -28,10 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id stays, once if its row is repeated."""
-    kept = exact_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    left = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows"))
+    left = docs.select(*COLUMNS, normalised("text").alias("__n")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2("__n", 256) == F.col("__sha")))
     once = left.where("__rows = 1").select(*COLUMNS)
-    return once.unionByName(left.where("__rows > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(left.where("__rows > 1").dropDuplicates(["__id", "__sha"]).select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ rows costs one row for each map task; handing the counts back is an equi-join th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -20,6 +20,11 @@ GROWTH = 4
 LARGEST_BLOCK = 1 << 22
 
 
+def normalised(text_col: str = "text") -> Column:
+    """UTF-8 bytes of the text with one space for each run of ASCII white space; null as empty."""
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").cast("binary")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -28,8 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     larger than any other: it is keep_id only where all members of the group have none, and then all are kept. Other
     columns are ignored. An empty table gives an empty table.
     """
-    body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").cast("binary")
-    active = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("rest")).select(
+    active = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("rest")).select(
         "doc_id", F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("path"), "rest"
     )
     width, finished = FIRST_BLOCK, []
