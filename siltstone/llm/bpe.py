@@ -28,6 +28,12 @@ PIECES_KEPT = 600_000
 LATIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes: printable ones for themselves, the others from U+0100 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 0x100 + i for i, b in enumerate(x for x in range(0x100) if x not in printable)}
+
+
 class WordEncoder:
     """Ids of single words (bytes without white space), by a tokenizers file whose pre-tokenizer drops white space."""
 
@@ -38,13 +44,16 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         split = next((x for x in said["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"), None)
-        if not split or split["behavior"] != "Removed" or not split["invert"] or said["post_processor"] or said["decoder"]:
+        byte_level = any(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in said["pre_tokenizer"].get("pretokenizers", []))
+        if not byte_level or not split or split["behavior"] != "Removed" or not split["invert"] or said["post_processor"] or said["decoder"]:
             raise ValueError(f"{path}: not a tokenizer that drops white space and decodes to joined pieces")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.split = regex.compile(split["pattern"]["Regex"])
         self.added = [x["content"] for x in said["added_tokens"]]
+        self.model = self.tokenizer.model
+        self.byte_level = str.maketrans(_byte_letters())
         self.pieces: dict[str, bytes] = {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -57,15 +66,20 @@ class WordEncoder:
         # normalisation changes nothing but the case of these letters, so their pieces can be remembered one by one
         if not LATIN.fullmatch(text) or any(x in text for x in self.added):
             return self.plain(text)
-        out = []
-        for piece in self.split.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= PIECES_KEPT:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self.plain(piece)
-            out.append(ids)
-        return b"".join(out)
+        low = text.lower()
+        if text.isalpha():
+            return self.piece(low)
+        return b"".join(map(self.piece, self.split.findall(low)))
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves whole, by the merges alone."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= PIECES_KEPT:
+                self.pieces.clear()
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_level)
+            ids = self.pieces[piece] = np.array([x.id for x in self.model.tokenize(letters)], "<u4").tobytes()
+        return ids
 
 
 @lru_cache(2)
