@@ -50,7 +50,7 @@ def table_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cell_value(_market(spark, sf_dir), _CELL.format(label=_label(spark, sf_dir))).select("table_id", "label", "column", "value", "score")
 
 
-@add(f"""WITH {_MARKET} SELECT table_id, 17.0::DOUBLE AS structured_score FROM c WHERE col = 'Order Count 1997' GROUP BY table_id HAVING bool_or(row_idx = 3)""")
+@add(f"""WITH {_MARKET} SELECT table_id, 17.0::DOUBLE AS structured_score FROM c GROUP BY table_id HAVING bool_or(row_idx = 3) AND bool_or(col = 'Order Count 1997')""")
 def table_cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cell_lookup_score(_market(spark, sf_dir), _CELL.format(label=_label(spark, sf_dir)))
 
