@@ -181,7 +181,8 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
         body = shard_filter(*merged(own.column("body").to_pylist(), own.column("n").to_pylist()), bits)
         return pa.table({"at": own.column("at").slice(0, 1), "filter": pa.array([body], pa.binary())})
 
-    built = {r["at"]: bytes(r["filter"]) for r in parts.groupBy("at").applyInArrow(build, "at int, filter binary").toLocalIterator()}
+    # written first, so that shards are built side by side; they then come to the driver a file at a time
+    built = {r["at"]: bytes(r["filter"]) for r in cut(parts.groupBy("at").applyInArrow(build, "at int, filter binary"), "filter").toLocalIterator()}
     shared = spark.sparkContext.broadcast(PairFilter(shards, bits, built))  # at most MOST_BYTES
     del built
 
