@@ -171,7 +171,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([rest_key, batch.column(0).to_numpy()])
         fp = np.concatenate([rest_fp, batch.column(1).to_numpy()])
         if len(key):
-            whole = int(np.searchsorted(key, key[-1])) if (key[1:] >= key[:-1]).all() else len(key) - int(np.argmax((key != key[-1])[::-1])) if (key != key[-1]).any() else 0
+            whole = int(np.searchsorted(key, key[-1]))
             if whole:
                 yield out(key[:whole], fp[:whole])
             rest_key, rest_fp = key[whole:].copy(), fp[whole:].copy()
