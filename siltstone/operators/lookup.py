@@ -13,6 +13,8 @@ from ..functions.ranges import overlap_size, overlaps
 #: Unit types that an overview shows first.
 OUTLINE_UNITS = ["document_outline", "passage_summary", "writing_prompt", "writing_table", "writing_task", "sample_answer"]
 ENOUGH_TOKENS = 80
+#: Fixed value: the type of a document that is one writing task with a figure.
+WRITING_DOCUMENT = "ielts_writing_task_1"
 NO_PAGE = 999
 
 
@@ -80,7 +82,7 @@ def visual_lookup(chunks: DataFrame, ranges: list[tuple[int, int]], visual: str,
     writing = F.col("unit_type").isin("writing_table", "table_row") & F.lit(visual == "table")
     rows = in_scope(chunks, document_ids).where(is_visual | writing)
     if prefer_writing:
-        rows = rows.where(writing | (F.col("document_type") == "ielts_writing_task_1"))
+        rows = rows.where(writing | (F.col("document_type") == WRITING_DOCUMENT))
     score = F.when(is_visual, 40.0).otherwise(20.0) + F.when(F.col("has_visual"), 20.0).otherwise(0.0) + F.when(writing, 20.0).otherwise(0.0)
     if ranges:
         met = F.lit(False)

@@ -202,14 +202,14 @@ def scope_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolve_scope(scored, key="p_partkey")
 
 
-_FILES = [("Cambridge IELTS 18 READING TEST 2.pdf", "Official IELTS Reading Test 2", "application/pdf"), ("Cambridge IELTS 18 READING TEST 4.pdf", "Practice tasks", "application/pdf"), ("scan.png", "Age Groups and Cinema Attendance", "image/png")]
+_FILES = [("Cambridge Exam 18 READING TEST 2.pdf", "Official Exam Reading Test 2", "application/pdf"), ("Cambridge Exam 18 READING TEST 4.pdf", "Practice tasks", "application/pdf"), ("scan.png", "Age Groups and Cinema Attendance", "image/png")]
 
 
-@add("SELECT * FROM (VALUES ('Summarize Cambridge IELTS 18 Reading Test 2', 0, 240.0::DOUBLE), ('Summarize Cambridge IELTS 18 Reading Test 2', 1, 160.0::DOUBLE + 5 + 5 / 6.0::DOUBLE + 100), ('Summarize Cambridge IELTS 18 Reading Test 2', 2, 0.0), ('what does the image say', 0, 0.0), ('what does the image say', 1, 0.0), ('what does the image say', 2, 180.0)) t(message, file, score)")
+@add("SELECT * FROM (VALUES ('Summarize Cambridge Exam 18 Reading Test 2', 0, 240.0::DOUBLE), ('Summarize Cambridge Exam 18 Reading Test 2', 1, 160.0::DOUBLE + 5 + 5 / 6.0::DOUBLE + 100), ('Summarize Cambridge Exam 18 Reading Test 2', 2, 0.0), ('what does the image say', 0, 0.0), ('what does the image say', 1, 0.0), ('what does the image say', 2, 180.0)) t(message, file, score)")
 def filename_modality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.createDataFrame([(i, a, [c]) for i, (a, _, c) in enumerate(_FILES)], "file int, source_file string, mime_types array<string>")
     out = None
-    for message in ("Summarize Cambridge IELTS 18 Reading Test 2", "what does the image say"):
+    for message in ("Summarize Cambridge Exam 18 Reading Test 2", "what does the image say"):
         score = F.col("filename_score") + catalog.modality_score(message, F.col("mime_types"), F.col("source_file"))
         one = catalog.filename_scores(message, files).select(F.lit(message).alias("message"), "file", score.alias("score"))
         out = one if out is None else out.unionByName(one)
