@@ -15,15 +15,13 @@ from siltstone.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: A document of which the best language has a smaller share than this is in none of them.
-LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter and those in no known language go."""
+    """Documents without a letter go; an unsure label is no reason to lose a document."""
     learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     said = predict(docs.select(*COLUMNS), train(learned), keep=COLUMNS)
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return said.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
