@@ -2,8 +2,9 @@
 
 Counts of word pairs are quantised to q = 1 + floor(log2 count) and kept in a Bloom filter as the q elements
 (pair, 1) .. (pair, q); probing (pair, 1), (pair, 2) .. until one is missing gives q back, never too low. The filter is
-made of shards by the pair's hash; each is built where its counts are summed, and all are broadcast together. Its size
-follows the number of distinct pairs up to MOST_BYTES; beyond that the false positives rise, not the size.
+made of shards by the pair's hash; each is built where its counts are summed. Its size follows the number of distinct
+pairs. Up to MOST_BYTES all shards are broadcast together; beyond that none leaves its task: the blocks send each shard
+the distinct pairs they have in it and get their levels back, so the scores are those that the broadcast would give.
 Counts of single words are exact: each distinct word is counted once and the counts are joined back to the documents'
 blocks (words.py), whatever the size of the vocabulary.
 
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, utf8
-from .words import block_table, pack, unpack, with_values, word_values
+from .words import block_table, pack, placed_words, unpack, with_values, word_values
 
 #: No word contains white space, so this is none.
 END = b" "
 MU = 100.0
 BITS_AN_ENTRY = 10
 PROBES = 6
+#: Filters up to this size are broadcast, larger ones probed shard by shard.
 MOST_BYTES = 256 << 20
 #: Shards whose pairs are counted to size the filter: one in so many.
 SIZED_BY = 16
@@ -68,21 +70,38 @@ def unpack64(body: bytes) -> np.ndarray:
 
 def pair_counts(shards: int):
     """For block_rows: the block's distinct training pairs with their counts, a row for each shard."""
-    shift = np.uint64(64 - (shards.bit_length() - 1))
 
     def extra(positions: np.ndarray, marks: np.ndarray, ends: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, bytes, int]]:
         hashes = _hash_of(words)
         prior = before(positions, ends, words.index(END))
         pairs, counts = np.unique(pair_hashes(hashes[prior[marks]], hashes[positions[marks]]), return_counts=True)
-        bounds = np.searchsorted(pairs >> shift, np.arange(shards + 1).astype(np.uint64))
-        for s in range(shards):
-            a, b = bounds[s], bounds[s + 1]
-            if a < b:
-                yield s, pack64(pairs[a:b]) + pack(counts[a:b]), int(b - a)
+        for s, a, b in by_shard(pairs, shards):
+            yield s, pack64(pairs[a:b]) + pack(counts[a:b]), b - a
 
     return extra
 
 
+def by_shard(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """Of ascending pairs: each shard that has some, with where they begin and end."""
+    shift = np.uint64(64 - (shards.bit_length() - 1))
+    bounds = np.searchsorted(pairs >> shift, np.arange(shards + 1).astype(np.uint64)).tolist()
+    return ((s, a, b) for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b)
+
+
+def block_pairs(own: pa.Table) -> np.ndarray:
+    """The distinct pairs of a block's documents, in training or not, ascending."""
+    kind = own.column("kind").to_numpy()
+    listed = own.filter(pa.array(kind == 1))
+    words = placed_words(listed)
+    bodies = [unpack(x) for x in own.filter(pa.array(kind == 0)).column("body").to_pylist()]
+    return distinct_pairs(np.concatenate(bodies), np.cumsum([len(x) for x in bodies]), words)
+
+
+def distinct_pairs(positions: np.ndarray, ends: np.ndarray, words: list[bytes]) -> np.ndarray:
+    hashes = _hash_of(words)
+    return np.unique(pair_hashes(hashes[before(positions, ends, words.index(END))], hashes[positions]))
+
+
 def merged(bodies: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of one shard and their counts in all blocks."""
     pairs = np.concatenate([unpack64(x[: 8 * n]) for x, n in zip(bodies, sizes, strict=True)])
@@ -121,19 +140,21 @@ def shard_filter(pairs: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
 
 
 class PairFilter:
-    def __init__(self, shards: int, bits: int, bodies: dict[int, bytes]) -> None:
-        self.shards, self.bits = shards, bits
+    """top: no level is above it."""
+
+    def __init__(self, shards: int, bits: int, bodies: dict[int, bytes], top: int = 63) -> None:
+        self.shards, self.bits, self.top = shards, bits, top
         self.body = np.zeros((shards, bits // 8), np.uint8)
         for s, x in bodies.items():
             self.body[s] = np.frombuffer(x, np.uint8)
 
     def counts(self, pairs: np.ndarray) -> np.ndarray:
         """The lower edge of each pair's quantised count; 0 for none."""
-        shard = (pairs >> np.uint64(64 - (self.shards.bit_length() - 1))).astype(np.int64)
+        shard = (pairs >> np.uint64(64 - (self.shards.bit_length() - 1))).astype(np.int64) if self.shards > 1 else np.zeros(len(pairs), np.int64)
         out = np.zeros(len(pairs), np.int64)
         going = np.arange(len(pairs))
         level = 1
-        while len(going):
+        while len(going) and level <= self.top:
             left = going
             for probe in range(PROBES):
                 # probes are few for most, so each is worked out only for those still in
@@ -147,6 +168,40 @@ class PairFilter:
         return out
 
 
+def answers(parts: DataFrame, table: DataFrame, shards: int, bits: int, top: int) -> DataFrame:
+    """block, at, body: a byte for each distinct pair that the block has in shard `at`, in order: the pair's level.
+
+    A task builds the filter of one shard at a time and answers the blocks' pairs as they stream by.
+    """
+
+    def ask(own: pa.Table) -> pa.Table:
+        pairs = block_pairs(own)
+        found = [(s, pack64(pairs[a:b])) for s, a, b in by_shard(pairs, shards)]
+        return pa.table({"block": pa.array([own.column("block")[0].as_py()] * len(found), pa.int64()), "at": pa.array([x[0] for x in found], pa.int32()), "body": pa.array([x[1] for x in found], pa.binary()), "n": pa.array([len(x[1]) // 8 for x in found], pa.int64())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, bodies, sizes, probed = None, [], [], None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, at, body, n = (batch.column(k)[row].as_py() for k in range(4))
+                if at != shard:
+                    shard, bodies, sizes, probed = at, [], [], None
+                if block is None:
+                    bodies.append(body)
+                    sizes.append(n)
+                    continue
+                if probed is None:
+                    probed = PairFilter(1, bits, {0: shard_filter(*merged(bodies, sizes), bits)} if bodies else {}, top)
+                    bodies, sizes = [], []
+                found = probed.counts(unpack64(body))
+                said = np.where(found > 0, levels(found), 0).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int32()), pa.array([said], pa.binary())], ["block", "at", "body"])
+
+    asked = table.where("kind in (0, 1)").select("block", "kind", "places", "body").groupBy("block").applyInArrow(ask, "block long, at int, body binary, n long")
+    rows = parts.select(F.lit(None).cast("long").alias("block"), "at", "body", "n").unionByName(asked)
+    return rows.repartition("at").sortWithinPartitions("at", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, at int, body binary")
+
+
 def _number(value: bytes) -> int:
     return int.from_bytes(value, "little")
 
@@ -174,26 +229,40 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
 
     some = max(1, shards // SIZED_BY)
     entries = (parts.where(F.col("at") < some).groupBy("at").applyInArrow(count, "entries long").agg(F.sum("entries")).first()[0] or 0) * shards // some
-    size = min(MOST_BYTES, max(1 << 16, entries * BITS_AN_ENTRY // 8))
+    size = max(1 << 16, entries * BITS_AN_ENTRY // 8)
+    top = int(levels(np.array([total]))[0])  # no pair occurs more often than all tokens
     bits = -(-size * 8 // shards // 8) * 8
 
     def build(own: pa.Table) -> pa.Table:
         body = shard_filter(*merged(own.column("body").to_pylist(), own.column("n").to_pylist()), bits)
         return pa.table({"at": own.column("at").slice(0, 1), "filter": pa.array([body], pa.binary())})
 
-    # written first, so that shards are built side by side; they then come to the driver a file at a time
-    built = {r["at"]: bytes(r["filter"]) for r in cut(parts.groupBy("at").applyInArrow(build, "at int, filter binary"), "filter").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(PairFilter(shards, bits, built))  # at most MOST_BYTES
-    del built
+    shared = asked = None
+    if size <= MOST_BYTES:
+        # written first, so that shards are built side by side; they then come to the driver a file at a time
+        built = {r["at"]: bytes(r["filter"]) for r in cut(parts.groupBy("at").applyInArrow(build, "at int, filter binary"), "filter").toLocalIterator()}
+        shared = spark.sparkContext.broadcast(PairFilter(shards, bits, built, top))  # at most MOST_BYTES
+        del built
+    else:
+        asked = answers(parts, table, shards, bits, top)
 
-    def finish(own: pa.Table, known: list[bytes], words: list[bytes]) -> pa.Table:
-        pair_filter: PairFilter = shared.value
+    def finish(own: pa.Table, known: list[bytes], words: list[bytes], said: pa.Table | None = None) -> pa.Table:
         counts = np.fromiter(map(_number, known), np.int64, len(known))
         hashes = _hash_of(words)
         single = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         logs = np.log10(single)
         end = words.index(END)
         bodies = [unpack(x).astype(np.int64) for x in own.column("body").to_pylist()]
+        if said is None:
+            count_of = shared.value.counts
+        else:
+            asked_pairs = distinct_pairs(np.concatenate(bodies), np.cumsum([len(x) for x in bodies]), words)
+            told = np.frombuffer(b"".join(said.sort_by("at").column("body").to_pylist()), np.uint8)
+
+            def count_of(pairs: np.ndarray) -> np.ndarray:
+                level = told[np.searchsorted(asked_pairs, pairs)].astype(np.int64)
+                return np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
+
         base, scores, n_known = [], [], []
         at = 0
         while at < len(bodies):
@@ -207,7 +276,7 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
             prior = before(here, ends, end)
             pairs = np.zeros(len(here), np.int64)
             possible = np.nonzero((counts[here] > 0) & (counts[prior] > 0))[0]
-            found = pair_filter.counts(pair_hashes(hashes[prior[possible]], hashes[here[possible]]))
+            found = count_of(pair_hashes(hashes[prior[possible]], hashes[here[possible]]))
             pairs[possible] = np.minimum(found, np.minimum(counts[here[possible]], counts[prior[possible]]))
             p = (pairs + MU * single[here]) / (counts[prior] + MU)
             starts = ends - lengths
@@ -228,4 +297,4 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
             }
         )
 
-    return with_values(table, values, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", words=True)
+    return with_values(table, values, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", words=True, more=asked)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -190,18 +191,30 @@ def _placed(where: list[np.ndarray], values: list[bytes]) -> list[bytes]:
     return out
 
 
-def with_values(table: DataFrame, values: DataFrame, function: Callable[..., pa.Table], schema: str, words: bool = False) -> DataFrame:
+def placed_words(listed: pa.Table) -> list[bytes]:
+    """The words of a block by position, of its rows of kind 1."""
+    return _placed([unpack_rising(x) for x in listed.column("places").to_pylist()], [w for x in listed.column("body").to_pylist() for w in x.split(BETWEEN)])
+
+
+def with_values(table: DataFrame, values: DataFrame, function: Callable[..., pa.Table], schema: str, words: bool = False, more: DataFrame | None = None) -> DataFrame:
     """function(documents of a block, values by position) -> pa.Table of schema; with words, its words by position
-    come third. Only the values are shuffled."""
+    come third, and the block's rows of more (block, at, body), if given, last. Only the values and more are shuffled."""
+
+    more_given = more is not None  # a frame itself can't go to the workers
 
     def run(own: pa.Table, joined: pa.Table) -> pa.Table:
+        extra = []
+        if more_given:
+            first = joined.column("at").is_null()
+            extra, joined = [joined.filter(pc.invert(first))], joined.filter(first)
         found = unpack_values(joined.column("places").to_pylist(), joined.column("body").to_pylist())
         if not words:
             return function(own, found)
         kind = own.column("kind").to_numpy()
-        listed = own.filter(pa.array(kind == 1))
-        by_place = _placed([unpack_rising(x) for x in listed.column("places").to_pylist()], [w for x in listed.column("body").to_pylist() for w in x.split(BETWEEN)])
-        return function(own.filter(pa.array(kind == 0)), found, by_place)
+        return function(own.filter(pa.array(kind == 0)), found, placed_words(own.filter(pa.array(kind == 1))), *extra)
 
     left = table.where("kind in (0, 1)" if words else "kind = 0").select("block", "doc_id", "flag", "body", "n", *["kind", "places"] * words)
-    return left.groupBy("block").cogroup(values.select("block", "places", "body").groupBy("block")).applyInArrow(run, schema)
+    right = values.select("block", "places", "body")
+    if more_given:
+        right = right.withColumn("at", F.lit(None).cast("int")).unionByName(more.select("block", F.lit(None).cast("binary").alias("places"), "body", "at"))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)

@@ -314,6 +314,26 @@ def test_pair_filter():
     assert (both[0] == pairs[:9]).all() and (both[1] == 2 * counts[:9]).all()
 
 
+def test_language_model_of_large_filters(small, docs, monkeypatch):
+    """A filter too large for one broadcast gives the scores that the broadcast gives."""
+    from siltstone.llm import language_model as m
+
+    ask = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    for df in (docs, small):
+        want = of(m.score(df, ask), *names)
+        with monkeypatch.context() as changed:
+            changed.setattr(m, "MOST_BYTES", 1 << 12)
+            assert of(m.score(df, ask), *names) == want
+
+
+def test_full_pair_filter_ends():
+    from siltstone.llm import language_model as m
+
+    pairs = np.arange(1, 9, dtype=np.uint64)
+    assert (m.PairFilter(1, 64, {0: b"\xff" * 8}, 5).counts(pairs) == 16).all()
+
+
 def test_language_id(spark, docs, empty):
     from siltstone.llm.langid import ByteGRU, grid, language_id, predict
 
