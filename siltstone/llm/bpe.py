@@ -115,7 +115,7 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
         for body in own.column("body").to_pylist():
             at = unpack(body).tolist()
             all_ids = b"".join(map(ids.__getitem__, at))
-            text = b" ".join(map(decoded.__getitem__, at))
+            text = b" ".join(filter(None, map(decoded.__getitem__, at)))  # words of other white space have no ids
             out["n_tokens"].append(len(all_ids) // 4)
             out["ids_sha256"].append(hashlib.sha256(all_ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())

@@ -401,6 +401,21 @@ def test_bpe(docs, empty):
         WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_bpe_of_other_white_space(spark):
+    """White space that is not ASCII makes words without ids, which leave nothing in the decoded text."""
+    from siltstone.llm.bpe import encode_decode
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    spaces = ("\u00a0", "\u0085", "\u3000")
+    texts = [t for s in spaces for t in (s, f"{s} foo bar", f"foo {s} bar", f"foo bar {s}", f"{s} {s} foo {s} {s} bar", f"foo{s}bar")]
+    got = {r["doc_id"]: r for r in encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, texts=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library(t)
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        assert (got[i]["ids"], got[i]["decoded"], got[i]["decoded_sha256"]) == (ids, decoded, sha(decoded)), t
+
+
 def test_queries_match_sql(spark, duck):
     from siltstone.llm.queries import ORACLE_SQL, QUERIES
 
