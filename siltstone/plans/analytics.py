@@ -343,7 +343,7 @@ def ocr_adds_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(None)
 def ocr_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.reconcile(_elements(spark, sf_dir).where("page_id < 120"), with_similarity=True)
+    rows = quality.reconcile(_elements(spark, sf_dir), with_similarity=True)
     return rows.where("ocr").select("page_id", "element_id", F.round("similarity", 4).alias("similarity"), "duplicate")
 
 
