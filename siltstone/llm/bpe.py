@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
-from .words import block_table, unpack, with_values, word_values
+from .common import cut
+from .words import Blocks, unpack, values_of, with_values, word_values
 
 #: Pieces of words that a worker remembers before it starts anew.
 PIECES_KEPT = 600_000
@@ -94,21 +94,22 @@ def pieces(path: str) -> list[bytes]:
     return [(own.tokenizer.id_to_token(i) or "").encode() for i in range(own.size)]
 
 
-def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (little-endian 32-bit ids), decoded_sha256, and with
     texts also ids and decoded.
 
     Null counts as empty: no ids, decoded to the empty text. Repeated rows and null ids are kept as they are; other
-    columns are ignored; an empty table gives an empty table.
+    columns are ignored; an empty table gives an empty table. limits are those of a block (words.py).
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.lit(True).alias("flag"))
-    table = block_table(source, bytes.split)
+    split = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), split.alias("text"), F.lit(True).alias("flag"))
+    blocks = Blocks(source, lambda lists: lists, limits=limits)
     # ids that fit are halved for the shuffle
     width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
-    values = word_values(table, lambda word, n: np.frombuffer(encoder(path).word(word), "<u4").astype(width).tobytes())
+    values = word_values(blocks, lambda word: np.frombuffer(encoder(path).word(word), "<u4").astype(width).tobytes())
 
-    def finish(own: pa.Table, ids: list[bytes]) -> pa.Table:
-        table = pieces(path)
+    def finish(own: pa.Table, joined: pa.Table) -> pa.Table:
+        ids, table = values_of(joined), pieces(path)
         decoded = [b" ".join(map(table.__getitem__, np.frombuffer(x, width).tolist())) for x in ids]
         ids = [np.frombuffer(x, width).astype("<u4").tobytes() for x in ids]
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if texts else {})
@@ -126,4 +127,6 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
         return pa.table([own.column("doc_id").cast(pa.int64())] + [pa.array(v, types[k]) for k, v in out.items()], ["doc_id", *out])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
-    return with_values(table, values, finish, schema)
+    out = cut(with_values(blocks, values, finish, schema), "encoded")
+    blocks.remove()
+    return out

@@ -16,35 +16,53 @@ from pyspark.sql import functions as F
 ROWS_AT_A_TIME = 512
 #: Words whose hashes a worker remembers before it starts anew.
 CACHE_ENTRIES = 400_000
+_own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, one of our own is set."""
+    """The folder named by spark.checkpoint.dir. Only a local master may go without: then a folder of this machine
+    serves, which all its tasks can see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
+    return _own_dir[0]
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}/{name}"
+    place = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+    path = f"{place}/{name}"
+    delete_at_exit(spark, place)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more."""
+    for df in tables:
+        delete(df.sparkSession, df._siltstone_path)
 
 
 def utf8(column: str = "text") -> F.Column:

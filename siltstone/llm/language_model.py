@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, utf8
-from .words import block_table, pack, placed_words, unpack, with_values, word_values
+from .common import cut, drop, mix
+from .words import Blocks, ascii_words, counts_of, input_bytes, pack, pack64, placed_words, unpack, unpack64, with_values, word_values
 
 #: No word contains white space, so this is none.
 END = b" "
@@ -31,14 +31,16 @@ MU = 100.0
 BITS_AN_ENTRY = 10
 PROBES = 6
 #: Filters up to this size are broadcast, larger ones probed shard by shard.
-MOST_BYTES = 256 << 20
+MOST_BYTES = 64 << 20
+#: Shards: at least so many, four for each shuffle partition, and one for so many bytes of input.
+LEAST_SHARDS, SHARD_INPUT = 256, 8 << 20
 #: Shards whose pairs are counted to size the filter: one in so many.
 SIZED_BY = 16
-CHUNK = 400_000
+CHUNK = 200_000
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def lower_words(texts: pa.Array) -> pa.Array:
+    return ascii_words(texts, lower=True)
 
 
 def _hash_of(words: list[bytes]) -> np.ndarray:
@@ -58,14 +60,13 @@ def before(positions: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def pack64(x: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as differences, a byte plane at a time."""
-    steps = np.diff(x, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack_pairs(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as differences."""
+    return pack64(np.diff(x, prepend=np.uint64(0)))
 
 
-def unpack64(body: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+def unpack_pairs(body: bytes) -> np.ndarray:
+    return np.cumsum(unpack64(body), dtype=np.uint64)
 
 
 def pair_counts(shards: int):
@@ -76,7 +77,7 @@ def pair_counts(shards: int):
         prior = before(positions, ends, words.index(END))
         pairs, counts = np.unique(pair_hashes(hashes[prior[marks]], hashes[positions[marks]]), return_counts=True)
         for s, a, b in by_shard(pairs, shards):
-            yield s, pack64(pairs[a:b]) + pack(counts[a:b]), b - a
+            yield s, pack_pairs(pairs[a:b]) + pack(counts[a:b]), b - a
 
     return extra
 
@@ -104,7 +105,7 @@ def distinct_pairs(positions: np.ndarray, ends: np.ndarray, words: list[bytes])
 
 def merged(bodies: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of one shard and their counts in all blocks."""
-    pairs = np.concatenate([unpack64(x[: 8 * n]) for x, n in zip(bodies, sizes, strict=True)])
+    pairs = np.concatenate([unpack_pairs(x[: 8 * n]) for x, n in zip(bodies, sizes, strict=True)])
     counts = np.concatenate([unpack(x[8 * n :]) for x, n in zip(bodies, sizes, strict=True)]).astype(np.int64)
     order = np.argsort(pairs, kind="stable")
     pairs, counts = pairs[order], counts[order]
@@ -168,7 +169,7 @@ class PairFilter:
         return out
 
 
-def answers(parts: DataFrame, table: DataFrame, shards: int, bits: int, top: int) -> DataFrame:
+def answers(parts: DataFrame, blocks: Blocks, shards: int, bits: int, top: int) -> DataFrame:
     """block, at, body: a byte for each distinct pair that the block has in shard `at`, in order: the pair's level.
 
     A task builds the filter of one shard at a time and answers the blocks' pairs as they stream by.
@@ -176,7 +177,7 @@ def answers(parts: DataFrame, table: DataFrame, shards: int, bits: int, top: int
 
     def ask(own: pa.Table) -> pa.Table:
         pairs = block_pairs(own)
-        found = [(s, pack64(pairs[a:b])) for s, a, b in by_shard(pairs, shards)]
+        found = [(s, pack_pairs(pairs[a:b])) for s, a, b in by_shard(pairs, shards)]
         return pa.table({"block": pa.array([own.column("block")[0].as_py()] * len(found), pa.int64()), "at": pa.array([x[0] for x in found], pa.int32()), "body": pa.array([x[1] for x in found], pa.binary()), "n": pa.array([len(x[1]) // 8 for x in found], pa.int64())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,31 +194,30 @@ def answers(parts: DataFrame, table: DataFrame, shards: int, bits: int, top: int
                 if probed is None:
                     probed = PairFilter(1, bits, {0: shard_filter(*merged(bodies, sizes), bits)} if bodies else {}, top)
                     bodies, sizes = [], []
-                found = probed.counts(unpack64(body))
+                found = probed.counts(unpack_pairs(body))
                 said = np.where(found > 0, levels(found), 0).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int32()), pa.array([said], pa.binary())], ["block", "at", "body"])
 
-    asked = table.where("kind in (0, 1)").select("block", "kind", "places", "body").groupBy("block").applyInArrow(ask, "block long, at int, body binary, n long")
+    asked = blocks.table.where("kind in (0, 1)").select("block", "kind", "places", "body").groupBy("block").applyInArrow(ask, "block long, at int, body binary, n long")
     rows = parts.select(F.lit(None).cast("long").alias("block"), "at", "body", "n").unionByName(asked)
     return rows.repartition("at").sortWithinPartitions("at", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, at int, body binary")
 
 
-def _number(value: bytes) -> int:
-    return int.from_bytes(value, "little")
-
-
-def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES, limits: tuple[int, int, int] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows that are not held out. Tokens are words (ASCII white space between, A-Z lower-cased) and one end
     a text, so a null or empty text is one token. Repeated rows count as often as they occur; with nothing to learn
-    from, N and V are 0 and nothing is known. Other columns are ignored; an empty table gives an empty table.
+    from, N and V are 0 and nothing is known. Other columns are ignored; an empty table gives an empty table. Filters
+    of up to most_bytes are broadcast. limits are those of a block (words.py).
     """
     spark = docs.sparkSession
-    shards = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length() - 1)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), (~held_out).alias("flag"))
-    table = block_table(source, tokens, flagged=True, extra=pair_counts(shards))
-    values = cut(word_values(table, lambda word, n: int(n).to_bytes((int(n).bit_length() + 7) // 8, "little")), "counts")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out).alias("flag"))
+    wanted = max(LEAST_SHARDS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(source) // SHARD_INPUT)
+    shards = 1 << (wanted - 1).bit_length()
+    blocks = Blocks(source, lower_words, END, flagged=True, extra=pair_counts(shards), limits=limits)
+    table = blocks.table
+    values = cut(word_values(blocks), "counts")
     total = table.where("kind = 0 and flag").agg(F.sum("n")).first()[0] or 0
     distinct = values.agg(F.sum("fresh")).first()[0] or 0
 
@@ -238,16 +238,19 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
         return pa.table({"at": own.column("at").slice(0, 1), "filter": pa.array([body], pa.binary())})
 
     shared = asked = None
-    if size <= MOST_BYTES:
+    if size <= most_bytes:
         # written first, so that shards are built side by side; they then come to the driver a file at a time
-        built = {r["at"]: bytes(r["filter"]) for r in cut(parts.groupBy("at").applyInArrow(build, "at int, filter binary"), "filter").toLocalIterator()}
-        shared = spark.sparkContext.broadcast(PairFilter(shards, bits, built, top))  # at most MOST_BYTES
-        del built
+        written = cut(parts.groupBy("at").applyInArrow(build, "at int, filter binary"), "filter")
+        whole = PairFilter(shards, bits, {}, top)
+        for r in written.toLocalIterator():
+            whole.body[r["at"]] = np.frombuffer(r["filter"], np.uint8)
+        shared = spark.sparkContext.broadcast(whole)  # at most most_bytes
+        drop(written)
     else:
-        asked = answers(parts, table, shards, bits, top)
+        asked = answers(parts, blocks, shards, bits, top)
 
-    def finish(own: pa.Table, known: list[bytes], words: list[bytes], said: pa.Table | None = None) -> pa.Table:
-        counts = np.fromiter(map(_number, known), np.int64, len(known))
+    def finish(own: pa.Table, joined: pa.Table, words: list[bytes], said: pa.Table | None = None) -> pa.Table:
+        counts = counts_of(joined)
         hashes = _hash_of(words)
         single = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         logs = np.log10(single)
@@ -297,4 +300,10 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
             }
         )
 
-    return with_values(table, values, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", words=True, more=asked)
+    scored = with_values(blocks, values, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", words=True, more=asked)
+    out = cut(scored, "scores")
+    if shared is not None:
+        shared.destroy()
+    drop(values)
+    blocks.remove()
+    return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import delete, delete_at_exit, shared_dir
 
-BLOCK_WORDS = 6_000_000
-#: Distinct words of a block; with BLOCK_WORDS they bound a worker's memory.
-BLOCK_DISTINCT = 700_000
-#: Buckets of words for each shuffle partition: a bucket is what a task holds at a time.
+BLOCK_WORDS = 1_500_000
+#: Distinct words of a block and their bytes; with BLOCK_WORDS they bound a worker's memory. One text is never split.
+BLOCK_DISTINCT = 200_000
+BLOCK_BYTES = 8 << 20
+#: Buckets of words: for each shuffle partition, and as many as the input has of BUCKET_INPUT bytes. A bucket's packed
+#: words are what a task holds at a time, so their number grows with the input.
 BUCKETS_A_PARTITION = 8
+BUCKET_INPUT = 16 << 20
+#: Words of a batch that are numbered together.
+CHUNK = 200_000
+#: Words whose values a worker remembers where values need no counts.
+VALUES_KEPT = 100_000
 SCHEMA = "block long, kind int, doc_id long, flag boolean, body binary, places binary, counts binary, at int, n long"
 #: No word contains it, so it stands between words.
 BETWEEN = b"\n"
@@ -52,61 +60,92 @@ def pack_rising(x: np.ndarray) -> bytes:
     return pack(np.diff(x.astype(np.int64), prepend=0))
 
 
+def pack64(x: np.ndarray) -> bytes:
+    """64-bit numbers a byte plane at a time."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack64(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def unpack_rising(body: bytes) -> np.ndarray:
     return np.cumsum(unpack(body).astype(np.int64))
 
 
-def block_rows(split: Callable[[bytes], list[bytes]], flagged: bool, buckets: int, extra: Callable | None = None) -> Callable:
+def ascii_words(texts: pa.Array, lower: bool = False) -> pa.Array:
+    """Lists of what stands between ASCII white space; of null and empty texts none."""
+    texts = pc.ascii_trim_whitespace(texts)
+    texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+
+
+def block_rows(words_of: Callable[[pa.Array], pa.Array], end: bytes | None, flagged: bool, buckets: int, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> Callable:
     """mapInArrow from doc_id, text, flag to rows of SCHEMA: kind 0 a document, kind 1 the words of a bucket, kind 2
-    what extra gives.
+    what extra gives. words_of makes lists of words of texts; end, if given, follows each text as a word of its own.
 
     Words are numbered by falling frequency in the block, then in order, so that most positions are small and
-    neighbours alike. Counts are of occurrences in documents whose flag is set, if flagged, and in all else.
+    neighbours alike. Counts are of occurrences in documents whose flag is set, if flagged, and in all else. limits
+    are those of a block: words, distinct words, bytes of distinct words.
     """
+    most_words, most_distinct, most_bytes = limits or (BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_BYTES)
 
     def flush(block: int, docs: list, words: Numbers) -> Iterator[pa.RecordBatch]:
         if not docs:
             return
         listed = list(words)
         lengths = np.array([len(x[2]) for x in docs], np.int64)
-        raw = np.concatenate([x[2] for x in docs]) if lengths.sum() else np.zeros(0, np.uint32)
+        raw = np.concatenate([x[2] for x in docs])
         marks = np.repeat(np.array([bool(x[1]) for x in docs]), lengths)
         often = np.bincount(raw, minlength=len(listed))
-        order = np.array(sorted(range(len(listed)), key=lambda i, o=(-often).tolist(): (o[i], listed[i])), np.int64)
+        order = np.array(sorted(range(len(listed)), key=listed.__getitem__), np.int64)
+        order = order[np.argsort(-often[order], kind="stable")]
         place = np.empty(len(listed), np.uint32)
         place[order] = np.arange(len(listed), dtype=np.uint32)
         raw = place[raw]
         ends = np.cumsum(lengths)
-        for at in range(0, len(docs), 2000):
-            some = docs[at : at + 2000]
-            yield rows(block, 0, doc_id=[x[0] for x in some], flag=[x[1] for x in some], body=[pack(raw[e - n : e]) for e, n in zip(ends[at : at + 2000].tolist(), lengths[at : at + 2000].tolist(), strict=True)], n=lengths[at : at + 2000])
+        for at in range(0, len(docs), 500):
+            some = docs[at : at + 500]
+            yield rows(block, 0, doc_id=[x[0] for x in some], flag=[x[1] for x in some], body=[pack(raw[e - n : e]) for e, n in zip(ends[at : at + 500].tolist(), lengths[at : at + 500].tolist(), strict=True)], n=lengths[at : at + 500])
+        docs.clear()
         listed = [listed[i] for i in order.tolist()]
         counts = np.bincount(raw[marks], minlength=len(listed)) if flagged else None
         bucket = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed)) % np.uint64(buckets)
         by_bucket = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1).astype(np.uint64))
-        full = np.nonzero(bounds[1:] > bounds[:-1])[0]
-        for at in range(0, len(full), 2000):
-            some = [by_bucket[bounds[b] : bounds[b + 1]] for b in full[at : at + 2000]]
-            given = {"at": full[at : at + 2000], "body": [BETWEEN.join(map(listed.__getitem__, x.tolist())) for x in some], "places": [pack_rising(x) for x in some], "n": [len(x) for x in some]}
+        full, bounds = np.unique(bucket[by_bucket], return_index=True)
+        bounds = [*bounds.tolist(), len(listed)]
+        for at in range(0, len(full), 500):
+            some = [by_bucket[a:b] for a, b in zip(bounds[at : at + 500], bounds[at + 1 :], strict=False)]
+            given = {"at": full[at : at + 500].astype(np.int32), "body": [BETWEEN.join(map(listed.__getitem__, x.tolist())) for x in some], "places": [pack_rising(x) for x in some], "n": [len(x) for x in some]}
             yield rows(block, 1, **given, **({"counts": [pack(counts[x]) for x in some]} if flagged else {}))
         if extra:
-            found = list(extra(raw, marks, ends, listed))
-            for at in range(0, len(found), 2000):
-                some = found[at : at + 2000]
+            found = extra(raw, marks, ends, listed)
+            while some := list(islice(found, 500)):
                 yield rows(block, 2, at=[x[0] for x in some], body=[x[1] for x in some], n=[x[2] for x in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, docs, words, total = TaskContext.get().partitionId() << 24, [], Numbers(), 0
+        block, docs, words, total, size = TaskContext.get().partitionId() << 32, [], Numbers(), 0, 0
         for batch in batches:
-            flags = batch.column(2).to_pylist()
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                own = split(batch.column(1)[i].as_py())
-                docs.append((doc_id, flags[i], np.fromiter(map(words.__getitem__, own), np.uint32, len(own))))
-                total += len(own)
-                if total >= BLOCK_WORDS or len(words) >= BLOCK_DISTINCT:
+            doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            lists = words_of(batch.column(1))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + min(CHUNK, most_words), side="right")))
+                coded = lists.slice(at, to - at).flatten().dictionary_encode()
+                known = len(words)
+                number = np.fromiter(map(words.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint32)
+                codes, lengths = number[coded.indices.to_numpy(zero_copy_only=False)], np.diff(ends[at:to], prepend=done)
+                if end is not None:
+                    codes, lengths = np.insert(codes, np.cumsum(lengths), words[end]), lengths + 1
+                docs += zip(doc_ids[at:to], flags[at:to], np.split(codes, np.cumsum(lengths)[:-1]), strict=True)
+                total += len(codes)
+                size += sum(map(len, islice(reversed(words), len(words) - known)))
+                at = to
+                if total >= most_words or len(words) >= most_distinct or size >= most_bytes:
                     yield from flush(block, docs, words)
-                    block, docs, words, total = block + 1, [], Numbers(), 0
+                    block, docs, words, total, size = block + 1, [], Numbers(), 0, 0
         yield from flush(block, docs, words)
 
     return run
@@ -120,61 +159,96 @@ def rows(block: int, kind: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["block", "kind", *types])
 
 
-def block_table(docs: DataFrame, split: Callable[[bytes], list[bytes]], flagged: bool = False, extra: Callable | None = None) -> DataFrame:
-    """docs: doc_id, text (binary), flag. The rows of block_rows in a table bucketed by block and split by kind."""
-    spark = docs.sparkSession
-    name = f"siltstone_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select("doc_id", "text", "flag").mapInArrow(block_rows(split, flagged, partitions * BUCKETS_A_PARTITION, extra), SCHEMA)
-    blocks.write.format("parquet").option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(partitions, "block").saveAsTable(name)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.table(name)
-
-
-def word_values(table: DataFrame, value: Callable[[bytes, int], bytes]) -> DataFrame:
-    """value(word, n) -> bytes is called once for each distinct word, n being the sum of its counts (0 without any).
-    Returns block, places, body (lengths, then the values one after the other), fresh: on one row of each bucket the
-    number of its words with n over 0."""
-
-    def close(held: list[tuple]) -> pa.RecordBatch:
-        lists = [x[2].split(BETWEEN) for x in held]
-        totals: dict[bytes, int] = {}
-        for x, words in zip(held, lists, strict=True):
-            if x[4]:
-                for w, c in zip(words, unpack(x[4]).tolist(), strict=True):
-                    totals[w] = totals.get(w, 0) + c
-        known: dict[bytes, bytes] = {}
-        bodies = []
-        for words in lists:
-            for w in words:
-                if w not in known:
-                    known[w] = value(w, totals.get(w, 0))
-            own = list(map(known.__getitem__, words))
-            bodies.append(pack(np.fromiter(map(len, own), np.uint32, len(own))) + b"".join(own))
-        fresh = [sum(c > 0 for c in totals.values())] + [0] * (len(held) - 1)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[3] for x in held], pa.binary()), pa.array(bodies, pa.binary()), pa.array(fresh, pa.int64())], ["block", "places", "body", "fresh"])
+def input_bytes(docs: DataFrame) -> int:
+    """About how large docs is: the planner's figure, or the texts' own size where it has none."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def buckets_for(docs: DataFrame) -> int:
+    return max(BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // BUCKET_INPUT))
+
+
+class Blocks:
+    """The rows of block_rows in a table bucketed by block and split by kind. remove() takes it out of the catalog and
+    the shared folder."""
+
+    def __init__(self, docs: DataFrame, words_of: Callable[[pa.Array], pa.Array], end: bytes | None = None, flagged: bool = False, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> None:
+        """docs: doc_id, text (whatever words_of takes), flag."""
+        self.spark = spark = docs.sparkSession
+        self.name = f"siltstone_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{self.name}"
+        docs = docs.select("doc_id", "text", "flag")
+        blocks = docs.mapInArrow(block_rows(words_of, end, flagged, buckets_for(docs), extra, limits), SCHEMA)
+        delete_at_exit(spark, self.path)
+        blocks.write.format("parquet").option("compression", "zstd").option("path", self.path).partitionBy("kind").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
+        self.table = spark.table(self.name)
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def word_values(blocks: Blocks, value: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """A value for each distinct word, worked out once a bucket and handed to every block that has the word.
+
+    With value, value(word); without, the sum of the word's counts. Returns block, places, body (of values: their
+    lengths, then the values one after the other; of counts: 64-bit numbers), fresh: on the first row of each bucket
+    the number of its words that were counted. Values are streamed; for counts a bucket's packed words are held.
+    """
+    names = ["block", "places", "body", "fresh"]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                out = []
+                for block, _, body, places, _ in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns), strict=True):
+                    words = body.split(BETWEEN)
+                    if len(known) > VALUES_KEPT:
+                        known.clear()
+                    for w in words:
+                        if w not in known:
+                            known[w] = value(w)
+                    own = list(map(known.__getitem__, words))
+                    out.append((block, places, pack(np.fromiter(map(len, own), np.uint32, len(own))) + b"".join(own), 0))
+                yield batch_of(out)
+
+    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        number, summed = Numbers(), []
+        for _, _, body, _, counts in held:
+            at = np.fromiter(map(number.__getitem__, body.split(BETWEEN)), np.int64)
+            summed.append((at.astype(np.uint32), unpack(counts)))
+        totals = np.zeros(len(number), np.int64)
+        for at, counts in summed:
+            totals[at] += counts  # a word comes once in a block
+        fresh = int((totals > 0).sum())
+        del number
+        for begin in range(0, len(held), 100):
+            yield batch_of([(held[i][0], held[i][3], pack64(totals[summed[i][0]]), fresh if i == 0 else 0) for i in range(begin, min(begin + 100, len(held)))])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][1] != x[1]:
-                    yield close(held)
+                    yield from close(held)
                     held = []
                 held.append(x)
         if held:
-            yield close(held)
+            yield from close(held)
 
-    words = table.where("kind = 1").select("block", "at", "body", "places", "counts")
-    return words.repartition("at").sortWithinPartitions("at").mapInArrow(run, "block long, places binary, body binary, fresh long")
+    words = blocks.table.where("kind = 1").select("block", "at", "body", "places", "counts")
+    return words.repartition("at").sortWithinPartitions("at").mapInArrow(counted if value is None else valued, "block long, places binary, body binary, fresh long")
 
 
-def unpack_values(places: list[bytes], bodies: list[bytes]) -> list[bytes]:
+def values_of(joined: pa.Table) -> list[bytes]:
     """The values of a block by position."""
     where, values = [], []
-    for a, b in zip(places, bodies, strict=True):
+    for a, b in zip(joined.column("places").to_pylist(), joined.column("body").to_pylist(), strict=True):
         begin = len(a)
         ends = np.cumsum(unpack(b[:begin]).astype(np.int64)) + begin
         where.append(unpack_rising(a))
@@ -184,6 +258,15 @@ def unpack_values(places: list[bytes], bodies: list[bytes]) -> list[bytes]:
     return _placed(where, values)
 
 
+def counts_of(joined: pa.Table) -> np.ndarray:
+    """The counts of a block by position."""
+    where = [unpack_rising(x) for x in joined.column("places").to_pylist()]
+    out = np.zeros(sum(map(len, where)), np.int64)
+    for at, body in zip(where, joined.column("body").to_pylist(), strict=True):
+        out[at] = unpack64(body)
+    return out
+
+
 def _placed(where: list[np.ndarray], values: list[bytes]) -> list[bytes]:
     out = [b""] * len(values)
     for i, v in zip(np.concatenate(where).tolist() if where else [], values, strict=True):
@@ -196,8 +279,8 @@ def placed_words(listed: pa.Table) -> list[bytes]:
     return _placed([unpack_rising(x) for x in listed.column("places").to_pylist()], [w for x in listed.column("body").to_pylist() for w in x.split(BETWEEN)])
 
 
-def with_values(table: DataFrame, values: DataFrame, function: Callable[..., pa.Table], schema: str, words: bool = False, more: DataFrame | None = None) -> DataFrame:
-    """function(documents of a block, values by position) -> pa.Table of schema; with words, its words by position
+def with_values(blocks: Blocks, values: DataFrame, function: Callable[..., pa.Table], schema: str, words: bool = False, more: DataFrame | None = None) -> DataFrame:
+    """function(documents of a block, its rows of values) -> pa.Table of schema; with words, the words by position
     come third, and the block's rows of more (block, at, body), if given, last. Only the values and more are shuffled."""
 
     more_given = more is not None  # a frame itself can't go to the workers
@@ -207,13 +290,12 @@ def with_values(table: DataFrame, values: DataFrame, function: Callable[..., pa.
         if more_given:
             first = joined.column("at").is_null()
             extra, joined = [joined.filter(pc.invert(first))], joined.filter(first)
-        found = unpack_values(joined.column("places").to_pylist(), joined.column("body").to_pylist())
         if not words:
-            return function(own, found)
+            return function(own, joined)
         kind = own.column("kind").to_numpy()
-        return function(own.filter(pa.array(kind == 0)), found, placed_words(own.filter(pa.array(kind == 1))), *extra)
+        return function(own.filter(pa.array(kind == 0)), joined, placed_words(own.filter(pa.array(kind == 1))), *extra)
 
-    left = table.where("kind in (0, 1)" if words else "kind = 0").select("block", "doc_id", "flag", "body", "n", *["kind", "places"] * words)
+    left = blocks.table.where("kind in (0, 1)" if words else "kind = 0").select("block", "doc_id", "flag", "body", "n", *["kind", "places"] * words)
     right = values.select("block", "places", "body")
     if more_given:
         right = right.withColumn("at", F.lit(None).cast("int")).unionByName(more.select("block", F.lit(None).cast("binary").alias("places"), "body", "at"))

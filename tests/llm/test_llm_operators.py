@@ -310,21 +310,23 @@ def test_pair_filter():
     assert (got >= 2 ** (m.levels(counts) - 1)).all()
     assert (got == 2 ** (m.levels(counts) - 1)).mean() > 0.9
     assert (built.counts(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
-    both = m.merged([m.pack64(pairs[:9]) + m.pack(counts[:9])] * 2, [9, 9])
+    both = m.merged([m.pack_pairs(pairs[:9]) + m.pack(counts[:9])] * 2, [9, 9])
     assert (both[0] == pairs[:9]).all() and (both[1] == 2 * counts[:9]).all()
 
 
-def test_language_model_of_large_filters(small, docs, monkeypatch):
-    """A filter too large for one broadcast gives the scores that the broadcast gives."""
+def test_language_model_of_large_filters(small, docs):
+    """A filter too large for one broadcast, and blocks of a few words, give the scores that the broadcast gives."""
     from siltstone.llm import language_model as m
 
     ask = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     for df in (docs, small):
         want = of(m.score(df, ask), *names)
-        with monkeypatch.context() as changed:
-            changed.setattr(m, "MOST_BYTES", 1 << 12)
-            assert of(m.score(df, ask), *names) == want
+        assert of(m.score(df, ask, most_bytes=0), *names) == want
+    want = of(m.score(docs, ask), *names)
+    for limits in ((10, 1 << 20, 1 << 20), (1 << 20, 10, 1 << 20), (1 << 20, 1 << 20, 50)):
+        for most_bytes in (0, m.MOST_BYTES):
+            assert of(m.score(docs, ask, most_bytes=most_bytes, limits=limits), *names) == want
 
 
 def test_full_pair_filter_ends():
@@ -382,7 +384,7 @@ def test_licenses(docs, small, empty):
         Scanner({"short": "two words"})
 
 
-def test_bpe(docs, empty):
+def test_bpe(spark, docs, empty):
     from siltstone.llm.bpe import encode_decode
     from tokenizers import Tokenizer
 
@@ -392,6 +394,9 @@ def test_bpe(docs, empty):
         ids = library(t or "")
         want[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tokenizer.decode(ids, skip_special_tokens=False))] += 1
     assert of(encode_decode(docs, PATH), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    for limits in ((10, 1 << 20, 1 << 20), (1 << 20, 10, 1 << 20), (1 << 20, 1 << 20, 50)):
+        assert of(encode_decode(docs, PATH, limits=limits), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siltstone_")]
     one = encode_decode(docs.where("doc_id = 16"), PATH, texts=True).first()
     assert one["ids"] == library(dict(TEXTS)[16]) and unicodedata.normalize("NFC", "é") not in one["decoded"]
     assert encode_decode(empty, PATH).count() == 0
