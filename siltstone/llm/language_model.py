@@ -31,12 +31,13 @@ MU = 100.0
 BITS_AN_ENTRY = 10
 PROBES = 6
 #: Filters up to this size are broadcast, larger ones probed shard by shard.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 256 << 20
 #: Shards: at least so many, four for each shuffle partition, and one for so many bytes of input.
 LEAST_SHARDS, SHARD_INPUT = 256, 8 << 20
 #: Shards whose pairs are counted to size the filter: one in so many.
 SIZED_BY = 16
-CHUNK = 200_000
+#: Positions that are scored, and pairs that are probed, at a time.
+CHUNK = 500_000
 
 
 def lower_words(texts: pa.Array) -> pa.Array:
@@ -69,13 +70,25 @@ def unpack_pairs(body: bytes) -> np.ndarray:
     return np.cumsum(unpack64(body), dtype=np.uint64)
 
 
+def starts_of_runs(x: np.ndarray) -> np.ndarray:
+    """Where values of the ascending x first come."""
+    return np.nonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))[0]
+
+
+def tally(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often they come."""
+    x = np.sort(x)
+    first = starts_of_runs(x)
+    return x[first], np.diff(first, append=len(x))
+
+
 def pair_counts(shards: int):
     """For block_rows: the block's distinct training pairs with their counts, a row for each shard."""
 
     def extra(positions: np.ndarray, marks: np.ndarray, ends: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, bytes, int]]:
         hashes = _hash_of(words)
         prior = before(positions, ends, words.index(END))
-        pairs, counts = np.unique(pair_hashes(hashes[prior[marks]], hashes[positions[marks]]), return_counts=True)
+        pairs, counts = tally(pair_hashes(hashes[prior[marks]], hashes[positions[marks]]))
         for s, a, b in by_shard(pairs, shards):
             yield s, pack_pairs(pairs[a:b]) + pack(counts[a:b]), b - a
 
@@ -100,16 +113,16 @@ def block_pairs(own: pa.Table) -> np.ndarray:
 
 def distinct_pairs(positions: np.ndarray, ends: np.ndarray, words: list[bytes]) -> np.ndarray:
     hashes = _hash_of(words)
-    return np.unique(pair_hashes(hashes[before(positions, ends, words.index(END))], hashes[positions]))
+    return tally(pair_hashes(hashes[before(positions, ends, words.index(END))], hashes[positions]))[0]
 
 
 def merged(bodies: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of one shard and their counts in all blocks."""
     pairs = np.concatenate([unpack_pairs(x[: 8 * n]) for x, n in zip(bodies, sizes, strict=True)])
     counts = np.concatenate([unpack(x[8 * n :]) for x, n in zip(bodies, sizes, strict=True)]).astype(np.int64)
-    order = np.argsort(pairs, kind="stable")
+    order = np.argsort(pairs)
     pairs, counts = pairs[order], counts[order]
-    first = np.nonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))[0]
+    first = starts_of_runs(pairs)
     return pairs[first], np.add.reduceat(counts, first)
 
 
@@ -181,11 +194,22 @@ def answers(parts: DataFrame, blocks: Blocks, shards: int, bits: int, top: int)
         return pa.table({"block": pa.array([own.column("block")[0].as_py()] * len(found), pa.int64()), "at": pa.array([x[0] for x in found], pa.int32()), "body": pa.array([x[1] for x in found], pa.binary()), "n": pa.array([len(x[1]) // 8 for x in found], pa.int64())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, bodies, sizes, probed = None, [], [], None
+        shard, bodies, sizes, probed, waiting = None, [], [], None, []
+
+        def say() -> pa.RecordBatch:
+            found = probed.counts(np.concatenate([x for _, x in waiting]))
+            said = np.where(found > 0, levels(found), 0).astype(np.uint8)
+            parts = np.split(said, np.cumsum([len(x) for _, x in waiting])[:-1])
+            out = [pa.array([k for k, _ in waiting], pa.int64()), pa.array([shard] * len(waiting), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays(out, ["block", "at", "body"])
+
         for batch in batches:
             for row in range(batch.num_rows):
                 block, at, body, n = (batch.column(k)[row].as_py() for k in range(4))
                 if at != shard:
+                    if waiting:
+                        yield say()
                     shard, bodies, sizes, probed = at, [], [], None
                 if block is None:
                     bodies.append(body)
@@ -194,22 +218,25 @@ def answers(parts: DataFrame, blocks: Blocks, shards: int, bits: int, top: int)
                 if probed is None:
                     probed = PairFilter(1, bits, {0: shard_filter(*merged(bodies, sizes), bits)} if bodies else {}, top)
                     bodies, sizes = [], []
-                found = probed.counts(unpack_pairs(body))
-                said = np.where(found > 0, levels(found), 0).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int32()), pa.array([said], pa.binary())], ["block", "at", "body"])
+                waiting.append((block, unpack_pairs(body)))
+                if sum(len(x) for _, x in waiting) >= CHUNK // 4:
+                    yield say()
+        if waiting:
+            yield say()
 
     asked = blocks.table.where("kind in (0, 1)").select("block", "kind", "places", "body").groupBy("block").applyInArrow(ask, "block long, at int, body binary, n long")
     rows = parts.select(F.lit(None).cast("long").alias("block"), "at", "body", "n").unionByName(asked)
     return rows.repartition("at").sortWithinPartitions("at", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, at int, body binary")
 
 
-def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES, limits: tuple[int, int, int] | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES, limits: tuple[int, int, int] | None = None, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows that are not held out. Tokens are words (ASCII white space between, A-Z lower-cased) and one end
     a text, so a null or empty text is one token. Repeated rows count as often as they occur; with nothing to learn
     from, N and V are 0 and nothing is known. Other columns are ignored; an empty table gives an empty table. Filters
-    of up to most_bytes are broadcast. limits are those of a block (words.py).
+    of up to most_bytes are broadcast. limits are those of a block (words.py),
+    chunk the positions of a block that are scored at a time.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out).alias("flag"))
@@ -256,47 +283,41 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
         logs = np.log10(single)
         end = words.index(END)
         bodies = [unpack(x).astype(np.int64) for x in own.column("body").to_pylist()]
-        if said is None:
-            count_of = shared.value.counts
-        else:
-            asked_pairs = distinct_pairs(np.concatenate(bodies), np.cumsum([len(x) for x in bodies]), words)
+        lengths = np.array([len(x) for x in bodies], np.int64)  # none is 0: every text has its end
+        ends = np.cumsum(lengths)
+        positions = np.concatenate(bodies)
+        prior = before(positions, ends, end)
+        known = counts[positions] > 0
+        if said is not None:
+            asked_pairs = distinct_pairs(positions, ends, words)
             told = np.frombuffer(b"".join(said.sort_by("at").column("body").to_pylist()), np.uint8)
-
-            def count_of(pairs: np.ndarray) -> np.ndarray:
+        base, scores, n_known = np.zeros(len(bodies)), np.zeros(len(bodies)), np.zeros(len(bodies), np.int64)
+        for at in range(0, len(positions), chunk):
+            here, prev = positions[at : at + chunk], prior[at : at + chunk]
+            pairs, place = np.unique(pair_hashes(hashes[prev], hashes[here]), return_inverse=True)
+            if said is None:
+                found = shared.value.counts(pairs)
+            else:
                 level = told[np.searchsorted(asked_pairs, pairs)].astype(np.int64)
-                return np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
-
-        base, scores, n_known = [], [], []
-        at = 0
-        while at < len(bodies):
-            to, n = at, 0
-            while to < len(bodies) and (to == at or n + len(bodies[to]) <= CHUNK):
-                n += len(bodies[to])
-                to += 1
-            lengths = np.array([len(x) for x in bodies[at:to]])
-            ends = np.cumsum(lengths)
-            here = np.concatenate(bodies[at:to])
-            prior = before(here, ends, end)
-            pairs = np.zeros(len(here), np.int64)
-            possible = np.nonzero((counts[here] > 0) & (counts[prior] > 0))[0]
-            found = count_of(pair_hashes(hashes[prior[possible]], hashes[here[possible]]))
-            pairs[possible] = np.minimum(found, np.minimum(counts[here[possible]], counts[prior[possible]]))
-            p = (pairs + MU * single[here]) / (counts[prior] + MU)
-            starts = ends - lengths
-            base.append(np.add.reduceat(logs[here], starts))
-            scores.append(np.add.reduceat(np.log10(p), starts))
-            n_known.append(np.add.reduceat((counts[here] > 0).astype(np.int64), starts))
-            at = to
-        none = np.zeros(0)
+                found = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
+            seen = np.minimum(found[place], np.minimum(counts[here], counts[prev]))
+            p = (seen + MU * single[here]) / (counts[prev] + MU)
+            # texts that begin before this chunk go on with their first words in it
+            first = int(np.searchsorted(ends, at, side="right"))
+            last = int(np.searchsorted(ends, at + len(here), side="left")) + 1
+            starts = np.maximum((ends - lengths)[first:last] - at, 0)
+            base[first:last] += np.add.reduceat(logs[here], starts)
+            scores[first:last] += np.add.reduceat(np.log10(p), starts)
+            n_known[first:last] += np.add.reduceat(known[at : at + chunk].astype(np.int64), starts)
         return pa.table(
             {
                 "doc_id": own.column("doc_id"),
                 "held_out": pa.array([not x for x in own.column("flag").to_pylist()], pa.bool_()),
                 "n_tokens": own.column("n"),
-                "n_known": pa.array(np.concatenate(n_known or [none]).astype(np.int64)),
+                "n_known": pa.array(n_known),
                 "train_tokens": pa.array(np.full(len(bodies), total, np.int64)),
-                "base_score": pa.array(np.concatenate(base or [none])),
-                "score": pa.array(np.concatenate(scores or [none])),
+                "base_score": pa.array(base),
+                "score": pa.array(scores),
             }
         )
 

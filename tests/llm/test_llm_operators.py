@@ -77,6 +77,26 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_of_many_rounds(spark, monkeypatch):
+    """Groups that part late, among rows without ids and with one id, and a group that holds a third of all rows."""
+    from siltstone.llm import exact_dedup as m
+
+    monkeypatch.setattr(m, "FIRST_BLOCK", 2)
+    stems = ["a" * 40, "a" * 39 + "b", "a" * 40 + "c", "a", "aa", "", "\u00e9" * 20, "\u00e9" * 20 + "x"]
+    rows = [(i, t) for t in stems for i in (None, None, 5, 5, 9)] + [(100 + i, "a" * 30 + "hot") for i in range(30)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        want.update((i, keep, len(ids), i == keep, sha(t)) for i in ids)
+    got = m.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+
+
 def test_chat(spark):
     from siltstone.llm import chat
 
@@ -213,6 +233,40 @@ def test_fingerprints(docs, empty, spark):
         assert abs(likeness(signature(a), signature(b)) - share / (2 - share)) < 0.1
 
 
+def shingle_set(text):
+    words = text.encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def exact_likeness(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_fingerprints_against_exact_likeness(small):
+    from siltstone.llm.minhash import edit_fingerprints, edited
+
+    rows = sorted((r["doc_id"], r["text"] or "") for r in small.select("doc_id", "text").collect())
+    after = {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
+    texts, got = dict(rows), edit_fingerprints(small).collect()
+    off = [r["near_edited"] - exact_likeness(texts[r["doc_id"]], edited(texts[r["doc_id"]], after[r["doc_id"]])) for r in got]
+    off += [r["near_next"] - exact_likeness(texts[r["doc_id"]], after[r["doc_id"]]) for r in got]
+    long = [x for x, r in zip(off, got * 2, strict=True) if len(texts[r["doc_id"]].split()) > 60]
+    assert len(got) == len(rows) and abs(np.mean(off)) < 0.03 and np.abs(long).max() < 0.2 and np.abs(long).mean() < 0.03
+
+
+def test_densification_of_few_shingles():
+    from siltstone.llm.minhash import signature
+
+    one = np.array([1 << 40], np.uint64)
+    assert (signature(one) == signature(np.repeat(one, 3))).all() and len(signature(one)) == 512
+    rng, same = np.random.default_rng(4), []
+    for _ in range(300):
+        a, b, c = rng.integers(0, 1 << 63, 3).astype(np.uint64) * np.uint64(2)
+        same.append((signature(np.array([a, b])) == signature(np.array([a, c]))).mean())
+    assert abs((np.mean(same) - 1 / 16) / (15 / 16) - 1 / 3) < 0.06
+
+
 def removed(rows, size):
     own = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
@@ -327,6 +381,8 @@ def test_language_model_of_large_filters(small, docs):
     for limits in ((10, 1 << 20, 1 << 20), (1 << 20, 10, 1 << 20), (1 << 20, 1 << 20, 50)):
         for most_bytes in (0, m.MOST_BYTES):
             assert of(m.score(docs, ask, most_bytes=most_bytes, limits=limits), *names) == want
+    rounded = lambda df: Counter((*(r[c] for c in names[:5]), *(round(r[c], 7) for c in names[5:])) for r in df.collect())
+    assert rounded(m.score(docs, ask, chunk=7)) == rounded(m.score(docs, ask))
 
 
 def test_full_pair_filter_ends():
