@@ -4,7 +4,9 @@ Every round splits the groups that are left by their next block of bytes. A bloc
 of it. Blocks grow fourfold from round to round, so a text of n bytes takes about log4(n) rounds. A group that has
 one member, or whose members have ended, leaves with its result; only members of the other groups go on, with the
 bytes that are left. Counting a digit is an aggregation with partial sums, so a group that holds a third of all
-rows costs one row for each map task; handing the counts back is an equi-join that Spark can split where it is skewed.
+rows costs one row for each map task. The groups that go on are written with a number each, which is their identity in
+the next round, and are handed back by an equi-join of plain tables: a broadcast where they are few, else a join that
+Spark splits where a group is hot.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 SPACES = r"[\x20\x09-\x0D]+"
 FIRST_BLOCK = 64
@@ -33,30 +35,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     larger than any other: it is keep_id only where all members of the group have none, and then all are kept. Other
     columns are ignored. An empty table gives an empty table.
     """
-    active = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("rest")).select(
-        "doc_id", F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("path"), "rest"
-    )
+    active = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("rest")).select("doc_id", F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), "rest")
     width, finished = FIRST_BLOCK, []
     while True:
-        key = ["gid", "path", "block", "ended"]
+        key = ["gid", "block", "ended"]
         keyed = active.withColumns({"block": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
-        # path tells groups apart whose smallest ids are the same because ids are null or repeated
-        groups = keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+        # written, so that each group has one number for good and the join sees plain tables, whose hot keys it can split
+        groups = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("number", F.monotonically_increasing_id()), "groups")
         split = keyed.join(groups, key, "left").select(
             "doc_id",
             "text_sha256",
             F.coalesce("keep_id", F.when(F.col("n").isNull(), F.col("doc_id"))).alias("keep_id"),
             F.coalesce("n", F.lit(1)).alias("group_size"),
             (F.col("n").isNull() | F.col("ended")).alias("done"),
-            F.xxhash64("path", "block").alias("path"),
+            "number",
             F.when(F.col("n").isNotNull() & ~F.col("ended"), F.expr(f"substring(rest, {width + 1})")).alias("rest"),
         )
         level = cut(split, f"level{len(finished)}")
+        drop(groups)
         finished.append(level.where("done").select("doc_id", "keep_id", "group_size", "text_sha256"))
         going = level.where("not done")
         if going.isEmpty():
             break
-        active = going.select("doc_id", "text_sha256", F.coalesce("keep_id", F.lit(-1)).alias("gid"), "path", "rest")
+        active = going.select("doc_id", "text_sha256", F.col("number").alias("gid"), "rest")
         width = min(width * GROWTH, LARGEST_BLOCK)
     out = finished[0]
     for part in finished[1:]:
