@@ -2,7 +2,7 @@
 
 A document's five-word shingles are hashed once and binned by their high bits; a bin keeps its smallest hash. Empty
 bins are filled by optimal densification: each draws bins by its own two-universal sequence until it meets a filled
-one. Of each bin's value the low bits of a hash that depends on the bin are packed into the fingerprint, and likeness
+one, however long that takes. Of each bin's value the low bits of a hash that depends on the bin are packed into the fingerprint, and likeness
 is corrected for the matches that chance gives so few bits.
 """
 
@@ -21,8 +21,6 @@ from .common import RollingHashes, WordHashes, mix, word_hashes
 SHINGLE = 5
 BINS = 512
 BITS = 4
-#: Rows of a range of ids that is worked on in order.
-RANGE_ROWS = 20_000
 _cache, _rolling = WordHashes(), RollingHashes()
 
 
@@ -34,13 +32,18 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return _rolling.runs(_rolling.prefix(word_hashes(words, _cache)), min(shingle, len(words)))
 
 
-def _draws(bins: int) -> np.ndarray:
-    """Row t: the bins that the bins draw at their t-th try."""
-    tries = np.arange(64, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    return (mix(np.arange(1, bins + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93) + tries) % np.uint64(bins)).astype(np.int64)
+#: Draws of all bins, by the number of bins, a block of TRIES at a time; more blocks are made when a text needs them.
+_drawn: dict[int, list[np.ndarray]] = {}
+TRIES = 64
 
 
-DRAWS = {BINS: _draws(BINS)}
+def draws(bins: int, block: int) -> np.ndarray:
+    """Row t: the bins that the bins draw at try block * TRIES + t."""
+    known = _drawn.setdefault(bins, [])
+    while len(known) <= block:
+        tries = np.arange(len(known) * TRIES, (len(known) + 1) * TRIES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        known.append((mix(np.arange(1, bins + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93) + tries) % np.uint64(bins)).astype(np.int16))
+    return known[block]
 
 
 def signature(hashes: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndarray | None:
@@ -54,20 +57,13 @@ def signature(hashes: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndar
     filled[place] = True
     np.minimum.at(low, place, hashes & ((np.uint64(1) << shift) - np.uint64(1)))
     empty = np.nonzero(~filled)[0]
-    draws = DRAWS.get(bins)
-    if draws is None:
-        draws = DRAWS[bins] = _draws(bins)
-    out = low.copy()
-    for t in range(len(draws)):
-        if not len(empty):
-            break
-        drawn = draws[t, empty]
-        found = filled[drawn]
-        out[empty[found]] = low[drawn[found]]
-        empty = empty[~found]
-    if len(empty):  # bins that met none in all tries take the next filled one round the circle
-        there = np.nonzero(filled)[0]
-        out[empty] = low[there[np.searchsorted(there, empty) % len(there)]]
+    out, block = low.copy(), 0
+    while len(empty):
+        drawn = draws(bins, block)[:, empty]
+        hit = filled[drawn]
+        found = hit.any(axis=0)
+        out[empty[found]] = low[drawn[hit.argmax(axis=0)[found], np.nonzero(found)[0]]]
+        empty, block = empty[~found], block + 1
     # the bin's number goes in, so that values that fill many bins match by chance in each for itself
     return (mix(out * np.uint64(2) + np.uint64(1) ^ mix(np.arange(1, bins + 1, dtype=np.uint64))) & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
@@ -130,42 +126,28 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is its own next. Null texts count as empty; a text without words has an empty fingerprint, whose likeness is 1 to
     another such and else 0. Other columns are ignored; an empty table gives an empty table.
 
-    Rows are dealt into ranges of doc_id of about RANGE_ROWS rows; each range also gets the first row of the next
-    range, so the whole order costs one shuffle.
+    Rows are dealt into as many ranges of doc_id as there are shuffle partitions, at the borders that a
+    repartitionByRange of the ids alone finds; each range also gets the first row of the next one, so the whole order
+    costs one shuffle of the texts. What goes to the workers is one border for each partition, whatever the input.
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = source.count()
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    cuts = sorted(set(source.select(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or [])) if buckets > 1 else []
-    return _dealt(spark, source, cuts)
-
-
-def _dealt(spark, source: DataFrame, cuts: list[int]) -> DataFrame:
-    numbers = pa.array(cuts, pa.int64()).to_numpy(zero_copy_only=False)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(numbers, batch.column(0).to_numpy(), side="right")), batch.column(0)], ["bucket", "id"])
-
-    firsts = source.select("id").mapInArrow(place, "bucket long, id long").groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()  # a row a range
-    # the first row of each range also goes to the range before it, and the very first to the last range
-    sent = {r.id: firsts[i - 1].bucket for i, r in enumerate(firsts)}
-    heads = np.array(sorted(sent), np.int64)
-    targets = np.array([sent[i] for i in heads.tolist()], np.int64)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = source.select("id").repartitionByRange(partitions, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("first"))
+    firsts = np.array(sorted(r["first"] for r in ranges.collect()), np.int64)  # at most one for each partition
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            own = np.searchsorted(numbers, ids, side="right")
-            at = np.minimum(np.searchsorted(heads, ids), len(heads) - 1)
-            twice = np.nonzero(heads[at] == ids)[0]
+            own = np.searchsorted(firsts, ids, side="right") - 1
+            # a range's first row also goes to the range before it, and the very first to the last range
+            twice = np.nonzero(firsts[own] == ids)[0]
             rows = pa.array(np.concatenate([np.arange(len(ids)), twice]))
             extra = np.concatenate([np.zeros(len(ids), bool), np.ones(len(twice), bool)])
-            buckets = np.concatenate([own, targets[at[twice]]]).astype(np.int64)
+            buckets = np.concatenate([own, (own[twice] - 1) % len(firsts)])
             yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(extra)], ["bucket", "doc_id", "text", "extra"])
 
     dealt = source.mapInArrow(deal, "bucket long, doc_id long, text string, extra boolean")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text").mapInArrow(_ranges, schema)
+    return dealt.repartitionById(partitions, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "extra", "doc_id", "text").mapInArrow(_ranges, schema)
