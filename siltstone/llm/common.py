@@ -108,17 +108,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 class RollingHashes:
     """Hashes of all runs of k consecutive items, by prefix sums of a polynomial modulo 2**64."""
 
-    MULTIPLIER = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
-        self.size = 0
+    def __init__(self, multiplier: int = 0x9E3779B97F4A7C15) -> None:
+        self.size, self.multiplier = 0, multiplier
 
     def grow(self, n: int) -> None:
         if n > self.size:
             self.size = 1 << n.bit_length()
-            inverse = pow(self.MULTIPLIER, -1, 1 << 64)
+            inverse = pow(self.multiplier, -1, 1 << 64)
             one = np.ones(self.size, np.uint64)
-            for name, factor in (("up", self.MULTIPLIER), ("down", inverse)):
+            for name, factor in (("up", self.multiplier), ("down", inverse)):
                 powers = one.copy()
                 powers[1:] = factor
                 setattr(self, name, np.multiply.accumulate(powers))

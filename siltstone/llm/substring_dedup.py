@@ -3,9 +3,12 @@
 Seeds: of the k-word grams in every window of `words` words the smallest hash is the window's anchor (winnowing), so
 two documents that share a window share its anchor. One aggregation finds the anchors that occur in more than one
 document; only their smallest and largest doc_id are kept, whatever the number of copies.
-Extension: in the documents that hold a shared anchor every placement of a window around it, both ways, is hashed,
-and again one aggregation gives the smallest doc_id that holds it. A window that a smaller doc_id holds too is a
-repeat; overlapping repeats merge into maximal ones, whose words go.
+Extension: a document that holds a shared anchor extends it both ways over every placement of a window round it. The
+placements are hashed twice, with independent multipliers over independent word hashes, so that windows count as equal
+by 128 bits (10**13 windows then have a false match with probability 10**-12). One aggregation gives the smallest doc_id
+that holds a window; a window that a smaller doc_id holds too is a repeat, and overlapping repeats merge into maximal
+ones, whose words go. The rule asks for any smaller document, not for one partner, so extending against one other
+document at a time would lose repeats; that is why placements are grouped and not pairs compared.
 No pair of documents is formed at any point, so a passage that a third of all documents share costs a row for each
 occurrence and no more.
 """
@@ -20,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHashes, WordHashes, cut, utf8, word_hashes
+from .common import RollingHashes, WordHashes, cut, drop, mix, utf8, word_hashes
 
 WORDS = 50
 GRAM = 20
 #: Words of a batch that are worked on together.
 CHUNK = 400_000
-_cache, _rolling = WordHashes(), RollingHashes()
+_cache, _rolling, _second = WordHashes(), RollingHashes(), RollingHashes(0xD1342543DE82EF95)
 
 
 def sliding_minimum(x: np.ndarray, k: int) -> np.ndarray:
@@ -45,7 +48,7 @@ class Windows:
         lengths = np.array([len(w) for w in words], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         items = np.concatenate([word_hashes(w, _cache) for w in words]) if words else np.zeros(0, np.uint64)
-        self.prefix, self.size = _rolling.prefix(items), size
+        self.items, self.prefix, self.size = items, _rolling.prefix(items), size
         counts = np.maximum(lengths - size + 1, 0)
         self.doc = np.repeat(np.arange(len(words)), counts)
         self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts) + self.offsets[self.doc]
@@ -55,6 +58,12 @@ class Windows:
     def hashes(self, which: np.ndarray) -> np.ndarray:
         return _rolling.runs(self.prefix, self.size)[self.at[which]].view(np.int64) if len(which) else np.zeros(0, np.int64)
 
+    def checks(self, which: np.ndarray) -> np.ndarray:
+        """Second hashes, independent of the first."""
+        if not len(which):
+            return np.zeros(0, np.int64)
+        return _second.runs(_second.prefix(mix(self.items ^ np.uint64(0xA0761D6478BD642F))), self.size)[self.at[which]].view(np.int64)
+
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Rows whose texts have about CHUNK words together, and their words; a long text comes alone."""
@@ -102,7 +111,7 @@ def _extend(size: int, gram: int):
             w = Windows(words, size, gram)
             later = _member(w.anchor, w.doc, _lists(batch.column(3)))
             which = np.nonzero(later | _member(w.anchor, w.doc, _lists(batch.column(2))))[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.doc[which])), pa.array(w.hashes(which)), pa.array(later[which])], ["doc_id", "window", "later"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.doc[which])), pa.array(w.hashes(which)), pa.array(w.checks(which)), pa.array(later[which])], ["doc_id", "window", "check", "later"])
 
     return run
 
@@ -156,21 +165,24 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts
     A word goes if a window of `words` consecutive words that covers it also starts in a document with a smaller
     doc_id; all windows are judged on the input. Null texts have no words; texts shorter than a window keep all. Rows
     with a null doc_id lose nothing and take nothing from others. Rows that repeat a doc_id are one document as to
-    what others lose, and lose what smaller ids hold. Windows are compared by 64-bit hashes. Other columns are
+    what others lose, and lose what smaller ids hold. Windows are compared by 128 bits of hashes. Other columns are
     ignored; an empty table gives an empty table.
     """
     if clash := {"doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"} & set(carry):
         raise ValueError(f"carried columns have names of the result's: {sorted(clash)}")
     texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), *carry)
     seeds = cut(texts_of.where("doc_id is not null").select("doc_id", "body").mapInArrow(_anchors(words, gram), "doc_id long, anchor long"), "seeds")
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low")
+    # counts are written before they are joined: a join of plain tables is one whose hot keys Spark can split
+    shared = cut(seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low"), "shared")
     mine = seeds.join(shared, "anchor").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("doc_id") == F.col("low"), F.col("anchor"))).alias("provided"), F.collect_set(F.when(F.col("doc_id") != F.col("low"), F.col("anchor"))).alias("wanted")
     )
     joined = cut(texts_of.join(mine, "doc_id", "left").select("doc_id", "body", "provided", "wanted", *carry), "seeded")
-    held = joined.where("wanted is not null").select("doc_id", "body", "provided", "wanted").mapInArrow(_extend(words, gram), "doc_id long, window long, later boolean")
-    first = held.groupBy("window").agg(F.min("doc_id").alias("low"))
-    gone = held.where("later").join(first, "window").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("gone"))
+    drop(seeds, shared)
+    held = cut(joined.where("wanted is not null").select("doc_id", "body", "provided", "wanted").mapInArrow(_extend(words, gram), "doc_id long, window long, check long, later boolean"), "held")
+    first = cut(held.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "check", "low"), "first")
+    gone = cut(held.where("later").join(first, ["window", "check"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("gone")), "gone")
+    drop(held, first)
     schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>", *["kept_text string"] * texts, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     whole = joined.where("wanted is null or size(wanted) = 0").select("doc_id", "body", "wanted", F.lit(None).cast("array<long>").alias("gone"), *carry)
     some = joined.where("size(wanted) > 0").join(gone, "doc_id", "left").select("doc_id", "body", "wanted", "gone", *carry)
