@@ -5,8 +5,8 @@ of it. Blocks grow fourfold from round to round, so a text of n bytes takes abou
 one member, or whose members have ended, leaves with its result; only members of the other groups go on, with the
 bytes that are left. Counting a digit is an aggregation with partial sums, so a group that holds a third of all
 rows costs one row for each map task. The groups that go on are written with a number each, which is their identity in
-the next round, and are handed back by an equi-join of plain tables: a broadcast where they are few, else a join that
-Spark splits where a group is hot.
+the next round, and are handed back by a merge join of plain tables, which Spark splits where a group is hot. It is a
+merge join at every size, so that what a round costs is in proportion to its input.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         keyed = active.withColumns({"block": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
         # written, so that each group has one number for good and the join sees plain tables, whose hot keys it can split
         groups = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("number", F.monotonically_increasing_id()), "groups")
-        split = keyed.join(groups, key, "left").select(
+        split = keyed.join(groups.hint("merge"), key, "left").select(
             "doc_id",
             "text_sha256",
             F.coalesce("keep_id", F.when(F.col("n").isNull(), F.col("doc_id"))).alias("keep_id"),
