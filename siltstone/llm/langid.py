@@ -1,14 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes both ways and labels every position; its states start anew at white space, so what it
-says of a word depends on the word alone, and a word that comes again need not be read again. A document's probability
-of each language is the mean over all positions of all its words. Training is backpropagation through time, in
-numpy, on the driver, over the words of a bounded sample of labelled rows; prediction needs the weights only.
+The network reads a text's bytes both ways, white space and all, and labels every position; a document's probability
+of each language is the mean over all its positions. So that long texts keep memory bounded and short ones run side by
+side, a text is read in pieces of PIECE bytes, each with MARGIN bytes of what stands before and after it: their states
+run in from there, and only the piece's own positions count. No text is cut short and every position is labelled once.
+Beside the languages the network learns noise (characters of real windows in random order, and random letters), by which a
+caller may reject documents that are in no learned language. Training is backpropagation through time, in numpy, on
+the driver, over a bounded sample of windows of labelled rows; prediction needs the weights only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,23 +22,30 @@ from .common import utf8
 
 HIDDEN = 12
 EMBED = 8
-STEPS = 250
-BATCH = 512
+STEPS = 300
+BATCH = 384
 RATE = 0.02
-#: Bytes of a word that the network reads at a time; longer words are read in pieces of so many.
-SPAN = 24
-#: Labelled rows of each language that training sees, about.
-SAMPLE_ROWS = 300
-#: Words whose labels a worker remembers before it starts anew.
-WORDS_KEPT = 300_000
+PIECE, MARGIN = 512, 16
+#: Pieces that are read side by side, and bytes of texts that a worker takes at a time; a longer text comes alone.
+LANES, TAKEN = 1024, 1 << 21
+#: The sample that training sees: labelled rows of each language, about, and windows of each row, spread over its whole
+#: text, of so many bytes.
+SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 300, 8, 64
+NOISE = "\0noise"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
 class ByteGRU:
-    """Bidirectional gated recurrent units; numbers are float32."""
+    """Bidirectional gated recurrent units; numbers are float32. x is steps x lanes of bytes, there says which of them
+    are in a lane's text (its first ones); what lies beyond is not read by the backward run and not counted."""
 
     def __init__(self, labels: list[str], seed: int = 7, hidden: int = HIDDEN, embed: int = EMBED) -> None:
         rng = np.random.default_rng(seed)
@@ -45,41 +54,49 @@ class ByteGRU:
         def init(*shape: int) -> np.ndarray:
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-        self.w = {"E": rng.standard_normal((257, embed)).astype(np.float32) * 0.5, "V": init(2 * hidden, len(labels)), "c": np.zeros(len(labels), np.float32)}
+        self.w = {"E": rng.standard_normal((256, embed)).astype(np.float32) * 0.5, "V": init(2 * hidden, len(labels)), "c": np.zeros(len(labels), np.float32)}
         for d in "fb":
             self.w |= {f"W{d}": init(embed, 3 * hidden), f"U{d}": init(hidden, 2 * hidden), f"R{d}": init(hidden, hidden), f"b{d}": np.zeros(3 * hidden, np.float32)}
 
-    def run(self, x: np.ndarray, there: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """x: words x steps of bytes (256 beyond a word's end); there: which of them are in the word."""
+    def run(self, x: np.ndarray, there: np.ndarray, d: str, tape: list | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Each step and the states after it, first step first or last step first."""
         w, h = self.w, self.hidden
         project = w["E"] @ w[f"W{d}"] + w[f"b{d}"]
-        state = np.zeros((len(x), h), np.float32)
-        out, tape = np.zeros((x.shape[1], len(x), h), np.float32), []
-        for t in range(x.shape[1]) if d == "f" else reversed(range(x.shape[1])):
-            a = project[x[:, t]]
+        state = np.zeros((x.shape[1], h), np.float32)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            a = project[x[t]]
             gates = _sigmoid(a[:, : 2 * h] + state @ w[f"U{d}"])
             z, r = gates[:, :h], gates[:, h:]
             n = np.tanh(a[:, 2 * h :] + (r * state) @ w[f"R{d}"])
-            m = there[:, t, None]
-            new = np.where(m, state + z * (n - state), state)
-            if keep:
-                tape.append((t, state, z, r, n, m))
-            state = out[t] = new
-        return out, tape
-
-    def labels_of(self, x: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """steps x words x labels: probabilities of every position."""
-        both = np.concatenate([self.run(x, there, "f")[0], self.run(x, there, "b")[0]], axis=2)
-        return _softmax(both @ self.w["V"] + self.w["c"])
-
-    def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+            new = state + z * (n - state)
+            if d == "b":
+                new *= there[t, :, None]
+            if tape is not None:
+                tape.append((t, state, z, r, n))
+            state = new
+            yield t, state
+
+    def sums(self, x: np.ndarray, there: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """lanes x labels: probabilities summed over the positions that are a lane's own."""
+        h = self.hidden
+        front = np.empty((*x.shape, h), np.float32)
+        for t, state in self.run(x, there, "f"):
+            front[t] = state
+        out = np.zeros((x.shape[1], len(self.labels)), np.float64)
+        for t, state in self.run(x, there, "b"):
+            if own[t].any():
+                out += _softmax(front[t] @ self.w["V"][:h] + state @ self.w["V"][h:] + self.w["c"]) * own[t, :, None]
+        return out
+
+    def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Cross-entropy at all positions, by backpropagation through time."""
         w, h = self.w, self.hidden
-        runs = {d: self.run(x, there, d, keep=True) for d in "fb"}
-        both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
+        both, tapes = np.zeros((*x.shape, 2 * h), np.float32), {"f": [], "b": []}
+        for d, side in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            for t, state in self.run(x, there, d, tapes[d]):
+                both[t, :, side] = state
         p = _softmax(both @ w["V"] + w["c"])
-        scale = (there.T * weight).astype(np.float32)
-        scale /= scale.sum()
+        scale = (there / there.sum()).astype(np.float32)
         loss = float(-(np.log(np.maximum(p[:, np.arange(len(y)), y], 1e-9)) * scale).sum())
         delta = p.copy()
         delta[:, np.arange(len(y)), y] -= 1
@@ -90,35 +107,42 @@ class ByteGRU:
         back = delta @ w["V"].T
         for d, side in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             W, U, R = w[f"W{d}"], w[f"U{d}"], w[f"R{d}"]
-            carry = np.zeros((len(x), h), np.float32)
-            pre = np.zeros((257, 3 * h), np.float32)
-            for t, state, z, r, n, m in reversed(runs[d][1]):
+            carry = np.zeros((x.shape[1], h), np.float32)
+            pre = np.zeros((256, 3 * h), np.float32)
+            for t, state, z, r, n in reversed(tapes[d]):
                 ds = back[t][:, side] + carry
-                dn = np.where(m, ds * z * (1 - n * n), 0)
-                dz = np.where(m, ds * (n - state) * z * (1 - z), 0)
+                if d == "b":
+                    ds = ds * there[t, :, None]
+                dn = ds * z * (1 - n * n)
+                dz = ds * (n - state) * z * (1 - z)
                 drs = dn @ R.T
                 dr = drs * state * r * (1 - r)
                 dg = np.concatenate([dz, dr], axis=1)
-                carry = np.where(m, ds * (1 - z), ds) + drs * r + dg @ U.T
+                carry = ds * (1 - z) + drs * r + dg @ U.T
                 g[f"R{d}"] += (r * state).T @ dn
                 g[f"U{d}"] += state.T @ dg
-                np.add.at(pre, x[:, t], np.concatenate([dg, dn], axis=1))
+                np.add.at(pre, x[t], np.concatenate([dg, dn], axis=1))
             g[f"b{d}"] = pre.sum(0)
             g[f"W{d}"] = w["E"].T @ pre
             g["E"] += pre @ W.T
         return loss, g
 
-    def fit(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
-        """Adam over batches drawn by weight. Returns the last batches' mean loss."""
+    def fit(self, windows: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
+        """windows: of each label but the last, which is noise. Adam over batches in which labels are equally often.
+        Returns the last batches' mean loss."""
         rng = np.random.default_rng(seed)
-        share = np.cumsum(weight / weight.sum())
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         losses = []
         for step in range(1, steps + 1):
-            some = np.minimum(np.searchsorted(share, rng.random(batch)), len(words) - 1)
-            x, there = grid([words[i] for i in some])
-            loss, g = self.gradients(x, there, y[some], np.ones(batch, np.float32))
+            y = rng.integers(0, len(self.labels), batch)
+            some = []
+            for label in y.tolist():
+                of = label if label < len(windows) else int(rng.integers(len(windows)))
+                window = windows[of][int(rng.integers(len(windows[of])))]
+                some.append(window if label < len(windows) else noise_like(window, rng))
+            x, there = grid(some)
+            loss, g = self.gradients(x, there, y)
             losses.append(loss)
             now = rate * 0.5 * (1 + np.cos(np.pi * step / steps))
             for k, v in g.items():
@@ -127,102 +151,112 @@ class ByteGRU:
                 self.w[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return float(np.mean(losses[-20:]))
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum over its positions of the labels' probabilities."""
-        pieces = [(i, w[at : at + SPAN]) for i, w in enumerate(words) for at in range(0, len(w), SPAN)]
-        pieces.sort(key=lambda x: len(x[1]))
-        out = np.zeros((len(words), len(self.labels)), np.float64)
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            x, there = grid([w for _, w in some])
-            p = self.labels_of(x, there)
-            np.add.at(out, [i for i, _ in some], (p * there.T[:, :, None]).sum(0))
-        return out
-
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
-
-
-def grid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(w) for w in words])
-    steps = max(1, int(lengths.max()))
-    there = np.arange(steps)[None, :] < lengths[:, None]
-    x = np.full((len(words), steps), 256, np.int64)
-    x[there] = np.frombuffer(b"".join(words), np.uint8)
-    return x, there
-
-
-def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> ByteGRU | None:
+def noise_like(window: bytes, rng: np.random.Generator) -> bytes:
+    """The window's characters in random order, or as many random letters, or random printable characters."""
+    kind = int(rng.integers(3))
+    if kind == 0:
+        return "".join(rng.permutation(list(window.decode(errors="ignore"))).tolist()).encode() or window
+    low, high = ((97, 123), (33, 127))[kind - 1]
+    return rng.integers(low, high, len(window)).astype(np.uint8).tobytes()
+
+
+def grid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """steps x lanes."""
+    lengths = np.array([len(w) for w in texts])
+    there = np.arange(max(1, int(lengths.max(initial=0))))[None, :] < lengths[:, None]
+    x = np.zeros(there.shape, np.uint8)
+    x[there] = np.frombuffer(b"".join(texts), np.uint8)
+    return np.ascontiguousarray(x.T), np.ascontiguousarray(there.T)
+
+
+def document_sums(model: ByteGRU, texts: list[bytes], piece: int = PIECE, margin: int = MARGIN) -> np.ndarray:
+    """texts x labels: probabilities summed over all bytes of each text."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    counts = -(-lengths // piece)
+    text = np.repeat(np.arange(len(texts)), counts)
+    at = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * piece
+    low, high = np.maximum(at - margin, 0), np.minimum(at + piece + margin, lengths[text])
+    order = np.argsort(high - low, kind="stable")
+    out = np.zeros((len(texts), len(model.labels)), np.float64)
+    for k in range(0, len(order), LANES):
+        some = order[k : k + LANES]
+        step = np.arange(int((high - low)[some].max()))[:, None]
+        there = step < (high - low)[some]
+        place = low[some] + step
+        own = there & (place >= at[some]) & (place < at[some] + piece)
+        x = data[np.minimum(begins[text[some]] + place, len(data) - 1)]
+        np.add.at(out, text[some], model.sums(x, there, own))
+    return out
+
+
+def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, window: int = WINDOW) -> ByteGRU | None:
     """From the given rows, which must be training rows only. Of each label about `rows` rows are taken, by a hash of
-    the id, with their whole texts; their distinct words come to the driver. None if nothing is labelled."""
+    the id, and of each row at most `windows` windows of `window` bytes, evenly over its whole text; they come to the
+    driver, so many bytes for each label at most, whatever the input. None if nothing is labelled."""
     counts = {str(r[label]): r["n"] for r in docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     labels = sorted(counts)
     shares = F.create_map(*(x for k in labels for x in (F.lit(k), F.lit(min(1.0, rows / counts[k])))))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = docs.where(F.col(label).isNotNull() & (draw < shares[F.col(label).cast("string")])).select(F.col(label).cast("string").alias("label"), utf8(text_col).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for w in text.as_py().split():
-                    for at in range(0, len(w), SPAN):
-                        seen[name, w[at : at + SPAN]] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["label", "word", "n"])
-
-    counted = sample.mapInArrow(count, "label string, word binary, n long").groupBy("label", "word").agg(F.sum("n").alias("n"))
-    seen = {(bytes(r["word"]), labels.index(r["label"])): r["n"] for r in counted.orderBy("label", "word").collect()}
-    model = ByteGRU(labels)
-    if seen:
-        keys = list(seen)
-        weight = np.array([seen[k] for k in keys], np.float64)
-        y = np.array([k[1] for k in keys])
-        weight /= np.bincount(y, weight, len(labels))[y]  # languages count alike
-        model.fit([k[0] for k in keys], y, weight)
+    size, body = F.octet_length("text"), F.col("text")
+    # evenly: the k-th of m windows begins at k / m of the text; texts of a window or less are taken whole
+    many = F.least(F.lit(windows), F.greatest(F.lit(1), F.floor(size / window).cast("int")))
+    sample = docs.where(F.col(label).isNotNull() & (draw < shares[F.col(label).cast("string")])).select(F.col(label).cast("string").alias("label"), F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    taken = sample.withColumn("many", many).withColumn("k", F.explode(F.expr("sequence(0, many - 1)"))).select("label", "id", "k", F.substring(body, (F.floor(size * F.col("k") / F.col("many")) + 1).cast("int"), F.lit(window)).alias("window"))
+    seen: list[list[bytes]] = [[] for _ in labels]
+    for r in taken.where("octet_length(window) > 0").orderBy("label", "id", "k", "window").collect():
+        seen[labels.index(r["label"])].append(bytes(r["window"]))
+    labels, seen = [k for k, x in zip(labels, seen, strict=True) if x], [x for x in seen if x]
+    if not labels:
+        return None
+    model = ByteGRU([*labels, NOISE])
+    model.fit(seen)
     return model
 
 
 def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (the id unless given), lang_pred, score (0 to 1). A null text, a text without a letter, and all
-    texts where there is no model are `und`, score 0. Only the text is looked at, all of it."""
+    """keep's columns (the id unless given), lang_pred, score (the language's share of all languages' probability),
+    noise (mean probability over the text that it is noise). A null text, a text without a letter, and all texts where
+    there is no model are `und`, score 0, noise 0. Only the text is looked at, all of it; ties go to the label that
+    sorts first; an empty table gives an empty table and other columns are ignored."""
     keep = keep or [id_col]
     weights = None if model is None else docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(texts: list[bytes | None]) -> tuple[list, list, list]:
         own = weights.value if weights else None
-        number: dict[bytes, int] = {}
-        table = np.zeros((0, len(own.labels) if own else 1))
+        busy = [i for i, t in enumerate(texts) if t and own and any(map(str.isalpha, t.decode()))]
+        labels, scores, noise = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        if busy:
+            sums = document_sums(own, [texts[i] for i in busy])
+            languages = sums[:, :-1]
+            best = languages.argmax(axis=1)
+            share = languages.max(axis=1) / np.maximum(languages.sum(axis=1), 1e-300)
+            for i, b, s, n in zip(busy, best.tolist(), share.tolist(), (sums[:, -1] / sums.sum(axis=1)).tolist(), strict=True):
+                labels[i], scores[i], noise[i] = own.labels[b], min(1.0, s), min(1.0, n)
+        return labels, scores, noise
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                texts = some.column(len(keep)).to_pylist()
-                words = [t.split() if t and own else [] for t in texts]
-                if len(number) > WORDS_KEPT:
-                    number, table = {}, table[:0]
-                fresh = sorted(set().union(*words) - number.keys())
-                if fresh:
-                    number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
-                    table = np.concatenate([table, own.sums(fresh)])
-                labels, scores = [], []
-                for t, w in zip(texts, words, strict=True):
-                    if not w or not any(c.isalpha() for c in t.decode()):
-                        labels.append("und"), scores.append(0.0)
-                        continue
-                    p = table[np.fromiter(map(number.__getitem__, w), np.int64, len(w))].sum(0)
-                    best = int(p.argmax())
-                    labels.append(own.labels[best]), scores.append(float(min(1.0, p[best] / p.sum())))
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+            sizes = np.array([0 if t is None else len(t) for t in batch.column(len(keep)).to_pylist()])
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKEN, side="right")))
+                some = batch.slice(at, to - at)
+                labels, scores, noise = labelled(some.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())], [*keep, "lang_pred", "score", "noise"])
+                at = to
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", "noise double"])
     return docs.select(*keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, held_out: F.Column) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score. Learns from rows that are not held out.
+    """One row per row of docs: doc_id, held_out, lang_pred, score, noise. Learns from rows that are not held out.
 
     Ties in a document's probabilities go to the label that sorts first. Repeated rows are rows of their own; other
     columns are ignored; an empty table gives an empty table, and a table without labels `und` throughout.
