@@ -24,6 +24,8 @@ from .words import Blocks, unpack, values_of, with_values, word_values
 
 #: Pieces of words that a worker remembers before it starts anew.
 PIECES_KEPT = 600_000
+#: Blocks may be larger than the usual: only their positions and distinct words are held.
+LIMITS = (6_000_000, 700_000, 32 << 20)
 #: Composed Latin letters and signs, without white space and without the one letter whose lower case is two characters.
 LATIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
 
@@ -94,7 +96,7 @@ def pieces(path: str) -> list[bytes]:
     return [(own.tokenizer.id_to_token(i) or "").encode() for i in range(own.size)]
 
 
-def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] = LIMITS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (little-endian 32-bit ids), decoded_sha256, and with
     texts also ids and decoded.
 

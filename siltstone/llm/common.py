@@ -17,6 +17,7 @@ ROWS_AT_A_TIME = 512
 #: Words whose hashes a worker remembers before it starts anew.
 CACHE_ENTRIES = 400_000
 _own_dir: list[str] = []
+_written: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,12 +54,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     place = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
     path = f"{place}/{name}"
     delete_at_exit(spark, place)
+    for written in _written:
+        written.append(place)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
     return out
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut() of what make gives, after which all tables that it wrote on the way are deleted."""
+    _written.append([])
+    try:
+        out = cut(make(), name)
+    finally:
+        places = _written.pop()
+    for place in places[:-1]:
+        delete(spark, place)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more."""
     for df in tables:

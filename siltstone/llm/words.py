@@ -60,6 +60,15 @@ def pack_rising(x: np.ndarray) -> bytes:
     return pack(np.diff(x.astype(np.int64), prepend=0))
 
 
+def squeeze(body: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(body).to_bytes(4, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unsqueeze(body: bytes) -> bytes:
+    return pa.decompress(memoryview(body)[4:], int.from_bytes(body[:4], "little"), codec="zstd", asbytes=True)
+
+
 def pack64(x: np.ndarray) -> bytes:
     """64-bit numbers a byte plane at a time."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -116,7 +125,7 @@ def block_rows(words_of: Callable[[pa.Array], pa.Array], end: bytes | None, flag
         bounds = [*bounds.tolist(), len(listed)]
         for at in range(0, len(full), 500):
             some = [by_bucket[a:b] for a, b in zip(bounds[at : at + 500], bounds[at + 1 :], strict=False)]
-            given = {"at": full[at : at + 500].astype(np.int32), "body": [BETWEEN.join(map(listed.__getitem__, x.tolist())) for x in some], "places": [pack_rising(x) for x in some], "n": [len(x) for x in some]}
+            given = {"at": full[at : at + 500].astype(np.int32), "body": [squeeze(BETWEEN.join(map(listed.__getitem__, x.tolist()))) for x in some], "places": [pack_rising(x) for x in some], "n": [len(x) for x in some]}
             yield rows(block, 1, **given, **({"counts": [pack(counts[x]) for x in some]} if flagged else {}))
         if extra:
             found = extra(raw, marks, ends, listed)
@@ -207,20 +216,20 @@ def word_values(blocks: Blocks, value: Callable[[bytes], bytes] | None = None) -
             for at in range(0, batch.num_rows, 100):
                 out = []
                 for block, _, body, places, _ in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns), strict=True):
-                    words = body.split(BETWEEN)
+                    words = unsqueeze(body).split(BETWEEN)
                     if len(known) > VALUES_KEPT:
                         known.clear()
                     for w in words:
                         if w not in known:
                             known[w] = value(w)
                     own = list(map(known.__getitem__, words))
-                    out.append((block, places, pack(np.fromiter(map(len, own), np.uint32, len(own))) + b"".join(own), 0))
+                    out.append((block, places, squeeze(pack(np.fromiter(map(len, own), np.uint32, len(own))) + b"".join(own)), 0))
                 yield batch_of(out)
 
     def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         number, summed = Numbers(), []
         for _, _, body, _, counts in held:
-            at = np.fromiter(map(number.__getitem__, body.split(BETWEEN)), np.int64)
+            at = np.fromiter(map(number.__getitem__, unsqueeze(body).split(BETWEEN)), np.int64)
             summed.append((at.astype(np.uint32), unpack(counts)))
         totals = np.zeros(len(number), np.int64)
         for at, counts in summed:
@@ -248,7 +257,7 @@ def word_values(blocks: Blocks, value: Callable[[bytes], bytes] | None = None) -
 def values_of(joined: pa.Table) -> list[bytes]:
     """The values of a block by position."""
     where, values = [], []
-    for a, b in zip(joined.column("places").to_pylist(), joined.column("body").to_pylist(), strict=True):
+    for a, b in zip(joined.column("places").to_pylist(), map(unsqueeze, joined.column("body").to_pylist()), strict=True):
         begin = len(a)
         ends = np.cumsum(unpack(b[:begin]).astype(np.int64)) + begin
         where.append(unpack_rising(a))
@@ -276,7 +285,7 @@ def _placed(where: list[np.ndarray], values: list[bytes]) -> list[bytes]:
 
 def placed_words(listed: pa.Table) -> list[bytes]:
     """The words of a block by position, of its rows of kind 1."""
-    return _placed([unpack_rising(x) for x in listed.column("places").to_pylist()], [w for x in listed.column("body").to_pylist() for w in x.split(BETWEEN)])
+    return _placed([unpack_rising(x) for x in listed.column("places").to_pylist()], [w for x in listed.column("body").to_pylist() for w in unsqueeze(x).split(BETWEEN)])
 
 
 def with_values(blocks: Blocks, values: DataFrame, function: Callable[..., pa.Table], schema: str, words: bool = False, more: DataFrame | None = None) -> DataFrame:

@@ -282,6 +282,26 @@ def removed(rows, size):
         yield i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))
 
 
+def first_windows(rows, size=50):
+    first = {}
+    for j, x in rows:
+        w = (x or "").encode().split()
+        for s in range(len(w) - size + 1 if j is not None else 0):
+            k = tuple(w[s : s + size])
+            first[k] = min(first.get(k, j), j)
+    return first
+
+
+def left_words(first, i, t, size=50):
+    """The words of the text t of document i that stay."""
+    w = t.encode().split()
+    gone = [False] * len(w)
+    for s in range(len(w) - size + 1 if i is not None else 0):
+        if first[tuple(w[s : s + size])] < i:
+            gone[s : s + size] = [True] * size
+    return [x.decode() for x, g in zip(w, gone, strict=True) if not g]
+
+
 def test_substring_dedup(docs, empty):
     from siltstone.llm.substring_dedup import substring_dedup
 
@@ -405,19 +425,69 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in predict(docs, None).collect()} == {"und"}
     model = ByteGRU(["a", "b"], hidden=3, embed=2)
     x, there = grid([b"abc", b"z"])
-    y, weight = np.array([0, 1]), np.ones(2, np.float32)
-    _, g = model.gradients(x, there, y, weight)
+    y = np.array([0, 1])
+    _, g = model.gradients(x, there, y)
     for name, at in (("E", (97, 1)), ("Uf", (1, 2)), ("Rb", (2, 0)), ("Wb", (1, 4)), ("V", (4, 1)), ("bf", (7,))):
         w, step = model.w[name], 1e-2
         old = w[at]
         w[at] = old + step
-        up = model.gradients(x, there, y, weight)[0]
+        up = model.gradients(x, there, y)[0]
         w[at] = old - step
-        down = model.gradients(x, there, y, weight)[0]
+        down = model.gradients(x, there, y)[0]
         w[at] = old
         assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3
 
 
+def plain_reading(model, data):
+    """Probabilities of every position, one number after the other."""
+    w, h, sides = {k: v.astype(float) for k, v in model.w.items()}, model.hidden, {}
+    for d in "fb":
+        state, seen = np.zeros(h), {}
+        for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+            a = w["E"][data[t]] @ w[f"W{d}"] + w[f"b{d}"]
+            z, r = (1 / (1 + np.exp(-(a[k * h : k * h + h] + state @ w[f"U{d}"][:, k * h : k * h + h]))) for k in (0, 1))
+            state = (1 - z) * state + z * np.tanh(a[2 * h :] + (r * state) @ w[f"R{d}"])
+            seen[t] = state
+        sides[d] = seen
+    scores = [np.concatenate([sides["f"][t], sides["b"][t]]) @ w["V"] + w["c"] for t in range(len(data))]
+    return np.array([np.exp(s) / np.exp(s).sum() for s in scores])
+
+
+def test_network_against_plain_reading():
+    from siltstone.llm.langid import ByteGRU, document_sums
+
+    model = ByteGRU(["a", "b", "c"], seed=3, hidden=4, embed=3)
+    texts = [b"x", words(9).encode(), "日本語 テキスト".encode() * 3, b"ab" * 40, words(3).encode()]
+    for piece, margin in ((512, 16), (7, 3), (1, 0), (80, 2)):
+        got = document_sums(model, texts, piece, margin)
+        for i, t in enumerate(texts):
+            want = np.zeros(3)
+            for at in range(0, len(t), piece):
+                low = max(0, at - margin)
+                want += plain_reading(model, t[low : at + piece + margin])[at - low : at - low + piece].sum(axis=0)
+            assert np.abs(got[i] - want).max() < 1e-3 * len(t) and abs(got[i].sum() - len(t)) < 1e-3 * len(t)
+    # a margin is enough run-in: pieces say about what one reading of the whole says
+    long = [words(400).encode()]
+    assert np.abs(document_sums(model, long, 64, 16) - document_sums(model, long, 1 << 20, 0)).max() < 0.02 * len(long[0])
+
+
+def test_noise_is_rejected(spark):
+    import corpus_pipeline as c
+    from siltstone.llm.langid import predict, train
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(8)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=600)) for _ in range(10)]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in (r["text"] for r in df.where("n_chars > 500").limit(10).collect())]
+    noise = spark.createDataFrame(list(enumerate(letters + shuffled)), "doc_id long, text string")
+    model = train(df)
+    said = {r["doc_id"]: r["noise"] for r in predict(noise, model).collect()}
+    assert min(said.values()) > c.REJECT, sorted(said.values())
+    kept = c.language(spark, df.select(*c.COLUMNS), "")
+    lettered = {r["doc_id"] for r in df.collect() if any(x.isalpha() for x in r["text"] or "")}
+    assert {r["doc_id"] for r in kept.collect()} <= lettered and kept.count() >= 0.999 * len(lettered)
+
+
 def test_licenses(docs, small, empty):
     from siltstone.llm.licenses import TEMPLATES, Scanner, license_scan
 
@@ -504,4 +574,49 @@ def test_pipeline(spark, docs):
     assert {r["doc_id"] for r in c.near(spark, with_id, "").collect()} == {x[0] for x in set(brute_components(prints).values())} | {14}
     cleaned = {r["doc_id"]: r for r in c.substrings(spark, with_id.where("doc_id in (11, 12, 14)"), "").collect()}
     assert cleaned[12]["text"] == "" and cleaned[12]["n_chars"] == 0 and cleaned[11]["text"] == dict(TEXTS)[11]
-    assert c.run(spark, SF).count() > 0
+
+
+def test_whole_pipeline_against_brute_force(spark, small, empty, tmp_path):
+    """All stages chained: the rows of run(), sequence numbers apart, and that sequences are filled without gaps."""
+    import corpus_pipeline as c
+
+    real = {r["doc_id"]: r["text"] for r in small.where("lang = 'en'").collect()}
+    text = max(real.values(), key=len)
+    passage = " ".join(text.split()[10:90])
+    more = [(None, text[:900]), (None, text[:900]), (1000, text), (1000, text), (1000, text + " "), (1001, passage), (1002, f"{text[-500:]} {passage}\n{text[100:700]}"), (1003, (text + " ") * 12), (1004, None), (1005, ""), (1006, "12 34"), (1007, "q x" * 400)]
+    extra = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long")
+    given = small.select(*c.COLUMNS).withColumn("n_chars", F.col("n_chars").cast("long")).unionByName(extra)
+    for name, df in (("some", given), ("none", empty.select(*c.COLUMNS))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    left = [(r["doc_id"], r["text"]) for r in c.language(spark, spark.read.parquet(f"{tmp_path}/some/documents.parquet"), "").collect()]
+    assert len(left) > 190 and not {1004, 1005, 1006} & {i for i, _ in left}
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, t in sorted(left, key=lambda x: order(x[0])):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t))
+    # of a document's equal rows the least stays, so it is the least text of those that normalise alike
+    left = [(i, min(t for j, t in left if j == i and re.sub(r"[\x20\x09-\x0D]+", " ", t) == n)) for n, (i, _) in first.items()]
+    prints = [fingerprint(t) for _, t in left]
+    roots = brute_components(dict(enumerate(prints)))
+    low = defaultdict(list)
+    for (i, _), x in zip(left, prints, strict=True):
+        low[roots[x]].append(i)
+    left = [x for x, y in zip(left, prints, strict=True) if x[0] == min(low[roots[y]], key=order)]
+    first, cleaned = first_windows(left), []
+    for i, t in left:
+        kept = left_words(first, i, t)
+        cleaned.append((i, t if len(kept) == len(t.split()) else " ".join(kept)))
+    assert any(t not in dict(left).values() for _, t in cleaned)
+    want = Counter()
+    for i, t in cleaned:
+        ids = [*library(t), 0]
+        want.update((i, k, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 2048)))
+    got = c.run(spark, f"{tmp_path}/some").collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in filled.values():
+        x.sort()
+        assert [a for a, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 2048
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
