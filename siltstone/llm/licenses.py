@@ -1,16 +1,19 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-Texts and templates become five-word shingles of lower-cased words without the punctuation round them. Windows of 4, 16
-or 64 shingles, a quarter of their length apart, get the minima of BANDS * ROWS hash functions; a window whose minima
-agree with a template window's in all rows of a band is a candidate. Template windows start at every shingle, so a copy
-of a template holds a text window equal to one of them, and a window pair of Jaccard similarity 0.8 collides with
-probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9997. Templates too short for windows of 4 are found by any of their
-shingles. Candidates are verified on the words themselves: the share of the template's shingles that one span of the
-text, a quarter longer than the template, contains.
+Texts and templates become five-word shingles of lower-cased words without the punctuation round them. Windows of 1, 2,
+4, 16 or 64 shingles, a quarter of their length apart, get the minima of BANDS * ROWS hash functions; a window whose
+minima agree with a template window's in all rows of a band is a candidate. Template windows start at every shingle and
+are the widest that any text span with 0.8 of the template's shingles must hold whole, so a copy that contains 0.8 of a
+template in one run holds a text window equal to one of them, and a window pair of Jaccard similarity 0.8 collides with
+probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9997. The similarity of windows of one shingle is 0 or 1; one band tells.
+Candidates are verified on the words themselves: the share of the template's shingles that one span of the text, a
+quarter longer than the template, contains. Where spans of found templates meet, the one with the greatest share stays,
+of equal ones the longest template, then the first by name, so that a licence is not reported as its sister too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,31 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, RollingHashes, mix, utf8
+from .license_templates import TEMPLATES
 from .substring_dedup import chunks, sliding_minimum
 
 SHINGLE = 5
 LEAST = 0.8
 ROWS, BANDS = 2, 8
-WIDTHS = (1, 4, 16, 64)
+WIDTHS = (1, 2, 4, 16, 64)
 SPARE = 1.25
 _PUNCTUATION = b".,;:!?()[]{}<>\"'`*#/-_=|"
 
-#: The public wording of common licences.
-TEMPLATES = {
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "Apache-2.0-text": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-}
-
-
 def plain(word: bytes) -> bytes:
     return word.lower().strip(_PUNCTUATION)
 
@@ -70,11 +58,8 @@ _FACTORS = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64))
 
 
 def band_keys(hashes: np.ndarray, starts: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """For each band, the keys of the windows of `width` shingles at starts. One shingle is its own key."""
-    if width == 1:
-        yield hashes[starts]
-        return
-    for band in range(BANDS):
+    """For each band, the keys of the windows of `width` shingles at starts."""
+    for band in range(BANDS if width > 1 else 1):
         key = np.zeros(len(starts), np.uint64)
         for row in range(ROWS):
             i = 2 * (band * ROWS + row)
@@ -84,8 +69,8 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, width: int) -> Iterator[np
 
 
 def width_of(n: int) -> int:
-    """The widest windows of which a span with 0.8 of a template's n shingles holds one whole."""
-    return max(w for w in WIDTHS if w == 1 or w + max(1, w // 4) - 1 <= LEAST * n)
+    """The widest windows of which a run of 0.8 of a template's n shingles holds one whole, a step apart."""
+    return max(w for w in WIDTHS if w == 1 or w + max(1, w // 4) - 1 <= math.ceil(LEAST * n))
 
 
 class Scanner:
@@ -130,12 +115,13 @@ class Scanner:
                     out.update((d, t) for t in templates[a:b].tolist())
         return out
 
-    def verify(self, words: list[bytes], template: int) -> tuple[float, int]:
-        """The greatest share of the template's shingles in one span, and where the first such span starts."""
-        own, wanted = [plain(w) for w in words], self.sets[template]
-        span = int(len(wanted) * SPARE + 0.999)
+    def verify(self, own: list[bytes], template: int) -> tuple[float, int, int]:
+        """own: plain words. The greatest share of the template's shingles in one span, where the first such span
+        starts, and the words from there to its last shingle's end."""
+        wanted = self.sets[template]
+        span = math.ceil(len(wanted) * SPARE)
         places = [(i, x) for i in range(len(own) - SHINGLE + 1) if (x := tuple(own[i : i + SHINGLE])) in wanted]
-        best, where, low, held = 0, 0, 0, {}
+        best, where, stop, low, held = 0, 0, 0, 0, {}
         for i, x in places:
             held[x] = held.get(x, 0) + 1
             while places[low][0] <= i - span:
@@ -145,8 +131,22 @@ class Scanner:
                     del held[y]
                 low += 1
             if len(held) > best:
-                best, where = len(held), places[low][0]
-        return best / len(wanted), where
+                best, where, stop = len(held), places[low][0], i + SHINGLE
+        return best / len(wanted), where, stop
+
+    def found(self, words: list[bytes], templates: list[int], least: float) -> list[tuple[int, float, int]]:
+        """Template, share and first word of those of at least that share whose spans no better one has."""
+        own = [plain(w) for w in words]
+        hits = []
+        for t in templates:
+            share, where, stop = self.verify(own, t)
+            if share >= least:
+                hits.append((-share, -len(self.sets[t]), self.names[t], t, where, stop))
+        kept: list[tuple] = []
+        for hit in sorted(hits):
+            if all(hit[5] <= k[4] or k[5] <= hit[4] for k in kept):
+                kept.append(hit)
+        return [(t, -share, where) for share, _, _, t, where, _ in kept]
 
 
 @lru_cache(4)
@@ -155,8 +155,8 @@ def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and template found in it: doc_id, license, containment (least to 1), first_word (where its
-    best span starts, from 0).
+    """One row per document and template found in it: doc_id, license (a template's name up to a slash), template,
+    containment (least to 1), first_word (where its best span starts, from 0).
 
     Words are lower-cased (A-Z) and stripped of punctuation. Null, empty and short texts hold no template. Repeated
     rows and null ids give rows of their own. Other columns are ignored; an empty table gives an empty table. Templates
@@ -168,11 +168,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
         own = scanner(given)
         for batch, words in chunks(batches, 1):
             out = []
+            by_document: dict[int, list[int]] = {}
             for d, t in sorted(own.candidates(words)):
-                share, where = own.verify(words[d], t)
-                if share >= least:
-                    out.append((batch.column(0)[d].as_py(), own.names[t], share, where))
+                by_document.setdefault(d, []).append(t)
+            for d, some in by_document.items():
+                for t, share, where in own.found(words[d], some, least):
+                    out.append((batch.column(0)[d].as_py(), own.names[t].split("/")[0], own.names[t], share, where))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "license", "containment", "first_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "license", "template", "containment", "first_word"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, license string, containment double, first_word long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, license string, template string, containment double, first_word long")
