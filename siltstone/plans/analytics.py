@@ -107,15 +107,6 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.markdown(_market(spark, sf_dir).where("col_idx <= 3"))
 
 
-_NUMBERS = ["1,234", "-5.5%", "about 12 apples", "none", "3,5 to 4"]
-
-
-@add("SELECT * FROM (VALUES ('1,234', 1.234::DOUBLE, '+1.234'), ('-5.5%', -5.5, '-5.5'), ('about 12 apples', 12, '+12'), ('none', NULL, NULL), ('3,5 to 4', 3.5, '+3.5')) t(said, number, signed)")
-def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "said string").withColumn("number", tables.numeric_value(F.col("said")))
-    return rows.withColumn("signed", tables.format_signed(F.col("number")))
-
-
 # catalog
 
 

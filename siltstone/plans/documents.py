@@ -52,41 +52,6 @@ def linearize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.spans(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "start", "end")
 
 
-_PAPER = """READING PASSAGE ONE
-The story of wine
-Wine has been made for thousands of years.
-
-Questions 11-13
-Choose the correct letter A, B, C or D.
-11. Vintage wines are A red B white C from one year D blended.
-12. Most wine is A sold young B kept C lost D given away.
-13. The author thinks A yes B no C both D neither.
-
-READING PASSAGE TWO
-Rivers
-
-Questions 14 to 16
-Write TRUE, FALSE or NOT GIVEN
-14. Rivers flow uphill.
-15. Water is wet.
-"""
-
-
-@add("SELECT * FROM (VALUES (1, 11, 13, 11), (1, 11, 13, 12), (1, 11, 13, 13), (2, 14, 16, 14), (2, 14, 16, 15)) t(passage_number, question_start, question_end, number)")
-def structure_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = spark.createDataFrame([("d", _PAPER)], "document_id string, text string")
-    return structure.parse_questions(papers).select("passage_number", "question_start", "question_end", "number")
-
-
-_TYPES = ["Do the statements agree? YES, NO or NOT GIVEN", "Write TRUE, FALSE or NOT GIVEN", "Complete the table below", "Complete the flow-chart", "Label the diagram", "From the list of headings choose one for each paragraph", "Match each name", "Choose the correct letter", "Give two examples", "Choose no more than two words", "Which two of the following are meant?", "Nothing special"]
-_KINDS = ["yes_no_not_given", "true_false_not_given", "table_completion", "flowchart_completion", "diagram_labeling", "matching_headings", "matching", "multiple_choice", "short_answer_examples", "short_answer", "multiple_choice", None]
-
-
-@add("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if k is None else repr(k)})" for i, k in enumerate(_KINDS)) + ") t(id, question_type)")
-def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_TYPES)), "id int, text string").select("id", structure.question_type(F.col("text")).alias("question_type"))
-
-
 _GROUPS = "SELECT o_custkey AS k, o_orderkey AS o, o_orderkey % 40 + 1 AS s, o_orderkey % 40 + 1 + o_orderkey % 5 AS e FROM orders"
 
 
@@ -116,14 +81,17 @@ def passage_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.assign_sections(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "section")
 
 
-_WORDS = r"list_transform(regexp_extract_all(text, '\p{L}+'), lambda w: lower(w))"
-_ACC = f"length(regexp_replace(lower(text), '[^{validate.ACCENTED}]', '', 'g'))"
+_TAGLESS = r"regexp_replace(coalesce(text, ''), '\[Source\s+[0-9]+\s*:[^\]]+\]', ' ', 'gi')"
+_FREE = rf"regexp_replace({_TAGLESS}, '\bNO\s+MORE\s+THAN\s+[A-Z-]+(\s+[A-Z-]+){{{{0,3}}}}\b|\b(TRUE|FALSE|NOT\s+GIVEN)\b|\bQuestions?\s+[0-9]{{{{1,3}}}}(\s*(-|–|—|to)\s*[0-9]{{{{1,3}}}})?\b|\b[^\s]+\.(pdf|png|jpe?g|docx?)\b', ' ', 'gi')".replace("{{", "{").replace("}}", "}")
 
 
-@add(f"""SELECT doc_id, CAST(2 * len(list_filter({_WORDS}, lambda w: list_contains({quoted(validate.VIETNAMESE)}, w))) + least({_ACC}, 10) AS INTEGER) AS vietnamese,
-    CAST(2 * len(list_filter({_WORDS}, lambda w: list_contains({quoted(validate.ENGLISH)}, w))) AS INTEGER) AS english, CAST(len({_WORDS}) AS INTEGER) AS tokens FROM documents""")
+@add(rf"""WITH t AS (SELECT doc_id, {_FREE} AS t FROM documents), w AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\p{{L}}+'), lambda x: lower(x)) AS w FROM t),
+    vi AS (SELECT string_split('ai ban bạn bằng cau câu cho co có cua của dich dịch duoc được gi gì hay hãy khong không la là minh mình mot một nao nào nhung những sao theo thong thông tin toi tôi trong tu từ va và voi với xin để', ' ') AS vi),
+    en AS (SELECT string_split('and answer are can choose did do does for from how in is of should the to was were what when where which who why with words', ' ') AS en)
+    SELECT doc_id, CAST(2 * len(list_filter(w, lambda x: list_contains(vi, x))) + least(length(regexp_replace(lower(t), '[^ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]', '', 'g')), 10) AS INTEGER) AS vietnamese,
+        CAST(2 * len(list_filter(w, lambda x: list_contains(en, x))) AS INTEGER) AS english, CAST(len(w) AS INTEGER) AS tokens FROM w, vi, en""")
 def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", validate.language_evidence(F.col("text")).alias("e")).select("doc_id", "e.*")
+    return table(spark, sf_dir, "documents").select("doc_id", validate.language_evidence(F.col("text")).alias("e")).select("doc_id", "e.vietnamese", "e.english", "e.tokens")
 
 
 _COUNT = r"CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_''-]*')) AS INTEGER)"
@@ -141,32 +109,6 @@ def select_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.select_best(rows, "conv_id", validate.writing_penalty(F.col("text"), 40, 80, False), "turn").select("conv_id", "turn")
 
 
-_TABLES = ["| a | b |\n| --- | --- |\n| 1 | 2 |", "| a | b |\n| 1 | 2 |", "text only", "| a | b |\n|---|---|\n| 1 | 2 | 3 |", "| a | b\n| --- | --- |", "| a \\| x | b |\n| :--- | ---: |\n| 1 | 2 |"]
-
-
-@add("SELECT * FROM (VALUES (0, false), (1, true), (2, false), (3, true), (4, true), (5, false)) t(id, malformed)")
-def markdown_table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_TABLES)), "id int, text string").select("id", validate.has_malformed_table(F.col("text")).alias("malformed"))
-
-
-_PLANS = ["| Week | Task |\n| --- | --- |\n| 1-2 | read |\n| 3 | write |\n| 4 | rest |", "| Tuần | Việc |\n|---|---|\n| 1 | a |\n| 5 | b |", "none"]
-
-
-@add("SELECT * FROM (VALUES (0, '', false), (1, '2,3,4', true), (2, '1,2,3,4', false)) t(id, missing, exceeds)")
-def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = spark.createDataFrame(list(enumerate(_PLANS)), "id int, text string")
-    return validate.plan_gaps(plans, "id", "text", 1, "month").select("id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "exceeds")
-
-
-_SAID = ["<think>hm</think>Assistant: Hello<br>there\n\n\n\nEnd [Source 1: a.pdf]", "| a<br>- b | c |", "**User:** hi", "The answer is B", "1. B"]
-
-
-@add("""SELECT * FROM (VALUES (0, 'Assistant: Hello' || chr(10) || 'there' || chr(10) || chr(10) || 'End a.pdf', false), (1, '| a; b | c |', false), (2, 'hi', false), (3, 'The answer is B', true), (4, '1. B', true)) t(id, cleaned, leaks)""")
-def response_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_SAID)), "id int, text string")
-    return rows.select("id", F.when(F.col("id") == 0, F.concat(F.lit("Assistant: "), validate.clean_response(F.col("text")))).otherwise(validate.clean_response(F.col("text"))).alias("cleaned"), validate.leaks_solution(F.col("text")).alias("leaks"))
-
-
 @add("SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, len(json_keys(props)) AS n FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = validate.json_object(F.concat(F.lit("noise "), F.col("props"), F.lit(" end")), "map<string,string>")
@@ -186,36 +128,6 @@ def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(found).alias("item_id"), "doc_id")
 
 
-_SOURCES = [
-    ("d-group", "d", "question_group", 11, 13, 1, None, "matching", "Match each", "Match each. A one B two", 0),
-    ("d-q11", "d", "question", 11, 11, 1, "group", "multiple_choice", None, "11. Wines are A red B white C old D new", 1),
-    ("d-q12", "d", "question", 12, 12, 2, "group", "short_answer", None, "12. Name it", 2),
-    ("d-q13", "d", "question", 13, 13, 1, "lost", "short_answer", None, "13. Say it", 3),
-    ("d-q14a", "d", "question", 14, 14, 1, "group", "short_answer", None, "14. a", 4),
-    ("d-q14b", "d", "question", 14, 14, 1, "group", "short_answer", None, "14. b", 5),
-    ("passage-1", "d", "passage", None, None, 1, None, None, None, "text", 6),
-]
-
-
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SOURCES, "chunk_id string, document_id string, unit_type string, range_start int, range_end int, passage_number int, parent_id string, question_type string, instructions string, text string, position int")
-
-
-@add("""SELECT * FROM (VALUES (11, 'A,B,C,D', 'passage-1', '', true), (12, '', '', 'question_group_passage_mismatch', false), (13, '', '', 'missing_question_group', false)) t(number, labels, evidence, warnings, context_ready)""")
-def solve_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sources(spark).withColumn("chunk_id", F.when(F.col("unit_type") == "question_group", "group").otherwise(F.col("chunk_id")))
-    packets = dispatch.solve_packets(rows, "Questions 11-15")
-    return packets.select("number", F.when(F.col("number") == 11, F.array_join("labels", ",")).otherwise("").alias("labels"), F.array_join("evidence", ",").alias("evidence"), F.array_join("warnings", ",").alias("warnings"), "context_ready")
-
-
-@add("""SELECT '11,12,13,14,15' AS requested, '11,12,13' AS found, '15' AS missing, '14' AS ambiguous, 'missing_exact_questions,ambiguous_exact_questions,missing_question_groups,question_group_passage_mismatch,missing_passage_evidence' AS issues""")
-def completeness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sources(spark).withColumn("chunk_id", F.when(F.col("unit_type") == "question_group", "group").otherwise(F.col("chunk_id")))
-    report = dispatch.completeness(rows, "Questions 11-15")
-    numbers = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return report.select(numbers("requested"), numbers("found"), numbers("missing"), numbers("ambiguous"), F.array_join("issues", ",").alias("issues"))
-
-
 @add(f"""WITH q AS (SELECT item_id, {sql_terms('text')} AS qt, lower(text) AS ph FROM benchmark WHERE item_id < 6), d AS (SELECT doc_id, lower(text) AS low, {sql_terms('text')} AS dt FROM documents),
     s AS (SELECT item_id, doc_id, CAST(len(list_filter(qt, lambda t: list_contains(dt, t))) + CASE WHEN contains(low, ph) THEN 2 ELSE 0 END AS DOUBLE) AS score FROM q, d),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s WHERE score > 0) SELECT item_id, doc_id, score FROM r WHERE rn <= 2 ORDER BY item_id, rn LIMIT 12""")

@@ -37,33 +37,3 @@ def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.union_box(_boxes(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", b[0].alias("x0"), b[1].alias("y0"), b[2].alias("x1"), b[3].alias("y1"))
 
 
-@add("SELECT 'a' AS \"from\", 'b' AS \"to\" UNION ALL SELECT 'b', 'c d'")
-def text_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a -> b → c d",), ("alone",)], "text string")
-    return rows.select(F.explode(spatial.arrow_flow(F.col("text"))[1]).alias("e")).select("e.from", "e.to")
-
-
-@add("SELECT * FROM (VALUES ('North', '12,30'), ('South East', '5,6.5')) t(label, numbers)")
-def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Sales\nNorth 12 30\nSouth East 5 6.5\nno numbers here",)], "text string")
-    return rows.select(F.explode(spatial.text_table_rows(F.col("text"))).alias("r")).select("r.label", F.array_join("r.numbers", ",").alias("numbers"))
-
-
-@add("SELECT '|2019|2024' AS columns, 'A|78|96' AS first, 2::BIGINT AS n")
-def ocr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = [("2019", 40, 0), ("2024", 80, 0), ("A", 0, 20), ("78", 40, 21), ("96", 80, 19), ("B", 0, 40), ("61", 40, 40), ("89", 80, 41)]
-    page = spark.createDataFrame([(1, [(t, [float(x), float(y), x + 10.0, y + 10.0]) for t, x, y in cells])], "page_id long, lines array<struct<text:string,bbox:array<double>>>")
-    return spatial.tables_of(page).select(F.array_join("columns", "|").alias("columns"), F.array_join(F.get("rows", F.lit(0)), "|").alias("first"), F.size("rows").cast("long").alias("n"))
-
-
-@add("SELECT 1::BIGINT AS connector_id, 'n1' AS source, 'n2' AS target, true AS resolved")
-def connector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spark.createDataFrame([("p", "n1", [0.0, 0.0, 10.0, 10.0]), ("p", "n2", [0.0, 40.0, 10.0, 50.0]), ("p", "n3", [90.0, 90.0, 99.0, 99.0])], "page string, node_id string, node_bbox array<double>")
-    links = spark.createDataFrame([("p", 1, [4.0, 11.0, 6.0, 39.0], 5.0, 39.0, 0.9)], "page string, connector_id long, connector_bbox array<double>, arrow_x double, arrow_y double, confidence double")
-    return spatial.edges(spatial.nearest_nodes(links, nodes, ["page"]), ["page"]).select("connector_id", "source", "target", "resolved")
-
-
-@add("SELECT 20 AS minutes, 150 AS min_words")
-def writing_prompt_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("You should spend about 20 minutes on this task. Write at least 150 words.",)], "text string")
-    return rows.select(spatial.prompt_figures(F.col("text")).alias("p")).select("p.*")

@@ -92,13 +92,6 @@ def keyword_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_search(chunks(spark, sf_dir), query_text(spark, sf_dir), 20, unit_types=["en"]).select(F.col("chunk_id").alias("doc_id"), "keyword_score")
 
 
-@add("""SELECT * FROM (VALUES ('consensus', round(1/61.0::DOUBLE + 1/62.0::DOUBLE, 9), 'dense,keyword'), ('dense-only', round(1/61.0::DOUBLE, 9), 'dense')) t(chunk_id, rrf_score, methods)""")
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = spark.createDataFrame([("dense-only", 0, 0.99), ("consensus", 1, 0.7)], "chunk_id string, position long, score double")
-    keyword = spark.createDataFrame([("consensus", 1, 3.0)], "chunk_id string, position long, keyword_score double")
-    return search.fuse(5, dense=dense, keyword=keyword).select("chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("methods", ",").alias("methods"))
-
-
 @add("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (1, 2, 3, 5, 8, 13, 21) AND lang IN ('en', 'de')")
 def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.candidates(chunks(spark, sf_dir), document_ids=["1", "2", "3", "5", "8", "13", "21"], unit_types=["en", "de"])
@@ -122,16 +115,6 @@ def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("qid").agg(F.count("*").alias("met"), F.sum(R.overlap_size(F.col("a"), F.col("b"), F.col("s"), F.col("e"))).cast("bigint").alias("overlap"))
 
 
-_SAYS = ["Questions 1-4", "Compare question 14 and câu 3 đến 7", "questions 9 – 5", "no range here", "Câu hỏi từ 11 to 13"]
-_WANTED = [(0, 1, 4), (1, 14, 14), (1, 3, 7), (2, 5, 9), (4, 11, 13)]
-
-
-@add("SELECT * FROM (VALUES " + ", ".join(map(str, _WANTED)) + ") t(qid, range_start, range_end)")
-def question_ranges_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(list(enumerate(_SAYS)), "qid int, text string")
-    return asked.select("qid", F.explode(R.query_ranges(F.col("text"))).alias("r")).select("qid", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
-
-
 @add(f"""{_LINES}, s AS (SELECT k, n, CASE WHEN greatest(a, 2) <= least(b, 4) THEN 30.0::DOUBLE + (least(b, 4) - greatest(a, 2) + 1) + CASE WHEN a = 2 AND b = 4 THEN 20 ELSE 0 END + CASE WHEN n > 3 THEN 8 ELSE 4 END ELSE 0.0::DOUBLE END AS sc FROM o)
     SELECT k AS chunk_id, sc AS question_score FROM s WHERE sc > 0 ORDER BY sc DESC, k LIMIT 25""")
 def question_range_score(spark: SparkSession, sf_dir: str) -> DataFrame:
