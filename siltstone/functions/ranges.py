@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How a query names numbered items (English and Vietnamese).
@@ -50,3 +50,11 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
 
 def overlap_size(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return F.least(a_end, b_end) - F.greatest(a_start, b_start) + 1
+
+
+def meeting(left: DataFrame, a_start: str, a_end: str, right: DataFrame, b_start: str, b_end: str) -> DataFrame:
+    """Pairs of rows whose ranges meet: an equi-join on the first number that both cover, so each pair comes once.
+    Ranges are over a document's item numbers, so they are short. Column names of both sides must differ."""
+    numbers = lambda low, high: F.explode(F.when(F.col(low) <= F.col(high), F.sequence(low, high)))
+    both = left.withColumn("__n", numbers(a_start, a_end)).join(right.withColumn("__n", numbers(b_start, b_end)), "__n")
+    return both.where(F.col("__n") == F.greatest(a_start, b_start)).drop("__n")

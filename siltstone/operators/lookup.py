@@ -99,8 +99,8 @@ def canonical_chunk_id(chunk_id: Column, document_id: Column) -> Column:
     return F.when((value == "") | (scope == "") | F.startswith(value, prefix), value).otherwise(F.concat(prefix, value))
 
 
-def question_context(sources: DataFrame, chunks: DataFrame, top_k: int = 8, document_ids: list | None = None) -> DataFrame:
-    """For questions their groups, for groups themselves and the questions of the same range."""
+def question_context(sources: DataFrame, chunks: DataFrame, top_k: int | None = 8, document_ids: list | None = None) -> DataFrame:
+    """For questions their groups, for groups themselves and the questions of the same range; all without top_k."""
     parents = sources.where("unit_type = 'question' and parent_id <> ''").select("document_id", canonical_chunk_id(F.col("parent_id"), F.col("document_id")).alias("key")).distinct()
     spans = sources.where("unit_type = 'question_group' and range_start is not null and range_end is not null").select("document_id", "range_start", "range_end").distinct()
     rows = in_scope(chunks, document_ids)
@@ -109,7 +109,7 @@ def question_context(sources: DataFrame, chunks: DataFrame, top_k: int = 8, docu
     by_span = groups.drop("key").join(spans, ["document_id", "range_start", "range_end"], "left_semi").select(*by_parent.columns)
     children = rows.where("unit_type = 'question'").join(spans, ["document_id", "range_start", "range_end"], "left_semi").select(*by_parent.columns)
     found = mark(by_parent.unionByName(by_span), "parent_question_group", 1.0).dropDuplicates(["document_id", "chunk_id"]).unionByName(mark(children, "child_question", 0.8))
-    return found.orderBy("chunk_index", "position").limit(top_k)
+    return found if top_k is None else found.orderBy("chunk_index", "position").limit(top_k)
 
 
 def passage_context(sources: DataFrame, chunks: DataFrame, most: int = 3, document_ids: list | None = None) -> DataFrame:

@@ -48,35 +48,110 @@ def dense_search(chunks: DataFrame, query: list[float], top_k: int = 5, min_scor
     return scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), "position").limit(min(max(top_k, 1), MOST))
 
 
-def dense_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    """queries: query_id, query_embedding; a stated, small set that is sent to every task. Adds query_id, score, rank.
-    Each task keeps its own best before the ranking, so what is shuffled is tasks x queries x top_k rows."""
-    pairs = chunks.join(F.broadcast(queries))
+#: Queries of a batch that are sent to every task at a time.
+QUERY_BLOCK = 1024
+
+
+def dense_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """queries: query_id, query_embedding; a stated set. Adds query_id, score, rank.
+
+    The set is gone through in blocks of about `block` queries, by a hash of the id, so what is sent to the tasks at a
+    time has that bound whatever the set's size. Each task keeps its own best before the ranking: what is shuffled is
+    tasks x queries x top_k rows.
+    """
+    blocks = -(-queries.count() // block)
     score = F.aggregate(F.zip_with("embedding", "query_embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
-    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_k).drop("query_embedding")
+    out = chunks.withColumns({"query_id": F.lit(None).cast(queries.schema["query_id"].dataType), "score": F.lit(0.0), "rank": F.lit(0)}).limit(0)
+    for k in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = chunks.join(F.broadcast(some)).withColumn("score", score).drop("query_embedding")
+        out = out.unionByName(pairs.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_k))
+    return out
 
 
 def keyword_score(text: Column, query: str) -> Column:
-    """Query terms found in the text, each as often as the query has it, and 2 if the whole query occurs in it."""
+    """Query terms found in the text, each as often as the query has it, and 2 if the whole query occurs in it.
+
+    The text is lower-cased once and not split: a term is looked for as a substring first, and as a whole word only
+    where it is one.
+    """
     counts = Counter(query_terms(query))
     if not counts:
         return F.lit(0.0)
-    weights = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
-    found = F.array_intersect(search_terms(text), F.array(*map(F.lit, counts)))
-    overlap = F.aggregate(found, F.lit(0), lambda a, t: a + weights[t])
-    phrase = F.when(F.contains(F.lower(text), F.lit(query.lower())), 2).otherwise(0)
-    return (overlap + phrase).cast("double")
+
+    def score(low: Column) -> Column:
+        out = F.when(F.contains(low, F.lit(query.lower())), 2).otherwise(0)
+        for term, n in counts.items():
+            whole = F.regexp_like(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{term}\E(?![\p{{L}}\p{{N}}_])"))
+            out = out + F.when(F.contains(low, F.lit(term)) & whole, n).otherwise(0)
+        return out.cast("double")
+
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), score), F.lit(0))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn, but worked out once a row: a filter on the column is not pushed below, where it would work it out
+    again."""
+    return rows.withColumn(name, F.explode(F.array(value)))
 
 
 def keyword_search(chunks: DataFrame, query: str, top_k: int = 5, **scope) -> DataFrame:
     text = F.coalesce(F.nullif(F.col("retrieval_text"), F.lit("")), F.col("text")) if "retrieval_text" in chunks.columns else F.col("text")
     if not query_terms(query):
         return chunks.limit(0).withColumn("keyword_score", F.lit(0.0))
-    scored = candidates(chunks, **scope).withColumn("keyword_score", keyword_score(F.coalesce(text, F.lit("")), query))
+    scored = once(candidates(chunks, **scope), "keyword_score", keyword_score(text, query))
     return scored.where("keyword_score > 0").orderBy(F.desc("keyword_score"), "position").limit(top_k)
 
 
+def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
+    """queries: query_id, query. keyword_score of every chunk for every query that has a term or the whole query in it,
+    by joins on terms: query_id, chunk_id, position, score. Equi-joins with partial sums; no chunk meets a query that
+    it shares nothing with."""
+    wanted = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    own = chunks.select("chunk_id", "position", F.explode(F.array_distinct(search_terms(F.col(text)))).alias("term"))
+    shared = own.join(wanted, "term").groupBy("query_id", "chunk_id", "position").agg(F.sum("n").alias("score"))
+    lowered = lambda x: F.lower(F.coalesce(F.col(x), F.lit("")))
+    whole = containing(chunks.select("chunk_id", lowered(text).alias("source")), "chunk_id", queries.select("query_id", lowered("query").alias("part")), "query_id", "part")
+    phrase = whole.join(chunks.select("chunk_id", "position"), "chunk_id").select("query_id", "chunk_id", "position", F.lit(2).cast("long").alias("score"))
+    # a query without terms scores nothing, whatever contains it
+    phrase = phrase.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
+    return shared.unionByName(phrase).groupBy("query_id", "chunk_id", "position").agg(F.sum("score").cast("double").alias("score"))
+
+
+#: Inner words of a part that are its key.
+KEY_WORDS = 3
+
+
+def containing(sources: DataFrame, key: str, parts: DataFrame, part_key: str, part: str) -> DataFrame:
+    """sources: key, source; parts: part_key, part. Pairs (key, part_key) where the source contains the part.
+
+    Words stand between single characters that are neither letters nor digits. A part's inner words stand whole in any
+    text that contains it, so up to KEY_WORDS of them, after the first, are a key: an equi-join on hashed keys finds
+    candidates, and the strings are compared only for those. Parts of one or two words have no inner word; they are a
+    stated few, compared with every source.
+    """
+    words = lambda x: F.regexp_extract_all(F.col(x), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    split = parts.select(part_key, part, words(part).alias("__w"))
+    keyed = split.where(F.size("__w") > 2).withColumn("__n", F.least(F.lit(KEY_WORDS), F.size("__w") - 2)).withColumn("__h", F.xxhash64(F.array_join(F.slice("__w", F.lit(2), F.col("__n")), " ")))
+    lengths = [r["__n"] for r in keyed.select("__n").distinct().collect()]  # at most KEY_WORDS
+    own = sources.withColumn("__w", words("source"))
+    out = None
+    for n in lengths:
+        at = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        hashes = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(F.col("__w"), i, n), " "))))  # noqa: B023
+        grams = own.select(key, F.explode(hashes).alias("__h"))
+        found = grams.join(keyed.where(F.col("__n") == n).select(part_key, "__h"), "__h").select(key, part_key)
+        out = found if out is None else out.unionByName(found)
+    short = split.where((F.size("__w") <= 2) & (F.col(part) != "")).select(part_key, part)
+    near = None if out is None else out.distinct().join(parts.select(part_key, part), part_key).join(sources, key).where(F.contains("source", F.col(part))).select(key, part_key)
+    few = None if short.isEmpty() else sources.join(short, F.contains(F.col("source"), F.col(part))).select(key, part_key)
+    both = [x for x in (near, few) if x is not None]
+    if not both:
+        return sources.join(parts.limit(0).select(part_key), F.lit(False)).select(key, part_key)
+    return both[0] if len(both) == 1 else both[0].unionByName(both[1])
+
+
 def question_score(ranges: list[tuple[int, int]], start: Column, end: Column, unit: Column, text: Column) -> tuple[Column, Column, Column]:
     """Scores by the chunk's own range, by headers in its text, and by single numbers in it."""
     own, header, numbers = F.lit(0.0), F.lit(0.0), F.lit(0.0)

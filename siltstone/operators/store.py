@@ -52,16 +52,40 @@ def resource_delta(start: DataFrame, end: DataFrame, key: str) -> DataFrame:
     return start.join(end.withColumnRenamed("value", "after"), key).where("value is not null and after is not null").select(key, (F.col("after") - F.col("value")).alias("delta"))
 
 
-def save(store: DataFrame, path: str) -> None:
-    """One folder for each document; writing again replaces the documents that it has."""
+#: Folders of a store: a document's chunks lie in one of them, by a hash of its key.
+BUCKETS = 256
+
+
+def save(store: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A folder for each bucket of documents. Writing again replaces the buckets that it has rows for, so it takes all
+    documents of a bucket, as upsert() of a loaded store gives them."""
     spark = store.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
     try:
-        store.withColumn("document_key", document_key()).write.mode("overwrite").partitionBy("document_key").parquet(path)
+        store.withColumn("bucket", bucket_of(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        spark.conf.set(mode, before)
+
+
+def bucket_of(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(document_key()), F.lit(buckets)).cast("int")
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("document_key")
+    return spark.read.parquet(path).drop("bucket")
+
+
+def replace_documents(path: str, incoming: DataFrame, buckets: int = BUCKETS) -> None:
+    """Upsert by document into a saved store: only the buckets of incoming documents are read and written again, by way
+    of a new folder, so that nothing is read and overwritten at a time."""
+    spark = incoming.sparkSession
+    touched = [r["b"] for r in incoming.select(bucket_of(buckets).alias("b")).distinct().collect()]  # at most `buckets`
+    old = spark.read.parquet(path)
+    new = upsert(old.where(F.col("bucket").isin(touched)).drop("bucket"), incoming, "", by_document=True)
+    fresh = f"{path.rstrip('/')}-next"
+    new.withColumn("bucket", bucket_of(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(fresh)
+    save(spark.read.parquet(fresh).drop("bucket"), path, buckets)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -99,12 +99,13 @@ def table_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.summary_facts(_market(spark, sf_dir)).select("table_id", "at", "rankings")
 
 
-@add(f"""WITH {_MARKET}, h AS (SELECT table_id, '|  | ' || string_agg(DISTINCT col, ' | ' ORDER BY col) || ' |' AS top, count(DISTINCT col) AS n FROM (SELECT * FROM c WHERE col_idx <= 3) GROUP BY table_id),
-    w AS (SELECT table_id, row_idx, any_value(label) AS label, max(v) FILTER (col_idx = 1) AS a, max(v) FILTER (col_idx = 2) AS b, max(v) FILTER (col_idx = 3) AS d FROM c GROUP BY table_id, row_idx)
-    SELECT table_id, any_value(top) || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || label || ' | ' || coalesce(CAST(a AS VARCHAR), '') || ' | ' || coalesce(CAST(b AS VARCHAR), '') || ' | ' || coalesce(CAST(d AS VARCHAR), '') || ' |', chr(10) ORDER BY row_idx) AS markdown
-    FROM w JOIN h USING (table_id) GROUP BY table_id""")
+@add(f"""WITH {_MARKET}, h AS (SELECT table_id, '|  | ' || string_agg(col, ' | ' ORDER BY col_idx) || ' |' AS top, '| --- | ' || string_agg('---', ' | ') || ' |' AS rule FROM (SELECT DISTINCT table_id, col_idx, col FROM c) GROUP BY table_id),
+    p AS (SELECT t.table_id, t.row_idx, t.label, n.col_idx, max(c.v) AS v FROM (SELECT table_id, row_idx, any_value(label) AS label FROM c GROUP BY table_id, row_idx) t JOIN (SELECT DISTINCT table_id, col_idx FROM c) n ON n.table_id = t.table_id
+          LEFT JOIN c ON c.table_id = t.table_id AND c.row_idx = t.row_idx AND c.col_idx = n.col_idx GROUP BY ALL),
+    w AS (SELECT table_id, row_idx, '| ' || any_value(label) || ' | ' || string_agg(coalesce(CAST(v AS VARCHAR), ''), ' | ' ORDER BY col_idx) || ' |' AS line FROM p GROUP BY table_id, row_idx)
+    SELECT table_id, any_value(top) || chr(10) || any_value(rule) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) AS markdown FROM w JOIN h USING (table_id) GROUP BY table_id""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.markdown(_market(spark, sf_dir).where("col_idx <= 3"))
+    return tables.markdown(_market(spark, sf_dir))
 
 
 # catalog

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, dispatch, structure, validate
-from ..operators.search import keyword_score
+from ..operators.search import keyword_scores
 from ..streaming.limits import response_chunks as chunks_of
 from .common import Registry, chunks, quoted, sql_terms, table
 
@@ -121,21 +121,17 @@ _NORM = r"array_to_string(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), '
 
 @add(f"""WITH b AS (SELECT item_id, {_NORM.format('text')} AS p FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS s FROM documents) SELECT item_id, doc_id FROM b JOIN d ON len(string_split(p, ' ')) >= 3 AND contains(s, p)""")
 def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of passages, each looked for in every document."""
-    wanted = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
-    docs = table(spark, sf_dir, "documents").select("doc_id", validate.normalized_evidence(F.col("text")).alias("s"))
-    found = F.array_compact(F.array(*(F.when(validate.evidence_contained(t, F.col("s")), F.lit(i)) for i, t in wanted)))
-    return docs.select(F.explode(found).alias("item_id"), "doc_id")
+    """Every passage of the benchmark, looked for in every document."""
+    return validate.evidence_in(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-@add(f"""WITH q AS (SELECT item_id, {sql_terms('text')} AS qt, lower(text) AS ph FROM benchmark WHERE item_id < 6), d AS (SELECT doc_id, lower(text) AS low, {sql_terms('text')} AS dt FROM documents),
+@add(f"""WITH q AS (SELECT item_id, {sql_terms('text')} AS qt, lower(text) AS ph FROM benchmark), d AS (SELECT doc_id, lower(text) AS low, {sql_terms('text')} AS dt FROM documents),
     s AS (SELECT item_id, doc_id, CAST(len(list_filter(qt, lambda t: list_contains(dt, t))) + CASE WHEN contains(low, ph) THEN 2 ELSE 0 END AS DOUBLE) AS score FROM q, d),
-    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s WHERE score > 0) SELECT item_id, doc_id, score FROM r WHERE rn <= 2 ORDER BY item_id, rn LIMIT 12""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s WHERE score > 0) SELECT item_id, doc_id, score FROM r WHERE rn <= 1 ORDER BY item_id, rn LIMIT 12""")
 def evidence_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "benchmark").where("item_id < 6").collect()
-    rows = chunks(spark, sf_dir)
-    scores = rows.select("position", F.explode(F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), keyword_score(F.col("text"), r["text"]).alias("score")) for r in wanted))).alias("x")).select("position", "x.*").where("score > 0")
-    return dispatch.select_evidence(scores, "item_id", "score", "position", len(wanted)).select("item_id", F.col("position").alias("doc_id"), "score")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scores = keyword_scores(chunks(spark, sf_dir), asked)
+    return dispatch.select_evidence(scores, "query_id", "score", "position", asked.count()).select(F.col("query_id").alias("item_id"), F.col("position").alias("doc_id"), "score")
 
 
 @add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND regexp_matches(text || ' please do not solve it', '(?i)do not solv') THEN 'show_questions' ELSE 'writing_generation' END AS intent FROM conversations""")

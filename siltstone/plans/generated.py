@@ -187,7 +187,7 @@ _VIETNAMESE = ("'Những câu hỏi của tôi ' || k || ' là gì'", "'An answe
 
 
 @add(f"""SELECT k, {pick('k', '6 * 2 + 7', '0', '3 * 2 + 2', '0')} AS vietnamese, {pick('k', '0', '3 * 2', '1 * 2', '0')} AS english, {pick('k', '7', '5', '6', '0')} AS tokens,
-    {pick('k', '0', '3', '0', '3')} AS not_vietnamese, {pick('k', '19', '0', '0', '0')} AS not_english, {pick_text('k', 'Vietnamese', 'English', 'Vietnamese', 'Vietnamese')} AS language FROM {K}""")
+    {pick('k', '0', '6', '0', '3')} AS not_vietnamese, {pick('k', '19', '0', '0', '0')} AS not_english, {pick_text('k', 'Vietnamese', 'English', 'Vietnamese', 'Vietnamese')} AS language FROM {K}""")
 def language_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = made(spark, sf_dir, text=pick("k", *_VIETNAMESE))
     t = F.col("text")

@@ -14,11 +14,11 @@ _BOX = "l_partkey % 50 * 10.0::DOUBLE AS x, l_suppkey % 40 * 10.0::DOUBLE AS y,
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50 * 10.0).alias("x"), (F.col("l_suppkey") % 40 * 10.0).alias("y"), (F.col("l_quantity") * 2).alias("w"), (F.col("l_linenumber") * 5.0).alias("h")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50 * 10.0).alias("x"), (F.col("l_suppkey") % 40 * 10.0).alias("y"), (F.col("l_quantity") * 2).alias("w"), (F.col("l_linenumber") * 5.0).alias("h")).distinct()
     return lines.select("l_orderkey", "l_linenumber", F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("bbox"))
 
 
-_PAIRS = f"""WITH b AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, {_BOX} FROM lineitem WHERE l_orderkey <= 400), p AS (SELECT a.k, a.n AS i, b.n AS j, a.x AS ax, a.y AS ay, a.x + a.w AS az, a.y + a.h AS aw, b.x AS bx, b.y AS by_, b.x + b.w AS bz, b.y + b.h AS bw FROM b a JOIN b b ON a.k = b.k AND a.n < b.n)"""
+_PAIRS = f"""WITH b AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, {_BOX} FROM lineitem), p AS (SELECT a.k, a.n AS i, b.n AS j, a.x AS ax, a.y AS ay, a.x + a.w AS az, a.y + a.h AS aw, b.x AS bx, b.y AS by_, b.x + b.w AS bz, b.y + b.h AS bw FROM b a JOIN b b ON a.k = b.k AND a.n < b.n)"""
 
 
 @add(f"""{_PAIRS} SELECT k AS l_orderkey, i, j, round(sqrt(power(greatest(ax - bz, bx - az, 0), 2) + power(greatest(ay - bw, by_ - aw, 0), 2)), 6) AS distance,
@@ -31,7 +31,7 @@ def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("l_orderkey", "i", "j", F.round(spatial.box_distance(a, b), 6).alias("distance"), F.round(spatial.overlap_ratio(a, b), 6).alias("overlap"), spatial.center_inside(a, b).alias("inside"))
 
 
-@add(f"""WITH b AS (SELECT DISTINCT l_orderkey, {_BOX} FROM lineitem WHERE l_orderkey <= 400) SELECT l_orderkey, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM b GROUP BY l_orderkey""")
+@add(f"""WITH b AS (SELECT DISTINCT l_orderkey, {_BOX} FROM lineitem) SELECT l_orderkey, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM b GROUP BY l_orderkey""")
 def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("bbox")
     return spatial.union_box(_boxes(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", b[0].alias("x0"), b[1].alias("y0"), b[2].alias("x1"), b[3].alias("y1"))

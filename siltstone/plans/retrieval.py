@@ -72,12 +72,12 @@ def dense_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense_search(vectors(spark, sf_dir), query_vector(spark, sf_dir), 10, -1.0, unit_types=["0", "1"]).select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@add(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20),
+@add(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query_id, vec_id, {sql_dot('embedding', 'q')} AS score FROM embeddings, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     found = search.dense_search_batch(vectors(spark, sf_dir), queries, 5)
     return found.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
@@ -111,7 +111,7 @@ _LINES = """WITH o AS (SELECT l_orderkey AS k, min(l_linenumber) AS a, max(l_lin
 def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
     asked = spark.createDataFrame([(1, 2, 3), (2, 5, 6), (3, 4, 4)], "qid int, s int, e int")
-    met = spans.join(F.broadcast(asked), R.overlaps(F.col("a"), F.col("b"), F.col("s"), F.col("e")))
+    met = R.meeting(spans, "a", "b", asked, "s", "e")
     return met.groupBy("qid").agg(F.count("*").alias("met"), F.sum(R.overlap_size(F.col("a"), F.col("b"), F.col("s"), F.col("e"))).cast("bigint").alias("overlap"))
 
 
@@ -248,19 +248,19 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.unionByName(lines).withColumn("position", F.col("chunk_index"))
 
 
-@add("""WITH w AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey <= 40 AND l_linenumber = 1)
+@add("""WITH w AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1)
     SELECT DISTINCT 'd-' || CAST(o_orderkey AS VARCHAR) AS chunk_id, 'parent_question_group' AS retrieval_method FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM w)""")
 def parent_child_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tree(spark, sf_dir)
-    sources = rows.where("unit_type = 'question' and chunk_id like '%-1' and range_start <= 40")
-    return lookup.question_context(sources, rows, 1000).select("chunk_id", "retrieval_method")
+    sources = rows.where("unit_type = 'question' and chunk_id like '%-1'")
+    return lookup.question_context(sources, rows, None).select("chunk_id", "retrieval_method")
 
 
-@add("""SELECT 'd-' || CAST(o_orderkey AS VARCHAR) AS chunk_id, 'parent_question_group' AS retrieval_method FROM orders WHERE o_orderkey <= 8
-    UNION SELECT 'd-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), 'child_question' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey <= 8)""")
+@add("""SELECT 'd-' || CAST(o_orderkey AS VARCHAR) AS chunk_id, 'parent_question_group' AS retrieval_method FROM orders
+    UNION SELECT 'd-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), 'child_question' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def child_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tree(spark, sf_dir)
-    return lookup.question_context(rows.where("unit_type = 'question_group' and range_start <= 8"), rows, 10_000).select("chunk_id", "retrieval_method").distinct()
+    return lookup.question_context(rows.where("unit_type = 'question_group'"), rows, None).select("chunk_id", "retrieval_method").distinct()
 
 
 @add("""SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user' AND turn = 1)) WHERE rn <= 3""")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sessions import IDLE, limiter
-from ..operators.store import upsert
+from ..operators.store import BUCKETS, replace_documents
 
 LIMITED = "session_id string, action string, event_id long, seconds double, accepted boolean, retry_after long"
 
@@ -23,10 +23,12 @@ def limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["seconds", "event_id"])
-        said = list(limiter(rows["seconds"].tolist(), limit, window, held))
+        # a key's events of one trigger come in batches, which are gone through in turn and not held together
+        for batch in batches:
+            rows = batch.sort_values(["seconds", "event_id"])
+            said = list(limiter(rows["seconds"].tolist(), limit, window, held))
+            yield rows.assign(accepted=[x[0] for x in said], retry_after=[x[1] for x in said])[[c.split()[0] for c in LIMITED.split(", ")]]
         state.update((list(held),))
-        yield rows.assign(accepted=[x[0] for x in said], retry_after=[x[1] for x in said])[[c.split()[0] for c in LIMITED.split(", ")]]
 
     return events.groupBy("session_id", "action").applyInPandasWithState(run, LIMITED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -37,12 +39,12 @@ def idle_counts(events: DataFrame, ts: str, key: str, idle: int = IDLE, late: st
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, f"{idle - 1} seconds 999999 microseconds")).agg(F.count("*").alias("events"))
 
 
-def upsert_stream(events: DataFrame, store_of, save, checkpoint: str):
-    """Applies each batch of chunks to a store: store_of() reads it, save(df) replaces it."""
+def upsert_stream(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Applies each batch of chunks to a store saved at path; a batch that comes again gives the same store."""
 
     def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            save(upsert(store_of(), batch, "", by_document=True))
+            replace_documents(path, batch, buckets)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
