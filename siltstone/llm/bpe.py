@@ -23,7 +23,7 @@ from .common import cut
 from .words import Blocks, unpack, values_of, with_values, word_values
 
 #: Pieces of words that a worker remembers before it starts anew.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 250_000
 #: Blocks may be larger than the usual: only their positions and distinct words are held.
 LIMITS = (6_000_000, 700_000, 32 << 20)
 #: Composed Latin letters and signs, without white space and without the one letter whose lower case is two characters.

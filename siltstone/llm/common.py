@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of a batch that a Python function handles at a time; bounds its memory together with the batch's own bytes.
 ROWS_AT_A_TIME = 512
 #: Words whose hashes a worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _own_dir: list[str] = []
 _written: list[list[str]] = []
 
@@ -96,16 +96,40 @@ def by_rows(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = RO
     return over
 
 
-class WordHashes(dict):
-    """XXH64 by word (bytes); forgets everything at CACHE_ENTRIES words, so memory is bounded."""
+class Remembered(dict):
+    """What a worker remembers by key between tasks: at most `most` entries, then it starts anew. Workers go from one
+    operator's tasks to another's, so making a value of one kind forgets the others."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+    kinds: list["Remembered"] = []
+    last: "Remembered | None" = None
+
+    def __init__(self, most: int = CACHE_ENTRIES) -> None:
+        super().__init__()
+        self.most = most
+        Remembered.kinds.append(self)
+
+    def value(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        if Remembered.last is not self:
+            for other in Remembered.kinds:
+                if other is not self:
+                    other.clear()
+            Remembered.last = self
+        if len(self) >= self.most:
             self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
+        self[key] = out = self.value(key)
         return out
 
 
+class WordHashes(Remembered):
+    """XXH64 by word (bytes)."""
+
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
+
+
 def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 

@@ -1,7 +1,7 @@
 """Exact dedup by distributed MSD radix partitioning.
 
 Every round splits the groups that are left by their next block of bytes. A block is the digit itself, not a digest
-of it. Blocks grow fourfold from round to round, so a text of n bytes takes about log4(n) rounds. A group that has
+of it. Blocks grow sixteenfold from round to round, so a text of n bytes takes about log16(n) rounds. A group that has
 one member, or whose members have ended, leaves with its result; only members of the other groups go on, with the
 bytes that are left. Counting a digit is an aggregation with partial sums, so a group that holds a third of all
 rows costs one row for each map task. The groups that go on are written with a number each, which is their identity in
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 SPACES = r"[\x20\x09-\x0D]+"
-FIRST_BLOCK = 64
-GROWTH = 4
+FIRST_BLOCK = 128
+GROWTH = 16
 LARGEST_BLOCK = 1 << 22
 
 

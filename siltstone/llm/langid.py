@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,6 +227,8 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
     keep = keep or [id_col]
     weights = None if model is None else docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
+    at_text = keep.index(text_col) if text_col in keep else len(keep)  # a text that is kept is not sent twice
+
     def labelled(texts: list[bytes | None]) -> tuple[list, list, list]:
         own = weights.value if weights else None
         busy = [i for i, t in enumerate(texts) if t and own and any(map(str.isalpha, t.decode()))]
@@ -241,18 +244,18 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([0 if t is None else len(t) for t in batch.column(len(keep)).to_pylist()])
-            ends = np.cumsum(sizes)
+            texts = batch.column(at_text)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKEN, side="right")))
                 some = batch.slice(at, to - at)
-                labels, scores, noise = labelled(some.column(len(keep)).to_pylist())
+                labels, scores, noise = labelled(texts.slice(at, to - at).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())], [*keep, "lang_pred", "score", "noise"])
                 at = to
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", "noise double"])
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *[F.col(text_col).alias("__text")] * (text_col not in keep)).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, held_out: F.Column) -> DataFrame:

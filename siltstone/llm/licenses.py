@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, RollingHashes, mix, utf8
+from .common import Remembered, RollingHashes, mix, utf8
 from .license_templates import TEMPLATES
 from .substring_dedup import chunks, sliding_minimum
 
@@ -38,12 +38,9 @@ def plain(word: bytes) -> bytes:
     return word.lower().strip(_PUNCTUATION)
 
 
-class _PlainHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(plain(word))
-        return out
+class _PlainHashes(Remembered):
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(plain(word))
 
 
 _cache, _rolling = _PlainHashes(), RollingHashes()

@@ -20,24 +20,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import cut, utf8
+from .common import Remembered, cut, utf8
 
 SIZE = 2048
 END = 0
 #: Distinct words whose ids a worker remembers before it starts anew.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, number long"
 
 
-class _Ids(dict):
+class _Ids(Remembered):
     def __init__(self, path: str) -> None:
+        super().__init__(WORDS_KEPT)
         self.encoder = encoder(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = out = self.encoder.word(word)
-        return out
+    def value(self, word: bytes) -> bytes:
+        return self.encoder.word(word)
 
 
 _ids: dict[str, _Ids] = {}
