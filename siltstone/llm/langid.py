@@ -33,6 +33,9 @@ LANES, TAKEN = 1024, 1 << 21
 #: text, of so many bytes.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 300, 8, 64
 NOISE = "\0noise"
+#: Positions that every text is given as language before its noise is averaged, so that a short text is never rejected
+#: for a few odd words.
+PRIOR = 30
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -221,7 +224,7 @@ def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text_col
 
 def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep's columns (the id unless given), lang_pred, score (the language's share of all languages' probability),
-    noise (mean probability over the text that it is noise). A null text, a text without a letter, and all texts where
+    noise (mean probability that it is noise, over the text's positions and PRIOR more that are not). A null text, a text without a letter, and all texts where
     there is no model are `und`, score 0, noise 0. Only the text is looked at, all of it; ties go to the label that
     sorts first; an empty table gives an empty table and other columns are ignored."""
     keep = keep or [id_col]
@@ -238,7 +241,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
             languages = sums[:, :-1]
             best = languages.argmax(axis=1)
             share = languages.max(axis=1) / np.maximum(languages.sum(axis=1), 1e-300)
-            for i, b, s, n in zip(busy, best.tolist(), share.tolist(), (sums[:, -1] / sums.sum(axis=1)).tolist(), strict=True):
+            for i, b, s, n in zip(busy, best.tolist(), share.tolist(), (sums[:, -1] / (sums.sum(axis=1) + PRIOR)).tolist(), strict=True):
                 labels[i], scores[i], noise[i] = own.labels[b], min(1.0, s), min(1.0, n)
         return labels, scores, noise
 
