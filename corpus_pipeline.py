@@ -14,8 +14,8 @@ from siltstone.llm.simhash import simhash_near_dedup
 from siltstone.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Noise in a text's positions, on average, from which on it is rejected. Random letters have over 0.95, prose under 0.5.
-REJECT = 0.9
+#: Noise from which on a text is rejected: random letters of 250 bytes and more reach it, prose stays under 0.5.
+REJECT = 0.85
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
