@@ -338,17 +338,76 @@ def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 S = "(k % 20 + 1)"
-_PAPER = (
-    f"'READING PASSAGE ONE' || {NL} || 'Wine has been made for thousands of years, ' || k || ' at least.' || {NL} || {NL} || 'Questions ' || {S} || '-' || ({S} + 2) || {NL} || 'Choose the correct letter A, B, C or D.' || {NL}"
-    f" || {S} || '. Vintage wines are A red B white C from one year D blended.' || {NL} || ({S} + 1) || '. Most wine is A sold young B kept C lost D given away.' || {NL} || ({S} + 2) || '. The author thinks A yes B no C both D neither.' || {NL} || {NL}"
-    f" || 'READING PASSAGE TWO' || {NL} || 'Rivers flow to the sea.' || {NL} || {NL} || 'Questions ' || ({S} + 3) || ' to ' || ({S} + 4) || {NL} || 'Write TRUE, FALSE or NOT GIVEN' || {NL} || ({S} + 3) || '. Rivers flow uphill.' || {NL} || ({S} + 4) || '. Water is wet.' || {NL}"
+_WINE = "'Wine has been made for thousands of years, ' || k || ' at least. It is old and people like it a lot in many countries.'"
+_RIVERS = "'The water of ' || k || ' rivers flows down to the sea. It has done so for many thousands of years.'"
+#: Pages of a paper: a passage with its questions, then another and a writing task.
+_PAGES = (
+    f"'READING PASSAGE ONE' || {NL} || {NL} || 'The Story of Wine' || {NL} || {NL} || {_WINE}",
+    f"'Questions ' || {S} || '-' || ({S} + 2) || {NL} || 'Choose the correct letter A, B, C or D.' || {NL} || {S} || '. Vintage wines are A red B white C from one year D blended.' || {NL} || ({S} + 1) || '. Most wine is A sold young B kept C lost D given away.' || {NL} || ({S} + 2) || '. The author thinks A yes B no C both D neither.'",
+    "'https://example.com/' || k",
+    f"'READING PASSAGE TWO' || {NL} || {NL} || 'Rivers Run Deep' || {NL} || {NL} || {_RIVERS}",
+    f"'Questions ' || ({S} + 3) || ' to ' || ({S} + 4) || {NL} || 'Write TRUE, FALSE or NOT GIVEN' || {NL} || ({S} + 3) || '. Rivers flow uphill.' || {NL} || ({S} + 4) || '. Water is wet.'",
+    "'Writing Task 1: The bar chart below shows visitors of place ' || k || ' by age.'",
 )
+_PAPER = f" || {NL} || {NL} || ".join(_PAGES)
+_FOUND = [(1, 0, 2, 0, "multiple_choice"), (1, 0, 2, 1, "multiple_choice"), (1, 0, 2, 2, "multiple_choice"), (2, 3, 4, 3, "true_false_not_given"), (2, 3, 4, 4, "true_false_not_given")]
+_STEMS = ("Vintage wines are A red B white C from one year D blended.", "Most wine is A sold young B kept C lost D given away.", "The author thinks A yes B no C both D neither.", "Rivers flow uphill.", "Water is wet.")
+_OPTIONS = ("A. red|B. white|C. from one year|D. blended.", "A. sold young|B. kept|C. lost|D. given away.", "A. yes|B. no|C. both|D. neither.", "", "")
 
 
-@add(" UNION ALL ".join(f"SELECT k, {p} AS passage_number, CAST({S} + {a} AS INTEGER) AS question_start, CAST({S} + {b} AS INTEGER) AS question_end, CAST({S} + {q} AS INTEGER) AS number, '{t}' AS question_type FROM {K}" for p, a, b, q, t in [(1, 0, 2, 0, "multiple_choice"), (1, 0, 2, 1, "multiple_choice"), (1, 0, 2, 2, "multiple_choice"), (2, 3, 4, 3, "true_false_not_given"), (2, 3, 4, 4, "true_false_not_given")]))
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, text=_PAPER).withColumnRenamed("k", "document_id")
+
+
+@add(" UNION ALL ".join(
+    f"SELECT k, {p} AS passage_number, CAST({S} + {a} AS INTEGER) AS question_start, CAST({S} + {b} AS INTEGER) AS question_end, CAST({S} + {q} AS INTEGER) AS number, '{t}' AS question_type, {quote(_STEMS[q])} AS text, {quote(_OPTIONS[q])} AS options, '{'The Story of Wine' if p == 1 else 'Rivers Run Deep'}' AS title FROM {K}" for p, a, b, q, t in _FOUND))
 def structure_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = made(spark, sf_dir, text=_PAPER).withColumnRenamed("k", "document_id")
-    return structure.parse_questions(papers).select(F.col("document_id").cast("long").alias("k"), "passage_number", "question_start", "question_end", "number", "question_type")
+    found = structure.parse_questions(_papers(spark, sf_dir))
+    return found.select(F.col("document_id").cast("long").alias("k"), "passage_number", "question_start", "question_end", "number", "question_type", "text", F.array_join("options", "|").alias("options"), F.col("passage_title").alias("title"))
+
+
+@add(f"SELECT k, 1 AS passage_number, 'The Story of Wine' AS title, {_WINE} AS text, {S} || '-' || ({S} + 2) AS groups FROM {K} UNION ALL SELECT k, 2, 'Rivers Run Deep', {_RIVERS}, ({S} + 3) || '-' || ({S} + 4) FROM {K}")
+def passage_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.passages(_papers(spark, sf_dir))
+    return found.select(F.col("document_id").cast("long").alias("k"), "passage_number", "title", "text", F.array_join("groups", ",").alias("groups"))
+
+
+@add(f"SELECT k, 1 AS passages, {S} || '-' || ({S} + 2) AS ranges, 3::BIGINT AS questions FROM {K} UNION ALL SELECT k, 2, ({S} + 3) || '-' || ({S} + 4), 2 FROM {K}")
+def paper_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.outline(structure.parse_questions(_papers(spark, sf_dir))).select("document_id", F.explode("passages").alias("p")).select("document_id", F.col("p.passage_number").alias("passages"), F.explode("p.groups").alias("g"))
+    return rows.select(F.col("document_id").cast("long").alias("k"), "passages", F.concat_ws("-", "g.question_start", "g.question_end").alias("ranges"), F.col("g.questions").alias("questions"))
+
+
+def _chunk(index: int, unit: str, chunk: str, text: str, parent: str, page: str, ids: str, low: str = "NULL", high: str = "NULL") -> str:
+    return f"SELECT k, {index} AS chunk_index, '{unit}' AS unit_type, k || '-' || {chunk} AS chunk_id, {text} AS text, {parent} AS parent_id, '{page}' AS pages, '{ids}' AS element_ids, CAST({low} AS INTEGER) AS range_start, CAST({high} AS INTEGER) AS range_end FROM {K}"
+
+
+def _question(index: int, q: int, low: int, high: int, page: str, ids: str) -> str:
+    n = f"({S} + {q})"
+    return _chunk(index, "question", f"'question-' || {n}", f"{n} || {quote('. ' + _STEMS[q])}", f"'questions-' || ({S} + {low}) || '-' || ({S} + {high})", page, ids, n, n)
+
+
+def _shown(numbers: range, head: str) -> str:
+    return head + "".join(f" || ' ' || ({S} + {q}) || {quote('. ' + _STEMS[q])}" for q in numbers)
+
+
+@add(" UNION ALL ".join((
+    _chunk(0, "document_outline", "'outline'", f"'Document: f.pdf' || {NL} || 'Exam Reading document outline.' || {NL} || 'Passage 1: The Story of Wine. Pages [1, 2]. Questions ' || {S} || '-' || ({S} + 2) || ' (multiple_choice).' || {NL} || 'Passage 2: Rivers Run Deep. Pages [3]. Questions ' || ({S} + 3) || '-' || ({S} + 4) || ' (true_false_not_given).'", "NULL", "1,2,3", ""),
+    _chunk(1, "passage", "'passage-1-1'", f"'Passage 1: The Story of Wine' || {NL} || {NL} || {_WINE}", "'passage-1'", "1,2", "e0,e1"),
+    _chunk(2, "question_group", f"'questions-' || {S} || '-' || ({S} + 2)", _shown(range(3), f"'Questions ' || {S} || '-' || ({S} + 2) || ' Choose the correct letter A, B, C or D.'"), "'passage-1'", "2", "e1", S, f"({S} + 2)"),
+    *(_question(3 + q, q, 0, 2, "2", "e1") for q in range(3)),
+    _chunk(6, "passage", "'passage-2-1'", f"'Passage 2: Rivers Run Deep' || {NL} || {NL} || {_RIVERS}", "'passage-2'", "3", "e3,e4"),
+    _chunk(7, "question_group", f"'questions-' || ({S} + 3) || '-' || ({S} + 4)", _shown(range(3, 5), f"'Questions ' || ({S} + 3) || ' to ' || ({S} + 4) || ' Write TRUE, FALSE or NOT GIVEN'"), "'passage-2'", "3", "e4", f"({S} + 3)", f"({S} + 4)"),
+    *(_question(5 + q, q, 3, 4, "3", "e4") for q in (3, 4)),
+    _chunk(10, "writing_task", "'writing-1-writing_task-1'", f"'Task 1' || {NL} || 'The bar chart below shows visitors of place ' || k || ' by age.'", "'writing-task-1'", "3", "e5"),
+)))
+def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = (1, 2, 2, 3, 3, 3)
+    elements = ", ".join(f"named_struct('element_id', 'e{i}', 'page', {p}, 'text', {x}, 'confidence', 1.0D)" for i, (p, x) in enumerate(zip(pages, _PAGES, strict=True)))
+    docs = made(spark, sf_dir, elements=f"array({elements})", source_file="'f.pdf'").withColumnRenamed("k", "document_id")
+    found = structure.structured_chunks(docs, "Exam")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select(F.col("document_id").cast("long").alias("k"), "chunk_index", "unit_type", "chunk_id", "text", "parent_id", joined("pages"), joined("element_ids"), "range_start", "range_end")
 
 
 # packets of exact questions: orders as questions, by tens a passage, by fives a group
