@@ -193,3 +193,75 @@ def within_budget(rows: DataFrame, order: list, length: Column, budget: int, par
     """The longest prefix of each partition whose lengths fit; partitions are small."""
     running = F.sum(length).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__sum", running).where(F.col("__sum") <= budget).drop("__sum")
+
+
+def catalog_scores(message: str, entries: DataFrame, titles: DataFrame, weights: DataFrame, key: str, title: str) -> DataFrame:
+    """entries: key, source_file, mime_types; titles: key and normalised titles. The sum of a file's name, kind and
+    title scores as `score`."""
+    named = filename_scores(message, entries).withColumn("__m", modality_score(message, F.col("mime_types"), F.col("source_file")))
+    by_title = title_score(message, titles, weights, key, title).withColumnRenamed("score", "__t")
+    rows = named.join(by_title, key, "left")
+    return rows.withColumn("score", F.col("filename_score") + F.col("__m") + F.coalesce("__t", F.lit(0.0))).drop("__m", "__t")
+
+
+#: What a catalog's text begins with, and what is asked where several documents fit.
+CATALOG_HEAD, NO_CATALOG = "Most relevant uploaded document candidates:", "Available uploaded documents: none"
+FITTING = "Các file phù hợp nhất:"
+
+
+def rendered(entries: DataFrame, message: str, key: str, rank: str, fields: dict[str, str], entry_chars: int = ENTRY_CHARS, all_chars: int = CATALOG_CHARS) -> DataFrame:
+    """The candidates of a message as lines of text: key, reference (D and the rank), line. Of each field's values, the
+    most relevant first, as many are shown as fit the entry; entries are shown up to the first that does not fit all."""
+    rows = entries.withColumn("reference", F.concat(F.lit("D"), F.col(rank).cast("string")))
+    line = F.concat(F.lit("- "), F.col("reference"), F.lit(": "), F.coalesce("source_file", F.lit("unknown")))
+    for label, column in fields.items():
+        line = _with_field(line, label, relevant_first(message, F.col(column)), entry_chars)
+    rows = rows.withColumn("line", line)
+    w = Window.partitionBy(F.lit(0)).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)  # of the few candidates of a message
+    total = F.sum(F.length("line") + 1).over(w) + len(CATALOG_HEAD)
+    return rows.withColumn("__total", total).where(F.col("__total") <= all_chars).select(key, "reference", "line")
+
+
+def _with_field(line: Column, label: str, values: Column, most: int) -> Column:
+    """The line with the longest prefix of the values that keeps it within its size."""
+    said = lambda n: F.concat(line, F.lit(f" | {label}="), F.array_join(F.slice(values, F.lit(1), n), "; "))
+    fits = F.size(F.filter(F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values))).otherwise(F.array().cast("array<int>")), lambda n: F.length(said(n)) <= most))
+    return F.when(fits > 0, said(fits)).otherwise(line)
+
+
+def relevant_first(message: str, values: Column) -> Column:
+    """value_order() within an array: whole values first, then the longest run, then shared words; stable."""
+    query = normalize_reference_text(message)
+    words = query.split()
+    own = F.array(*map(F.lit, sorted(set(words)))).cast("array<string>")
+
+    def rank(v: Column, i: Column) -> Column:
+        plain = _plain_reference(v)
+        tokens = F.split(plain, " ")
+        whole = ((plain != "") & F.contains(F.lit(query), plain)).cast("int")
+        return F.struct((-whole).alias("a"), (-longest_contiguous(words, tokens)).alias("b"), (-F.size(F.array_intersect(F.array_distinct(tokens), own))).alias("c"), i.alias("i"), v.alias("v"))
+
+    return F.transform(F.array_sort(F.transform(values, rank)), lambda x: x["v"])
+
+
+def _plain_reference(value: Column) -> Column:
+    """normalize_reference without a Python step, for metadata in ASCII and Latin letters."""
+    marked, bare = "àáảãạâầấẩẫậăằắẳẵặèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ", "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyy"
+    return F.array_join(F.regexp_extract_all(F.translate(F.lower(value), marked, bare), F.lit("([a-z0-9]+)"), 1), " ")
+
+
+def resolve_references(references: list[str], entries: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
+    """references: as a caller's model names them (a few). One row each, once: the entry's key if there is one, and
+    whether it is allowed."""
+    spark = entries.sparkSession
+    asked = spark.createDataFrame([(r,) for r in dict.fromkeys(references)], "reference string")
+    rows = asked.join(entries.select("reference", key), "reference", "left")
+    fine = allowed.select(F.col(key).alias("__k")).distinct()
+    return rows.join(fine, F.col(key) == F.col("__k"), "left").select("reference", key, F.col("__k").isNotNull().alias("allowed"))
+
+
+def clarification(entries: DataFrame, rank: str, question: str, most: int = 3) -> DataFrame:
+    """One row: the question with the names of the first candidates, each once; null without any."""
+    names = entries.groupBy("source_file").agg(F.min(rank).alias("r")).orderBy("r").limit(most)
+    listed = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "source_file"))), lambda x: F.concat(F.lit("- "), x["source_file"])), "\n").alias("l"))
+    return listed.select(F.when(F.col("l") != "", F.concat(F.lit(f"{question}\n\n{FITTING}\n"), F.col("l"))).alias("reply"))

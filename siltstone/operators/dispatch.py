@@ -8,32 +8,54 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grammar as G
 from ..functions.ranges import overlaps, ranges_of
 from . import lookup
+from .tables import cell_lookup_score
 
 #: The intents, those that show a visual, and how many rows of evidence a question and a request may have.
-INTENTS = ["semantic_qa", "document_overview", "show_questions", "translate_questions", "explain_questions", "solve_questions", "show_table", "extract_table", "table_cell", "table_calculation", "table_comparison", "show_flowchart", "show_diagram", "show_writing_prompt", "writing_generation", "translate_content"]
+INTENTS = [
+    "document_overview", "show_questions", "translate_questions", "translate_content", "explain_questions", "solve_questions", "semantic_qa", "show_table", "extract_table", "table_cell", "table_calculation", "table_comparison", "show_flowchart",
+    "show_diagram", "show_writing_prompt", "writing_generation",
+]
 QUESTION_INTENTS = ["show_questions", "translate_questions", "explain_questions", "solve_questions"]
 TABLE_INTENTS = ["show_table", "extract_table", "table_cell", "table_calculation", "table_comparison"]
+TABLE_OPERATIONS = ["table_cell", "table_calculation", "table_comparison"]
+TABLE_UNITS = {"table", "table_row", "writing_table"}
 EVIDENCE_EACH, EVIDENCE_ALL = 2, 12
-PASSAGE_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
-NO_SOLUTION = r"(?i)(?:do not|don't|without|không)\s+(?:\w+\s+){0,2}(?:solv|answer|giải|đưa đáp án|cho đáp án)"
-NO_WRITING = r"(?i)(?:do not|don't|không)\s+(?:\w+\s+){0,2}(?:writ|viết)"
+#: How a request forbids solving or writing: a negation and an act, or a phrase by itself.
+NEGATIONS = ("không", "chưa")
+NOT_SOLVED = (r"(?:tự\s+)?giải(?!\s*thích)", rf"{G.one_of('đưa', 'điền')}\s+(?:ra\s+)?{G.phrase('đáp án')}", rf"chọn\s+(?:\S+\s+){{0,3}}?{G.phrase('đáp án')}", "ghép")
+NOT_WRITTEN = (rf"viết\s+{G.one_of('bài', 'đoạn', 'report', 'essay')}", r"viết(?=\s*(?:[.!?]|$))")
+KEPT_BLANK = G.phrase("giữ nguyên ô trống")
+ONLY_SHOWN = rf"chỉ\s+{G.one_of('trình bày', 'nêu', 'giải thích', 'mô tả')}\s+(?:phần\s+)?{G.one_of('yêu cầu', 'đề bài', 'prompt')}"
+_NOT = rf"\b{G.one_of(*NEGATIONS)}\s+"
+NO_SOLUTION = rf"(?i){_NOT}(?:{'|'.join(NOT_SOLVED)})(?![\p{{L}}\p{{N}}_])|\b{KEPT_BLANK}\b"
+NO_WRITING = rf"(?i){_NOT}(?:{'|'.join(NOT_WRITTEN)})(?![\p{{L}}\p{{N}}_])|\b{ONLY_SHOWN}\b"
+PASSAGE = re.compile(rf"(?:reading\s+)?passage\s+(\d{{1,2}}|{'|'.join(G.COUNT_WORDS)})\b")
 
 
 def passage_number(message: str) -> int | None:
-    m = re.search(r"(?:reading\s+)?passage\s+(\d{1,2}|one|two|three|four|five|six)\b", message.lower())
-    return None if not m else int(m[1]) if m[1].isdigit() else PASSAGE_WORDS[m[1]]
+    m = PASSAGE.search(message.lower())
+    return None if not m else int(m[1]) if m[1].isdigit() else G.COUNT_WORDS[m[1]]
 
 
 def allowed_intents(message: str, unit_types: set[str], has_affinity: bool = False) -> list[str]:
-    """Intents that the message and the catalog can serve."""
-    out = list(INTENTS)
-    if not ranges_of(message) and not has_affinity:
-        out = [x for x in out if x not in QUESTION_INTENTS]
-    if not unit_types & {"table", "writing_table", "table_row"}:
-        out = [x for x in out if x not in TABLE_INTENTS]
-    return out
+    """Intents that the message and the catalog can serve, in their order: questions need a range or a question that is
+    being talked about, operations on tables a table."""
+    gone = set(QUESTION_INTENTS) if not ranges_of(message) and not has_affinity else set()
+    gone |= set(TABLE_OPERATIONS) if not unit_types & TABLE_UNITS else set()
+    return [x for x in INTENTS if x not in gone]
+
+
+def allowed_by_document(messages: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """allowed_intents of every message: messages have key, has_range and has_affinity; catalog has key and
+    unit_types. Adds intents."""
+    units = catalog.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("unit_types"))).alias("__u"))
+    rows = messages.join(units, key, "left")
+    asked, tables = F.col("has_range") | F.col("has_affinity"), F.coalesce(F.arrays_overlap("__u", F.array(*map(F.lit, sorted(TABLE_UNITS)))), F.lit(False))
+    kept = F.filter(F.array(*map(F.lit, INTENTS)), lambda x: (asked | ~x.isin(QUESTION_INTENTS)) & (tables | ~x.isin(TABLE_OPERATIONS)))
+    return rows.withColumn("intents", kept).drop("__u")
 
 
 def constrain(message: Column, intent: Column) -> Column:
@@ -52,6 +74,7 @@ def structured_lookup(chunks: DataFrame, message: str, intent: str, top_k: int =
     builders: dict[str, Callable[[], DataFrame]] = {
         "document_overview": lambda: lookup.overview(chunks, top_k, document_ids),
         **{k: visual("table", "table_completion", writing) for k in TABLE_INTENTS if k != "table_cell"},
+        "table_cell": lambda: table_cells(chunks, message, top_k, document_ids),
         "show_flowchart": visual("flowchart", "flowchart_completion"),
         "show_diagram": visual("diagram", "diagram_completion"),
         "show_writing_prompt": lambda: lookup.unit_lookup(chunks, ["writing_prompt", "writing_task"], top_k, document_ids),
@@ -62,6 +85,17 @@ def structured_lookup(chunks: DataFrame, message: str, intent: str, top_k: int =
     return builders[intent]() if intent in builders else chunks.limit(0)
 
 
+def table_cells(chunks: DataFrame, message: str, top_k: int, document_ids: list | None = None) -> DataFrame:
+    """Chunks of tables by the score of their best cell, best first; chunks without cells (an array of row_idx, label,
+    col_idx, column, value) have none."""
+    rows = lookup.in_scope(chunks, document_ids).where(F.col("unit_type").isin(sorted(TABLE_UNITS)))
+    if "cells" not in chunks.columns:
+        return rows.limit(0)
+    cells = rows.select(F.col("chunk_id").alias("table_id"), F.explode("cells").alias("c")).select("table_id", "c.*")
+    scored = rows.join(cell_lookup_score(cells, message).withColumnRenamed("table_id", "chunk_id"), "chunk_id")
+    return lookup.mark(scored.drop("structured_score"), "structured_table_cell", scored["structured_score"]).orderBy(F.desc("structured_score"), "position").limit(top_k)
+
+
 def filter_for_intent(sources: DataFrame, message: str, intent: str) -> DataFrame:
     """Sources of the passage that the message names, of the kind that the intent shows, and of its ranges."""
     number = passage_number(message)
@@ -110,7 +144,7 @@ def word_limit(text: Column) -> Column:
     b = F.regexp_extract(low, r"\b(one|two|three|four|\d+)\s+words?\s+only\b", 1)
     said = F.when(a != "", a).otherwise(b)
     out = F.when(said.rlike(r"^\d+$"), said.cast("int"))
-    for word, n in list(PASSAGE_WORDS.items())[:4]:
+    for word, n in list(G.COUNT_WORDS.items())[:4]:
         out = F.when(said == word, n).otherwise(out)
     return out
 

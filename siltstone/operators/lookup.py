@@ -13,8 +13,6 @@ from ..functions.ranges import overlap_size, overlaps
 #: Unit types that an overview shows first.
 OUTLINE_UNITS = ["document_outline", "passage_summary", "writing_prompt", "writing_table", "writing_task", "sample_answer"]
 ENOUGH_TOKENS = 80
-#: Fixed value: the type of a document that is one writing task with a figure.
-WRITING_DOCUMENT = "ielts_writing_task_1"
 NO_PAGE = 999
 
 
@@ -76,13 +74,13 @@ def question_lookup(chunks: DataFrame, ranges: list[tuple[int, int]], top_k: int
     return mark(rows, "structured_question", score).where("structured_score > 0").orderBy(F.desc("structured_score"), "position").limit(top_k)
 
 
-def visual_lookup(chunks: DataFrame, ranges: list[tuple[int, int]], visual: str, question_type: str, top_k: int, prefer_writing: bool = False, document_ids: list | None = None) -> DataFrame:
+def visual_lookup(chunks: DataFrame, ranges: list[tuple[int, int]], visual: str, question_type: str, top_k: int, prefer_writing: bool = False, document_ids: list | None = None, writing_document: str = "writing_task_1") -> DataFrame:
     """has_visual says whether the chunk carries the visual's data."""
     is_visual = F.coalesce((F.col("unit_type") == visual) | (F.col("question_type") == question_type), F.lit(False))
     writing = F.col("unit_type").isin("writing_table", "table_row") & F.lit(visual == "table")
     rows = in_scope(chunks, document_ids).where(is_visual | writing)
     if prefer_writing:
-        rows = rows.where(writing | (F.col("document_type") == WRITING_DOCUMENT))
+        rows = rows.where(writing | (F.col("document_type") == writing_document))
     score = F.when(is_visual, 40.0).otherwise(20.0) + F.when(F.col("has_visual"), 20.0).otherwise(0.0) + F.when(writing, 20.0).otherwise(0.0)
     if ranges:
         met = F.lit(False)

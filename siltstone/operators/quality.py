@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.ranges import HEADER, header_ranges
 from ..functions.text import control_ratio, readable_ratio, strip, term_set
 
 #: Thresholds of page quality and of duplicates.
@@ -106,3 +107,21 @@ def page_report(reconciled: DataFrame, route: str = "native") -> DataFrame:
     )
     suffix = F.when(F.col("native_elements") == 0, "").when(F.col("duplicates_removed") > 0, "_deduped").when(F.col("ocr_elements") > 0, "_reconciled").otherwise("")
     return counts.withColumn("processing_route", F.concat(F.lit(route), suffix))
+
+
+#: Words of a native text by which its page has a layout that recognition may tell more of.
+LAYOUT_WORDS = ["complete the table", "complete the flow chart", "complete the flowchart", "complete the diagram", "flow chart", "flowchart", "table."]
+
+
+def merge_reasons(native: Column) -> Column:
+    """Why a page's recognised text should be added to its native one: `layout_question`, and missing_question_numbers_a_b
+    for each range of the text's headers of which fewer than half of the numbers (one at least) are visible."""
+    low = F.lower(F.coalesce(native, F.lit("")))
+    layout = F.when(F.exists(F.array(*map(F.lit, LAYOUT_WORDS)), lambda w: F.contains(low, w)), F.lit("layout_question"))
+    bare = F.regexp_replace(low, HEADER, "")
+    shown = F.transform(F.regexp_extract_all(bare, F.lit(r"(?<!\d)(\d{1,2})\s*[.)]|\((\d{1,2})\)"), 0), lambda x: F.regexp_replace(x, r"\D", "").cast("int"))
+    ordered = F.transform(header_ranges(low), lambda r: F.struct(F.least(r["start"], r["end"]).alias("start"), F.greatest(r["start"], r["end"]).alias("end")))
+    wide = F.filter(ordered, lambda r: r["end"] > r["start"])
+    few = lambda r: F.size(F.array_intersect(F.sequence(r["start"], r["end"]), shown)) < F.greatest(F.lit(1), F.floor((r["end"] - r["start"] + 1) / 2))
+    names = F.transform(F.filter(wide, few), lambda r: F.concat(F.lit("missing_question_numbers_"), r["start"].cast("string"), F.lit("_"), r["end"].cast("string")))
+    return F.concat(F.array_compact(F.array(layout)), names)

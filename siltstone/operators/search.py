@@ -233,7 +233,7 @@ def has_lexical_hit(sources: DataFrame) -> DataFrame:
 
 #: Words by which a query asks for documents, and for their overview.
 DOCUMENT_MARKERS = ["tài liệu", "file", "pdf", "docx", "trong bài", "bài đọc", "passage", "question", "questions", "câu hỏi", "trang", "page", "bảng", "table", "flow", "nội dung", "ảnh", "hình", "image", "writing", "task 1", "task 2", "đề trên", "đề writing", "tỷ lệ", "giá trị", "số liệu", "có nhắc đến", "đã tải", "uploaded"]
-OVERVIEW_MARKERS = ["nội dung tài liệu", "nội dung của tài liệu", "nội dung file", "nội dung của file", "tài liệu là gì", "tài liệu trên là gì", "tài liệu này là gì", "tài liệu này nói gì", "tài liệu trên nói gì", "file này là gì", "file trên là gì", "pdf này là gì", "pdf trên là gì", "tóm tắt tài liệu", "tổng quan tài liệu", "summary of the document", "summarize the document"]
+OVERVIEW_MARKERS = ["nội dung tài liệu", "nội dung của tài liệu", "nội dung tài liệu trên", "nội dung file", "nội dung của file", "tài liệu là gì", "tài liệu trên là gì", "tài liệu này là gì", "tài liệu này nói gì", "tài liệu trên nói gì", "file này là gì", "file trên là gì", "pdf này là gì", "pdf trên là gì", "tóm tắt tài liệu", "tổng quan tài liệu", "summary of the document", "summarize the document"]
 CONTENT_WORDS, DOCUMENT_WORDS, REFERENCE_WORDS = ["nội dung", "tóm tắt", "tổng quan"], ["tài liệu", "file", "pdf", "document"], ["này", "trên", "đó", "uploaded", "đã tải"]
 
 

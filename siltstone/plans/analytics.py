@@ -194,20 +194,6 @@ def scope_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolve_scope(scored, key="p_partkey")
 
 
-_FILES = [("Cambridge Exam 18 READING TEST 2.pdf", "Official Exam Reading Test 2", "application/pdf"), ("Cambridge Exam 18 READING TEST 4.pdf", "Practice tasks", "application/pdf"), ("scan.png", "Age Groups and Cinema Attendance", "image/png")]
-
-
-@add("SELECT * FROM (VALUES ('Summarize Cambridge Exam 18 Reading Test 2', 0, 240.0::DOUBLE), ('Summarize Cambridge Exam 18 Reading Test 2', 1, 160.0::DOUBLE + 5 + 5 / 6.0::DOUBLE + 100), ('Summarize Cambridge Exam 18 Reading Test 2', 2, 0.0), ('what does the image say', 0, 0.0), ('what does the image say', 1, 0.0), ('what does the image say', 2, 180.0)) t(message, file, score)")
-def filename_modality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([(i, a, [c]) for i, (a, _, c) in enumerate(_FILES)], "file int, source_file string, mime_types array<string>")
-    out = None
-    for message in ("Summarize Cambridge Exam 18 Reading Test 2", "what does the image say"):
-        score = F.col("filename_score") + catalog.modality_score(message, F.col("mime_types"), F.col("source_file"))
-        one = catalog.filename_scores(message, files).select(F.lit(message).alias("message"), "file", score.alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @add(f"""WITH {_IDF}, m AS (SELECT {_MSG} AS q), x AS (SELECT p_partkey, t, q FROM v, m WHERE t <> '')
     SELECT p_partkey, 140.0::DOUBLE + len(string_split(t, ' ')) AS score FROM x WHERE contains(q, t) AND (len(string_split(t, ' ')) >= 2 OR length(t) >= 5)""")
 def title_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,12 +202,6 @@ def title_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score >= 140 and score = floor(score)")
 
 
-@add(None)
-def title_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = _titles(spark, sf_dir)
-    return catalog.title_score(_message(spark, sf_dir), titles, catalog.token_weights(titles, "p_partkey", "t"), "p_partkey", "t").where("score > 0")
-
-
 @add(f"""WITH v AS (SELECT p_partkey, {_NORM.format('p_name')} AS t FROM part), m AS (SELECT {_MSG} AS q), x AS (SELECT p_partkey, t, q, string_split(t, ' ') AS a, string_split(q, ' ') AS b FROM v, m),
     runs AS (SELECT p_partkey, max(CASE WHEN contains(' ' || t || ' ', ' ' || array_to_string(b[i:j], ' ') || ' ') THEN j - i + 1 ELSE 0 END) AS run
              FROM (SELECT *, unnest(generate_series(1, len(b))) AS i FROM x), generate_series(1, 12) g(j) WHERE j >= i AND j <= len(b) GROUP BY p_partkey)

@@ -134,12 +134,6 @@ def evidence_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.select_evidence(scores, "query_id", "score", "position", asked.count()).select(F.col("query_id").alias("item_id"), F.col("position").alias("doc_id"), "score")
 
 
-@add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND regexp_matches(text || ' please do not solve it', '(?i)do not solv') THEN 'show_questions' ELSE 'writing_generation' END AS intent FROM conversations""")
-def intent_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    intent = F.when(F.col("turn") % 2 == 0, "solve_questions").otherwise("writing_generation")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", dispatch.constrain(F.concat("text", F.lit(" please do not solve it")), intent).alias("intent"))
-
-
 @add("SELECT doc_id FROM documents WHERE doc_id % 4 = 2 AND lang IN ('de', 'fr')")
 def intent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).select("chunk_id", (F.col("chunk_id") % 4).alias("passage_number"), F.when(F.col("unit_type").isin("de", "fr"), "table").otherwise("passage").alias("unit_type"), F.lit(None).cast("string").alias("question_type"), F.lit(1).alias("range_start"), F.lit(2).alias("range_end"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -33,10 +33,15 @@ def route(path: Column, length: Column, mime: Column | None = None) -> Column:
     return out.otherwise("unsupported")
 
 
+def document_id(content: Column) -> Column:
+    """SHA-256 of a file's bytes."""
+    return F.sha2(content, 256)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content, route and document_id (SHA-256 of the bytes) of all files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
-    return files.withColumns({"route": route(F.col("path"), F.col("length")), "document_id": F.sha2("content", 256), "source_file": F.regexp_replace("path", r"^.*/", "")})
+    return files.withColumns({"route": route(F.col("path"), F.col("length")), "document_id": document_id(F.col("content")), "source_file": F.regexp_replace("path", r"^.*/", "")})
 
 
 def text_documents(files: DataFrame) -> DataFrame:
@@ -79,23 +84,55 @@ def docx_documents(files: DataFrame) -> DataFrame:
     return files.where("route = 'docx'").select("document_id", "source_file", "content").mapInPandas(run, f"document_id string, source_file string, elements {ELEMENTS}")
 
 
-def pdf_documents(files: DataFrame, most_pages: int = 80) -> DataFrame:
-    """Needs PyMuPDF on the executors; fails at run time without it."""
+def pdf_documents(files: DataFrame, most_pages: int = 80, recognise: Callable[[bytes], list[tuple[str, float]]] | None = None, dpi: int = 180) -> DataFrame:
+    """Pages of PDF files as elements; error says why a file has none (too many pages, unreadable, no reader), so that
+    one file never ends the job for others. Needs PyMuPDF on the executors.
+
+    A page's native blocks are its elements. With recognise, a page of poor native text is recognised instead, and one
+    with reasons to (quality.merge_reasons) is recognised too, its text added where it adds something.
+    """
+
+    def page_elements(page, number: int) -> tuple[list[tuple], float, str]:
+        blocks = [b[4].strip() for b in page.get_text("blocks") if len(b) > 4 and b[4].strip()]
+        area = max(1.0, page.rect.width * page.rect.height)
+        images = sum(r.width * r.height for image in page.get_images(full=True) for r in page.get_image_rects(image[0]))
+        return [(f"p{number}-e{i + 1}", number, "paragraph", re.sub(r"\s+", " ", t), "native", 1.0) for i, t in enumerate(blocks)], min(1.0, images / area), "\n\n".join(blocks)
+
+    def recognised(page, number: int, at: int) -> list[tuple]:
+        picture = page.get_pixmap(dpi=dpi).tobytes("png")
+        return [(f"p{number}-e{at + i + 1}", number, "figure_text", t, "ocr", float(c)) for i, (t, c) in enumerate(recognise(picture))]
+
+    def read(content: bytes) -> tuple[list[dict], str | None]:
+        try:
+            import fitz
+
+            with fitz.open(stream=content, filetype="pdf") as pdf:
+                if pdf.page_count > most_pages:
+                    return [], f"more than {most_pages} pages"
+                out: list[tuple] = []
+                for p in range(pdf.page_count):
+                    own, coverage, text = page_elements(pdf[p], p + 1)
+                    if recognise and needs_recognition(text, coverage):
+                        own += recognised(pdf[p], p + 1, len(own))
+                    out += own
+            return [dict(zip(_NAMES, x, strict=True)) for x in out], None
+        except Exception as e:  # whatever a reader says of a broken file is that file's own error
+            return [], f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
-
         for batch in batches:
-            own = []
-            for content in batch["content"]:
-                with fitz.open(stream=bytes(content), filetype="pdf") as pdf:
-                    if pdf.page_count > most_pages:
-                        raise ValueError(f"more than {most_pages} pages")
-                    blocks = [(p + 1, b[4].strip()) for p in range(pdf.page_count) for b in pdf[p].get_text("blocks") if b[4].strip()]
-                own.append([dict(zip(_NAMES, (f"p{p}-e{i + 1}", p, "paragraph", t, "native", 1.0), strict=True)) for i, (p, t) in enumerate(blocks)])
-            yield batch[["document_id", "source_file"]].assign(elements=own)
+            own = [read(bytes(c)) for c in batch["content"]]
+            yield batch[["document_id", "source_file"]].assign(elements=[e for e, _ in own], error=[x for _, x in own])
+
+    return files.where("route = 'pdf'").select("document_id", "source_file", "content").mapInPandas(run, f"document_id string, source_file string, elements {ELEMENTS}, error string")
+
+
+#: Native text that a page must have to stand alone, and the share of its area that images may cover.
+LEAST_CHARS, MOST_COVERED = 40, 0.35
+
 
-    return files.where("route = 'pdf'").select("document_id", "source_file", "content").mapInPandas(run, f"document_id string, source_file string, elements {ELEMENTS}")
+def needs_recognition(text: str, coverage: float) -> bool:
+    return len(text.strip()) < LEAST_CHARS or coverage >= MOST_COVERED
 
 
 def image_documents(files: DataFrame, recognise) -> DataFrame:
