@@ -17,14 +17,15 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     print_of = None
     for _ in range(rounds):
+        most = 2 * now.count()  # a half round makes at most two edges of one
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour points to the smallest one
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large", most)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: smaller neighbours and the node itself point to the smallest one
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "small")
+        after = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "small", 2 * most)
         drop(large)
         was, print_of = print_of, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(now)

@@ -36,12 +36,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns are ignored. An empty table gives an empty table.
     """
     active = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("rest")).select("doc_id", F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), "rest")
-    width, finished = FIRST_BLOCK, []
+    width, finished, left = FIRST_BLOCK, [], None
     while True:
         key = ["gid", "block", "ended"]
         keyed = active.withColumns({"block": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
         # written, so that each group has one number for good and the join sees plain tables, whose hot keys it can split
-        groups = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("number", F.monotonically_increasing_id()), "groups")
+        groups = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("number", F.monotonically_increasing_id()), "groups", left)
         split = keyed.join(groups.hint("merge"), key, "left").select(
             "doc_id",
             "text_sha256",
@@ -55,7 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         drop(groups)
         finished.append(level.where("done").select("doc_id", "keep_id", "group_size", "text_sha256"))
         going = level.where("not done")
-        if going.isEmpty():
+        left = going.count()
+        if not left:
             break
         active = going.select("doc_id", "text_sha256", F.col("number").alias("gid"), "rest")
         width = min(width * GROWTH, LARGEST_BLOCK)
