@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +38,14 @@ def _byte_letters() -> dict[int, int]:
     return {b: 0x100 + i for i, b in enumerate(x for x in range(0x100) if x not in printable)}
 
 
+def little(ids) -> bytes:
+    """Little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordEncoder:
     """Ids of single words (bytes without white space), by a tokenizers file whose pre-tokenizer drops white space."""
 
@@ -54,6 +64,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.split = regex.compile(split["pattern"]["Regex"])
         self.added = [x["content"] for x in said["added_tokens"]]
+        self.openings = {x[0] for x in self.added}
         self.model = self.tokenizer.model
         self.byte_level = str.maketrans(_byte_letters())
         self.pieces: dict[str, bytes] = {}
@@ -66,21 +77,21 @@ class WordEncoder:
         """Little-endian 32-bit ids."""
         text = word.decode()
         # normalisation changes nothing but the case of these letters, so their pieces can be remembered one by one
-        if not LATIN.fullmatch(text) or any(x in text for x in self.added):
+        simple = text.isprintable() if text.isascii() else LATIN.fullmatch(text)
+        if not simple or (not self.openings.isdisjoint(text) and any(x in text for x in self.added)):
             return self.plain(text)
         low = text.lower()
-        if text.isalpha():
-            return self.piece(low)
-        return b"".join(map(self.piece, self.split.findall(low)))
+        if low.isalpha():
+            return self.pieces.get(low) or self.piece(low)
+        known = self.pieces.get
+        return b"".join([known(x) or self.piece(x) for x in self.split.findall(low)])
 
     def piece(self, piece: str) -> bytes:
         """Ids of what the pre-tokenizer leaves whole, by the merges alone."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_level)
-            ids = self.pieces[piece] = np.array([x.id for x in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(self.pieces) >= PIECES_KEPT:
+            self.pieces.clear()
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_level)
+        ids = self.pieces[piece] = little(x.id for x in self.model.tokenize(letters))
         return ids
 
 

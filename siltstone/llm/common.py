@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,16 @@ def by_rows(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = RO
     return over
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose values of a column, strings or binaries, have `most` bytes together; a larger value comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Remembered(dict):
     """What a worker remembers by key between tasks: at most `most` entries, then it starts anew. Workers go from one
     operator's tasks to another's, so making a value of one kind forgets the others."""

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import by_bytes, utf8
 
 HIDDEN = 12
 EMBED = 8
@@ -247,15 +246,9 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at_text)
-            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKEN, side="right")))
-                some = batch.slice(at, to - at)
-                labels, scores, noise = labelled(texts.slice(at, to - at).cast(pa.binary()).to_pylist())
+            for some in by_bytes(batch, at_text, TAKEN):
+                labels, scores, noise = labelled(some.column(at_text).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())], [*keep, "lang_pred", "score", "noise"])
-                at = to
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", "noise double"])
     return docs.select(*keep, *[F.col(text_col).alias("__text")] * (text_col not in keep)).mapInArrow(run, schema)
