@@ -1,8 +1,10 @@
 """Operators on fixtures with known answers, and folds against plain loops."""
 
+import re
 from collections import deque
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from siltstone.operators import catalog, chunking, dispatch, lookup, quality, search, sessions, store, structure, tables, validate
@@ -198,3 +200,203 @@ def test_limit_stream(spark, tmp_path):
     query.stop()
     got = {r.event_id: r.accepted for r in spark.table("limited").collect()}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
+# chunking against plain Python
+
+
+def plain_sentences(text, most):
+    """Greedy packing of sentences, restated: a piece is closed when the next sentence would make it too long."""
+    size = lambda x: max(1, len(x) // 4)
+    if size(text) <= most:
+        return [text]
+    pieces, held = [], []
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        units = [sentence] if size(sentence) <= most else sentence.split()
+        if len(units) > 1 or size(sentence) > most:
+            pieces, held = pieces + [" ".join(held)], []
+        for unit in units:
+            if held and size(" ".join([*held, unit])) > most:
+                pieces, held = pieces + [" ".join(held)], []
+            held.append(unit)
+        if size(sentence) > most:
+            pieces, held = pieces + [" ".join(held)], []
+    return [p.strip() for p in [*pieces, " ".join(held)] if p.strip()]
+
+
+def test_sentence_split_of_all_documents(spark):
+    from siltstone.operators.chunking import sentence_split
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for most in (20, 800):
+        want = {(r["doc_id"], i, p, max(1, len(p) // 4)) for r in docs.collect() for i, p in enumerate(plain_sentences(r["text"] or "", most))}
+        got = {(r["doc_id"], r["piece"], r["text"], r["token_count"]) for r in sentence_split(docs, "doc_id", most=most).collect()}
+        assert got == want
+
+
+def plain_chunks(elements, target=600, most=800, overlap=80):
+    """The semantic fold, restated over indices: a chunk is a list of element numbers with its heading."""
+    size = lambda x: max(1, len(x) // 4)
+
+    def shown(numbers, heading):
+        out, page = ([f"# {heading}"] if heading else []), None
+        for i in numbers:
+            e = elements[i]
+            if e["page"] != page:
+                page = e["page"]
+                out.append(f"[Page {page}]")
+            out.append(("## " if e["kind"] == "heading" else "") + e["text"].strip())
+        return "\n\n".join(out)
+
+    def kept(numbers):
+        own, used = [], 0
+        for i in reversed([i for i in numbers if elements[i]["kind"] != "heading"]):
+            used += size(elements[i]["text"])
+            if used > overlap:
+                break
+            own.insert(0, i)
+        return own
+
+    chunks, now, heading = [], [], None
+    for i, e in enumerate(elements):
+        if not e["text"].strip():
+            continue
+        full = now and (size(shown(now, heading)) >= target or size(shown([*now, i], heading)) > most)
+        if now and (e["kind"] == "heading" or full):
+            chunks.append((now, heading))
+            now = kept(now)
+        if e["kind"] == "heading":
+            heading = e["text"]
+        now = [*now, i]
+    return [(shown(n, h), n) for n, h in [*chunks, *([(now, heading)] if now else [])]]
+
+
+def test_semantic_chunks_of_all_documents(spark):
+    from siltstone.operators.chunking import semantic_chunks
+    from siltstone.plans.documents import _elements
+
+    docs = _elements(spark, SF)
+    want = {(str(r["document_id"]), i, text, tuple(f"e{n}" for n in numbers)) for r in docs.collect() for i, (text, numbers) in enumerate(plain_chunks([e.asDict() for e in r["elements"]]))}
+    got = {(r["document_id"], r["chunk_index"], r["text"], tuple(r["element_ids"])) for r in semantic_chunks(docs).collect()}
+    assert got == want and len(got) > 200
+
+
+def test_response_chunks_of_all_turns(spark):
+    from siltstone.plans.documents import response_chunks
+
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    want = set()
+    for r in rows:
+        out, now = [], ""
+        for part in re.findall(r"\S+\s*|\s+", r["text"]):
+            now += part
+            if len(now) >= 16 or "\n\n" in now or now.rstrip()[-1:] in tuple(".!?:;"):
+                out, now = [*out, now], ""
+        out += [now] if now or not out else []
+        want |= {(r["conv_id"], r["turn"], i, p) for i, p in enumerate(out)}
+    assert {(r["conv_id"], r["turn"], r["n"], r["chunk"]) for r in response_chunks(spark, SF).collect()} == want
+
+
+# sources
+
+
+def test_docx_and_pdf_files(spark, tmp_path):
+    """Paragraphs, headings and ragged tables in order; a file that can't be read is a row with an error, not a failure."""
+    import zipfile
+
+    from siltstone.sources import files
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    cell = lambda t: f"<w:tc><w:p>{run(t)}</w:p></w:tc>"
+    body = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{run("Title")}</w:p><w:p>{run("One  ")}{run("two")}</w:p><w:p/><w:tbl><w:tr>{cell("a|b")}{cell("c")}</w:tr><w:tr>{cell("d")}</w:tr></w:tbl>'
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    (tmp_path / "bad.pdf").write_bytes(b"not a pdf")
+    (tmp_path / "a.png").write_bytes(b"picture")
+    (tmp_path / "b.exe").write_bytes(b"no")
+    found = files.read_files(spark, str(tmp_path))
+    assert {r["source_file"]: r["route"] for r in found.collect()} == {"x.docx": "docx", "bad.pdf": "pdf", "a.png": "image", "b.exe": "unsupported"}
+    elements = files.docx_documents(found).first()["elements"]
+    assert [(e["kind"], e["text"]) for e in elements] == [("heading", "Title"), ("paragraph", "One two"), ("table", "| a\\|b | c |\n| --- | --- |\n| d |  |")]
+    bad = files.pdf_documents(found).first()
+    assert bad["elements"] == [] and bad["error"]
+    seen = files.image_documents(found, lambda content: [(content.decode(), 0.5)]).first()["elements"]
+    assert [(e["text"], e["source"], e["confidence"]) for e in seen] == [("picture", "ocr", 0.5)]
+    assert files.needs_recognition("short", 0.0) and files.needs_recognition("long enough to stand alone as a page's text", 0.4)
+    assert not files.needs_recognition("long enough to stand alone as a page's text", 0.1)
+
+
+# streams
+
+
+def test_upsert_stream_replaces_documents(spark, tmp_path):
+    from siltstone.operators import store
+    from siltstone.streaming.limits import upsert_stream
+
+    schema = "document_id string, source_file string, text string"
+    path, feed = f"{tmp_path}/store", f"{tmp_path}/feed"
+    store.save(spark.createDataFrame([(f"d{i}", "f", f"old {i}") for i in range(40)] + [(None, "loose", "stays")], schema), path, 4)
+    spark.createDataFrame([("d3", "f", "new a"), ("d3", "f", "new b"), ("d99", "g", "added")], schema).write.parquet(feed)
+    for _ in range(2):  # a batch that comes again changes nothing
+        query = upsert_stream(spark.readStream.schema(schema).parquet(feed), path, f"{tmp_path}/check{_}", 4)
+        query.processAllAvailable()
+        query.stop()
+        got = sorted((r["document_id"] or "", r["text"]) for r in store.load(spark, path).collect())
+        want = sorted([(f"d{i}", f"old {i}") for i in range(40) if i != 3] + [("", "stays"), ("d3", "new a"), ("d3", "new b"), ("d99", "added")])
+        assert got == want
+
+
+def test_echo_guard_and_held_back():
+    from siltstone.streaming.limits import echo_guard, held_back
+
+    assert held_back("so <thi", ["<think>", "</s>"]) == 4 and held_back("done", ["<think>"]) == 0
+    assert "".join(echo_guard(iter(["Answer ", "only from", " this. ", "Yes"]), "answer only from this.")) == "Answer only from this. Yes"
+    assert list(echo_guard(iter(["Answer ", "only"]), "answer only from this.")) == []
+    assert list(echo_guard(iter(["No, ", "not so"]), "answer only from this.")) == ["No, ", "not so"]
+
+
+def test_store_lies_in_buckets(spark, tmp_path):
+    from siltstone.operators import store
+
+    rows = spark.createDataFrame([(f"d{i}", "f", "x") for i in range(500)], "document_id string, source_file string, text string")
+    store.save(rows, f"{tmp_path}/s", 8)
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("bucket=")]) == 8 and store.load(spark, f"{tmp_path}/s").count() == 500
+
+
+# contracts and titles
+
+
+def test_response_contracts():
+    from siltstone.operators.contracts import named_language, plan_issues, response_contract
+
+    said = {
+        "dịch sang tiếng Anh": "English", "trả lời giúp tôi bằng tiếng Anh": "English", "bằng tiếng anh": None, "viết một đoạn ngắn ra tiếng anh": "English", "translate it into English": "English", "tra loi bang tieng anh": "English",
+        "dịch ra tiếng Việt": "Vietnamese", "in Vietnamese please": "Vietnamese", "hello": None,
+    }
+    assert {m: named_language(m) for m in said} == said
+    own = response_contract("Lập kế hoạch 2 tháng, mỗi ngày 30 phút mỗi ngày", "direct", allow_solution=True)
+    assert (own.plan_length, own.plan_unit, own.daily_minutes) == (2, "month", 30)
+    weeks = "| Tuần | Việc |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(1, 9))
+    assert plan_issues(weeks, own) == []
+    assert plan_issues(weeks.replace("| 8 |", "| 9 |"), own) == ["The response exceeds the requested plan timeline.", "The response does not cover the full requested plan timeline."]
+    assert plan_issues(weeks + "\n| 8 | again |\n45 phút/ngày", own) == ["The response contains duplicate plan periods.", "The response exceeds the requested daily time limit."]
+    assert response_contract("translate questions 5 - 3", "translate_questions", True).required_numbers == ()
+
+
+def test_titles_and_boundaries():
+    from siltstone.operators.papers import Paper, TitleFinder, lines_of
+
+    assert [(x.start, x.opens) for x in lines_of("a\n\n b\nc\n \nd")] == [(0, True), (4, True), (6, False), (10, True)]
+    find = lambda t: (x := TitleFinder("Mock").best(t)) and x.text
+    prose = "The river was long and it flowed through many lands for years."
+    assert find(f"The Long River\n\n{prose}") == "The Long River" and find(f"Choose the correct letter\n\n{prose}") is None
+    assert find(f"MOCK READING TEST 3\n\nThe Long River\n\n{prose}") == "The Long River"
+    assert find(f"List of headings\n\n{prose}") is None
+    text = f"Old Wine\n\n{prose}\n\nQuestions 1-2\nWrite TRUE, FALSE or NOT GIVEN\n1. A.\n2. B.\n\n[Page 2]\nNew Boats\n\n{prose} {prose}\n\nQuestion 3\nChoose no more than two words\n3. Say it. Task 1 write on"
+    p = Paper(text)
+    assert [(x.title, [(g.start, g.end, g.kind) for g in x.groups]) for x in p.passages] == [("Old Wine", [(1, 2, "true_false_not_given")]), ("New Boats", [(3, 3, "short_answer")])]
+    assert p.passages[1].groups[0].questions[0].text == "Say it."
+    both = Paper("Questions 1-2\n1. a\n\nQuestions 1 - 2\n1. a\n2. b")
+    assert len(both.groups) == 1 and [q.number for q in both.groups[0].questions] == [1, 2]
+    assert Paper("no numbered items").passages == [] and Paper("").groups == []
