@@ -12,7 +12,13 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. One file is dealt to all cores first: its few row groups would keep few busy. A table of many
+    files, as any large one is, is read as it lies."""
+    path = f"{sf_dir}/{name}.parquet"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    df = spark.read.parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if whole else df
 
 
 def held_out(of: int, remainder: int) -> F.Column:
