@@ -29,8 +29,21 @@ class Registry:
         return take
 
 
+#: Tables with long texts, on which a query spends its time row by row.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. One file of texts is dealt to all cores first: its few row groups would keep few busy. A
+    table of many files, as any large one is, is read as it lies."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS and is_file(spark, path) else df
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
