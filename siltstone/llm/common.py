@@ -49,16 +49,17 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-#: Rows of a file, for tables whose rows are short and known not to be more than some number.
-ROWS_A_FILE = 500_000
+#: Bytes of a file, for tables that are known not to be larger than some number of bytes.
+FILE_BYTES = 16 << 20
 
 
-def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, size: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no
-    recomputation. rows: a bound, where one is known; a small table then lies in a few files and not in one a task."""
+    recomputation. size: a bound in bytes, where one is known; a small table then lies in a few files and not in one a
+    task."""
     spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    if size is not None:
+        df = df.coalesce(max(1, -(-size // FILE_BYTES)))
     place = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
     path = f"{place}/{name}"
     delete_at_exit(spark, place)

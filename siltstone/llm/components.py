@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     print_of = None
     for _ in range(rounds):
-        most = 2 * now.count()  # a half round makes at most two edges of one
+        most = 2 * now.count() * 16  # a half round makes at most two edges of one, of two numbers each
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour points to the smallest one

@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         key = ["gid", "block", "ended"]
         keyed = active.withColumns({"block": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
         # written, so that each group has one number for good and the join sees plain tables, whose hot keys it can split
-        groups = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("number", F.monotonically_increasing_id()), "groups", left)
+        groups = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("number", F.monotonically_increasing_id()), "groups", None if left is None else left * (width + 64))
         split = keyed.join(groups.hint("merge"), key, "left").select(
             "doc_id",
             "text_sha256",
