@@ -410,6 +410,56 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("document_id").cast("long").alias("k"), "chunk_index", "unit_type", "chunk_id", "text", "parent_id", joined("pages"), joined("element_ids"), "range_start", "range_end")
 
 
+# visuals of question groups
+
+
+def _line(text: str, x: str, y: str, width: int = 30) -> str:
+    return f"named_struct('text', {text}, 'bbox', array(double({x}), double({y}), double({x}) + {width}, double({y}) + 10), 'confidence', 0.8D)"
+
+
+def _region(kind: str, lines: list[str], connectors: list[str]) -> str:
+    none = "cast(array() as array<struct<id:string,bbox:array<double>,endpoints:array<array<double>>,head:array<double>,confidence:double>>)"
+    own = f"array({', '.join(connectors)})" if connectors else none
+    return f"named_struct('page', 2, 'kind', '{kind}', 'bbox', array(0.0D, 0.0D, 400.0D, 400.0D), 'confidence', 0.9D, 'lines', array({', '.join(lines)}), 'connectors', {own})"
+
+
+def _connector(name: str, y: int, down: bool, sure: str) -> str:
+    return f"named_struct('id', '{name}', 'bbox', array(104.0D, double({y}), 106.0D, double({y + 18})), 'endpoints', array(array(105.0D, double({y})), array(105.0D, double({y + 18}))), 'head', array(105.0D, double({y + 18 if down else y})), 'confidence', {sure})"
+
+
+_TABLE_LINES = [_line("'Place'", "10", "60"), _line("'Sales ' || k", "110", "61"), _line("'Note'", "210", "59"), _line("'North'", "10", "90"), _line("'(' || (k % 9 + 1) || ')'", "112", "91"), _line("'x'", "208", "89"), _line("'South'", "9", "120"), _line("CASE WHEN k % 2 = 0 THEN 'gap ' || (k % 9 + 2) ELSE 'none' END", "111", "121"), _line("'y'", "211", "122")]
+_FLOW_LINES = [_line("'The whole way'", "20", "10", 300), _line("'start ' || k", "80", "100", 50), _line("'then ' || (k % 9 + 1)", "80", "150", 50), _line("'of it'", "82", "161", 40), _line("'end ' || (k % 9 + 2)", "80", "211", 50)]
+_FLOW_LINKS = [_connector("c1", 121, True, "0.9D"), _connector("c2", 182, False, "IF(k % 2 = 0, 0.9D, 0.2D)")]
+
+
+@add(f"""SELECT k, 'table' AS kind, 'Place|Sales ' || k || '|Note' AS columns, 'North|(' || (k % 9 + 1) || ')|x;South|' || CASE WHEN k % 2 = 0 THEN 'gap ' || (k % 9 + 2) ELSE 'none' END || '|y' AS cells, '' AS nodes, '' AS edges,
+    CASE WHEN k % 2 = 0 THEN '' ELSE 'missing_question_numbers' END AS issues, CASE WHEN k % 2 = 0 THEN 0.8::DOUBLE ELSE 0.7 END AS confidence FROM {K} WHERE k % 4 < 2
+    UNION ALL SELECT k, 'flowchart', '', '', 'start ' || k || ';then ' || (k % 9 + 1) || ' of it;end ' || (k % 9 + 2), 'node-1>node-2' || CASE WHEN k % 2 = 0 THEN ',node-3>node-2' ELSE '' END, CASE WHEN k % 2 = 0 THEN '' ELSE 'unresolved_connectors' END, round(0.8::DOUBLE * (0.6 + 0.3 * CASE WHEN k % 2 = 0 THEN 1 ELSE 0.5 END), 4) FROM {K} WHERE k % 4 >= 2""")
+def question_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of two numbered rows, or a flow chart of three nodes of which the second connector points up."""
+    from ..operators import visuals
+
+    regions = f"array({_region('table', _TABLE_LINES, [])}, {_region('figure', _FLOW_LINES, _FLOW_LINKS)})"
+    rows = made(spark, sf_dir, question_type="CASE WHEN k % 4 < 2 THEN 'table_completion' ELSE 'flowchart_completion' END", question_start="cast(k % 9 + 1 as int)", question_end="cast(k % 9 + 2 as int)", text="''", regions=regions)
+    found = visuals.question_visuals(rows, ["k"])
+    joined = lambda c: F.array_join(c, "|")
+    return found.select(
+        "k", "kind", joined("columns").alias("columns"), F.array_join(F.transform("rows", joined), ";").alias("cells"), F.array_join(F.transform("nodes", lambda n: n["text"]), ";").alias("nodes"),
+        F.array_join(F.transform("edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"])), ",").alias("edges"), F.array_join("issues", ",").alias("issues"), "confidence",
+    )
+
+
+@add(f"""SELECT k, {pick('k', "'| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || k || ' |  |'", "'- node-1: start ' || (k + 100) || chr(10) || '- node-2: [blanks: 7]' || chr(10) || '- edge: node-1 -> node-2'", "'- node-1: first ' || (k + 100) || chr(10) || '- node-2: then 7 [blanks: 7]'", "'- blank-7: [blanks: 7]' || chr(10) || '- blank-8: [blanks: 8]'")} AS text, {pick('k', '0.78', '0.7', '0.35', '0.35')}::DOUBLE AS confidence, {pick_text('k', '', '8', '8', '')} AS missing FROM {K}""")
+def text_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visuals of groups without a region, from their texts."""
+    from ..operators import visuals
+
+    said = pick("k", f"'x' || {NL} || '| A | B |' || {NL} || '|---|---|' || {NL} || '| ' || k || ' |'", "'start ' || (k + 100) || ' → (7);'", f"'• first ' || (k + 100) || {NL} || '* then 7'", "'nothing here'")
+    rows = made(spark, sf_dir, question_type="CASE WHEN k % 4 = 0 THEN 'table_completion' ELSE 'flowchart_completion' END", question_start="7", question_end="8", text=said, regions=f"cast(array() as array<{visuals.REGION}>)")
+    found = visuals.shown(visuals.question_visuals(rows, ["k"]))
+    return found.select("k", "text", "confidence", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
 # packets of exact questions: orders as questions, by tens a passage, by fives a group
 
 _MESSAGE = "Questions 1-99"
