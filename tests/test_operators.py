@@ -400,3 +400,18 @@ def test_titles_and_boundaries():
     both = Paper("Questions 1-2\n1. a\n\nQuestions 1 - 2\n1. a\n2. b")
     assert len(both.groups) == 1 and [q.number for q in both.groups[0].questions] == [1, 2]
     assert Paper("no numbered items").passages == [] and Paper("").groups == []
+
+
+def test_visual_chunks_follow_their_group():
+    from siltstone.operators.structure import chunks_of
+
+    said = "Questions 7-8\nComplete the table below\n| A | B |\n|---|---|\n| 7 | x |\n\nQuestions 9-10\nComplete the flow-chart\nstart → (9) → ten 10\n\nQuestions 11-12\nComplete the table. 11. 12."
+    own = chunks_of("d", "f.pdf", [{"element_id": "e1", "page": 1, "text": said, "confidence": 0.9}], "Mock")
+    by = {c["chunk_id"]: c for c in own}
+    assert by["d-table-7-8"]["text"] == "| A | B |\n| --- | --- |\n| 7 | x |" and by["d-table-7-8"]["min_confidence"] == 0.78
+    assert "- edge: node-1 -> node-2" in by["d-flowchart-9-10"]["text"] and by["d-flowchart-9-10"]["parent_id"] == "questions-9-10"
+    assert by["d-table-11-12"]["text"].startswith("Table Questions 11-12\nBlank question numbers: 11, 12\n")
+    assert [c["chunk_index"] for c in own] == list(range(len(own)))
+    region = {"page": 1, "kind": "table", "bbox": [0, 0, 100, 100], "confidence": 0.9, "connectors": [], "lines": [{"text": t, "bbox": [x, y, x + 8, y + 8], "confidence": 1.0} for t, x, y in [("H", 5, 5), ("I", 55, 5), ("7", 5, 30), ("u", 55, 30), ("v", 5, 60), ("8", 55, 60)]]}
+    seen = {c["chunk_id"]: c for c in chunks_of("d", "f.pdf", [{"element_id": "e1", "page": 1, "text": said, "confidence": 0.9}], "Mock", regions=[region])}
+    assert seen["d-table-7-8"]["text"] == "| H | I |\n| --- | --- |\n| 7 | u |\n| v | 8 |"
