@@ -223,7 +223,7 @@ def merge_evidence(contract: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def inventory(tasks: DataFrame) -> DataFrame:
-    """Writing tasks with whether an answer of the same document and parent exists, by page and index."""
+    """Writing tasks with whether an answer of the same document and parent exists; replies.writing_inventory orders them."""
     answers = tasks.where("unit_type = 'sample_answer'").select("document_id", "parent_id").distinct().withColumn("has_answer", F.lit(True))
     rows = tasks.where("unit_type = 'writing_task'").join(answers, ["document_id", "parent_id"], "left")
     return rows.withColumn("has_answer", F.coalesce("has_answer", F.lit(False)))

@@ -155,3 +155,26 @@ def least_recent(accesses: list[str], capacity: int = CACHED, protected: frozens
             del held[victim]
             gone.append(victim)
     return list(held), gone
+
+
+def cache_log(accesses: DataFrame, cache: str, order: list[str], item: str, capacity: int = CACHED) -> DataFrame:
+    """accesses: cache, order, item. Adds hit and evicted (the item that goes, or null) of a cache that keeps the
+    `capacity` items used last. A cache's accesses are read in order, streaming; what is held is the cache itself."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in accesses.schema)
+    kind = accesses.schema[item].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, OrderedDict()
+        for batch in batches:
+            hits, gone = [], []
+            for key, x in zip(batch[cache], batch[item], strict=True):
+                if key != now:
+                    now, held = key, OrderedDict()
+                hits.append(x in held)
+                held[x] = None
+                held.move_to_end(x)
+                gone.append(held.popitem(last=False)[0] if len(held) > capacity else None)
+            yield batch.assign(hit=hits, evicted=pd.Series(gone, index=batch.index, dtype=object))
+
+    ordered = accesses.repartition(cache).sortWithinPartitions(cache, *order)
+    return ordered.mapInPandas(run, f"{fields}, hit boolean, evicted {kind}")

@@ -301,9 +301,10 @@ def reconcile_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(f"""WITH {_ELEMENTS} SELECT page_id, count(*) FILTER (NOT ocr) AS native_elements, count(*) FILTER (ocr) AS ocr_elements, count(*) FILTER (duplicate) AS duplicates_removed,
-    'native' || CASE WHEN count(*) FILTER (NOT ocr) = 0 THEN '' WHEN count(*) FILTER (duplicate) > 0 THEN '_deduped' WHEN count(*) FILTER (ocr) > 0 THEN '_reconciled' ELSE '' END AS processing_route FROM rc GROUP BY page_id""")
+    'native' || CASE WHEN count(*) FILTER (NOT ocr) = 0 THEN '' WHEN count(*) FILTER (duplicate) > 0 THEN '_deduped' WHEN count(*) FILTER (ocr) > 0 THEN '_reconciled' ELSE '' END AS processing_route,
+    coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN duplicate THEN NULL WHEN ocr AND nterms IS NOT NULL THEN 'ocr_supplement' ELSE kind END)), ','), '') AS element_types FROM rc GROUP BY page_id""")
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.page_report(quality.reconcile(_elements(spark, sf_dir))).drop("element_types")
+    return quality.page_report(quality.reconcile(_elements(spark, sf_dir))).withColumn("element_types", F.array_join("element_types", ","))
 
 
 @add(f"""WITH x AS (SELECT b.item_id, d.text AS n, b.text AS o FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
@@ -404,6 +405,17 @@ def rate_limit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.rate_limit_log(events, ["user_id"], "seconds", "event_id", _LIMIT, _WINDOW).select("event_id", "accepted", "retry_after")
 
 
+@add("""WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), p AS (SELECT *, lag(n) OVER (PARTITION BY user_id, event_type ORDER BY n) AS before, lead(n) OVER (PARTITION BY user_id, event_type ORDER BY n) AS after FROM e),
+    d AS (SELECT a.event_id, a.user_id, a.n, a.event_type, any_value(a.before) AS before, count(DISTINCT b.event_type) FILTER (b.n > a.before) AS between_them FROM p a LEFT JOIN p b ON a.user_id = b.user_id AND b.n < a.n AND b.event_type <> a.event_type GROUP BY ALL),
+    h AS (SELECT *, before IS NOT NULL AND between_them < 3 AS hit FROM d),
+    g AS (SELECT h.event_id, h.hit, (SELECT x.event_type FROM p x WHERE x.user_id = h.user_id AND x.n < h.n AND x.event_type <> h.event_type AND (x.after IS NULL OR x.after >= h.n) ORDER BY x.n DESC LIMIT 1 OFFSET 2) AS victim FROM h)
+    SELECT event_id, hit, CASE WHEN NOT hit THEN victim END AS evicted FROM g""")
+def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of three kinds of events for each user: by the kinds used between two uses of one."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return sessions.cache_log(events, "user_id", ["ts", "event_id"], "event_type", 3).select("event_id", "hit", "evicted")
+
+
 @add("SELECT count(*) AS buckets, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7200 SECOND GROUP BY ALL)")
 def limiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, seconds = table(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

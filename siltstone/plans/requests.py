@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, dispatch, models, quality, replies, strategy
 from ..sources import files
+from ..streaming import limits
 from .analytics import _MARKET, _market, _message, _titles
 from .common import Registry, quoted, table
 from .generated import NL, K, made, pick, pick_text
@@ -241,6 +242,15 @@ def catalog_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("k", F.col("score").cast("double").alias("score"))
 
 
+# streams
+
+
+@add(f"SELECT k, {pick('k', '4', '0', '8', '2', '1')} AS held FROM {K}")
+def held_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made(spark, sf_dir, text=pick("k", "k || ' so <thi'", "'<think> done ' || k", "k || '</think>'", "k || ' and </'", "k || '<'"))
+    return rows.select("k", limits.held_back_column(F.col("text"), ["<think>", "</think>"]).alias("held"))
+
+
 # models
 
 

@@ -7,7 +7,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -66,6 +66,13 @@ def held_back(text: str, endings: list[str]) -> int:
     return max((n for e in endings for n in range(1, min(len(e), len(text)) + 1) if e.startswith(text[-n:])), default=0)
 
 
+def held_back_column(text: Column, endings: list[str]) -> Column:
+    """held_back() of a column: what a stream must not send yet."""
+    own = F.coalesce(text, F.lit(""))
+    starts = [F.when(F.endswith(own, F.lit(e[:n])), n).otherwise(0) for e in endings for n in range(1, len(e) + 1)]
+    return F.greatest(F.lit(0), *starts)
+
+
 def echo_guard(pieces: Iterator[str], prompt: str, most: int = 220) -> Iterator[str]:
     """Holds a stream back while it repeats the prompt's start, up to `most` characters."""
     held, free = "", False
