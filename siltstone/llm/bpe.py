@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .words import Blocks, unpack, values_of, with_values, word_values
 
 #: Pieces of words that a worker remembers before it starts anew.
@@ -115,7 +115,7 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
     columns are ignored; an empty table gives an empty table. limits are those of a block (words.py).
     """
     split = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), split.alias("text"), F.lit(True).alias("flag"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), split.alias("text"), F.lit(True).alias("flag"))
     blocks = Blocks(source, lambda lists: lists, limits=limits)
     # ids that fit are halved for the shuffle
     width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"

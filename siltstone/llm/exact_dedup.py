@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, small_batches
 
 SPACES = r"[\x20\x09-\x0D]+"
 FIRST_BLOCK = 128
@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     larger than any other: it is keep_id only where all members of the group have none, and then all are kept. Other
     columns are ignored. An empty table gives an empty table.
     """
-    active = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("rest")).select("doc_id", F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), "rest")
+    active = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("rest")).select("doc_id", F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), "rest")
     width, finished, left = FIRST_BLOCK, [], None
     while True:
         key = ["gid", "block", "ended"]

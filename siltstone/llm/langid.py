@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, utf8
+from .common import by_bytes, small_batches, utf8
 
 HIDDEN = 12
 EMBED = 8
@@ -251,7 +251,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())], [*keep, "lang_pred", "score", "noise"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", "noise double"])
-    return docs.select(*keep, *[F.col(text_col).alias("__text")] * (text_col not in keep)).mapInArrow(run, schema)
+    return small_batches(docs).select(*keep, *[F.col(text_col).alias("__text")] * (text_col not in keep)).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, held_out: F.Column) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, RollingHashes, mix, utf8
+from .common import Remembered, RollingHashes, mix, small_batches, utf8
 from .license_templates import TEMPLATES
 from .substring_dedup import chunks, sliding_minimum
 
@@ -174,4 +174,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "license", "template", "containment", "first_word"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, license string, template string, containment double, first_word long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, license string, template string, containment double, first_word long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHashes, WordHashes, mix, word_hashes
+from .common import RollingHashes, WordHashes, mix, small_batches, word_hashes
 
 SHINGLE = 5
 BINS = 512
@@ -132,7 +132,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = source.select("id").repartitionByRange(partitions, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("first"))
     firsts = np.array(sorted(r["first"] for r in ranges.collect()), np.int64)  # at most one for each partition

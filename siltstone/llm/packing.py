@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Remembered, by_bytes, cut
+from .common import Remembered, by_bytes, cut, small_batches
 from .words import ascii_words
 
 SIZE = 2048
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, texts: bool = False, id_c
     """
     spark = docs.sparkSession
     schema = PIECES + ", ids array<int>" * texts
-    pieces = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut_pieces(path, size, texts), schema), "pieces")
+    pieces = cut(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut_pieces(path, size, texts), schema), "pieces")
     by_task = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     ranks: dict[int, list] = {}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, cut, utf8
+from .common import by_rows, cut, small_batches, utf8
 from .components import connected_components
 
 RADIUS = 3
@@ -217,7 +217,7 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unless all of its documents have none. Repeated rows are rows of their own. Other columns are ignored; an empty
     table gives an empty table.
     """
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(by_rows(_fingerprints), "doc_id long, fp long"), "prints")
+    prints = cut(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(by_rows(_fingerprints), "doc_id long, fp long"), "prints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = connected_components(near_links(nodes.select("fp")))
     rooted = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHashes, WordHashes, cut, drop, mix, utf8, word_hashes
+from .common import RollingHashes, WordHashes, cut, drop, mix, small_batches, utf8, word_hashes
 
 WORDS = 50
 GRAM = 20
@@ -170,7 +170,7 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts
     """
     if clash := {"doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"} & set(carry):
         raise ValueError(f"carried columns have names of the result's: {sorted(clash)}")
-    texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), *carry)
+    texts_of = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), *carry)
     seeds = cut(texts_of.where("doc_id is not null").select("doc_id", "body").mapInArrow(_anchors(words, gram), "doc_id long, anchor long"), "seeds")
     # counts are written before they are joined: a join of plain tables is one whose hot keys Spark can split
     shared = cut(seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low"), "shared")
