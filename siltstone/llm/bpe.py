@@ -69,12 +69,21 @@ class WordEncoder:
         self.byte_level = str.maketrans(_byte_letters())
         self.pieces: dict[str, bytes] = {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = self.ends_apart()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
         """Little-endian 32-bit ids."""
+        known = self.pieces
+        if word.isalpha():  # of bytes: ASCII letters
+            low = word.lower().decode()
+            return known.get(low) or self.piece(low)
+        stem, last = word[:-1], word[-1:]
+        if last in self.ends and stem.isalpha():
+            low = stem.lower().decode()
+            return (known.get(low) or self.piece(low)) + self.ends[last]
         text = word.decode()
         # normalisation changes nothing but the case of these letters, so their pieces can be remembered one by one
         simple = text.isprintable() if text.isascii() else LATIN.fullmatch(text)
@@ -82,18 +91,22 @@ class WordEncoder:
             return self.plain(text)
         low = text.lower()
         if low.isalpha():
-            return self.pieces.get(low) or self.piece(low)
-        known = self.pieces.get
-        return b"".join([known(x) or self.piece(x) for x in self.split.findall(low)])
+            return known.get(low) or self.piece(low)
+        return b"".join([known.get(x) or self.piece(x) for x in self.split.findall(low)])
 
     def piece(self, piece: str) -> bytes:
         """Ids of what the pre-tokenizer leaves whole, by the merges alone."""
         if len(self.pieces) >= PIECES_KEPT:
             self.pieces.clear()
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_level)
-        ids = self.pieces[piece] = little(x.id for x in self.model.tokenize(letters))
+        ids = self.pieces[piece] = little([x.id for x in self.model.tokenize(letters)])
         return ids
 
+    def ends_apart(self) -> dict[bytes, bytes]:
+        """Signs that the pre-tokenizer parts from letters before them, with their ids."""
+        apart = [c for c in ".,;:!?)" if all(self.split.findall(stem + c) == [stem, c] for stem in ("a", "zz", "words")) and not any(c in x for x in self.added)]
+        return {c.encode(): self.plain(c) for c in apart}
+
 
 @lru_cache(2)
 def encoder(path: str) -> WordEncoder:
@@ -116,7 +129,7 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
     """
     split = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), split.alias("text"), F.lit(True).alias("flag"))
-    blocks = Blocks(source, lambda lists: lists, limits=limits)
+    blocks = Blocks(source, None, limits=limits)
     # ids that fit are halved for the shuffle
     width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
     values = word_values(blocks, lambda word: np.frombuffer(encoder(path).word(word), "<u4").astype(width).tobytes())

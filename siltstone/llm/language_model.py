@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix, small_batches
-from .words import Blocks, ascii_words, counts_of, input_bytes, pack, pack64, placed_words, unpack, unpack64, with_values, word_values
+from .common import cut, drop, mix, small_batches, utf8
+from .words import Blocks, counts_of, input_bytes, pack, pack64, placed_words, unpack, unpack64, with_values, word_values
 
 #: No word contains white space, so this is none.
 END = b" "
@@ -40,8 +40,8 @@ SIZED_BY = 16
 CHUNK = 500_000
 
 
-def lower_words(texts: pa.Array) -> pa.Array:
-    return ascii_words(texts, lower=True)
+def lower_words(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
 def _hash_of(words: list[bytes]) -> np.ndarray:
@@ -239,7 +239,7 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
     chunk the positions of a block that are scored at a time.
     """
     spark = docs.sparkSession
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out).alias("flag"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), (~held_out).alias("flag"))
     wanted = max(LEAST_SHARDS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(source) // SHARD_INPUT)
     shards = 1 << (wanted - 1).bit_length()
     blocks = Blocks(source, lower_words, END, flagged=True, extra=pair_counts(shards), limits=limits)

@@ -15,21 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Remembered, by_bytes, cut, small_batches
-from .words import ascii_words
+from .common import Remembered, cut, small_batches, utf8
 
 SIZE = 2048
 END = 0
 #: Distinct words whose ids a worker remembers before it starts anew.
 WORDS_KEPT = 400_000
-#: Bytes of texts that a worker takes at a time; a longer text comes alone.
-TAKEN = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, number long"
 
 
@@ -45,23 +41,12 @@ class _Ids(Remembered):
 _ids: dict[str, _Ids] = {}
 
 
-def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of some texts one after the other, each followed by the end, and how many each has.
-
-    Distinct words are looked up once; their ids are then put together by position.
-    """
+def token_ids(text: bytes, path: str) -> bytes:
+    """Little-endian 32-bit ids, the end included."""
     known = _ids.get(path)
     if known is None:
         known = _ids[path] = _Ids(path)
-    lists = ascii_words(texts)
-    words = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    coded = lists.flatten().dictionary_encode()
-    distinct = [known[w] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
-    sizes = np.fromiter(map(len, distinct), np.int32, len(distinct)) // 4
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    ids = np.frombuffer(b"".join(map(distinct.__getitem__, codes.tolist())), "<u4")
-    ends = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])[words]
-    return np.insert(ids, ends, np.uint32(END)), np.diff(ends, prepend=0) + 1
+    return b"".join([*map(known.__getitem__, text.split()), END.to_bytes(4, "little")])
 
 
 def cut_pieces(path: str, size: int, texts: bool):
@@ -71,16 +56,15 @@ def cut_pieces(path: str, size: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, numbers = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
-            for some in by_bytes(batch, 1, TAKEN):
-                ids, lengths = token_ids(some.column(1), path)
-                body, at, out = memoryview(ids.astype("<u4").view(np.uint8)), 0, []
-                for doc_id, total in zip(some.column(0).to_pylist(), lengths.tolist(), strict=True):
-                    for k, start in enumerate(range(0, total, size)):
-                        n = min(size, total - start)
-                        own = body[4 * (at + start) : 4 * (at + start + n)]
-                        out.append((doc_id, k, start, n, zlib.crc32(own), part, numbers[n], *[np.frombuffer(own, "<u4").tolist()] * texts))
-                        numbers[n] += 1
-                    at += total
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = token_ids(text.as_py(), path)
+                for k, start in enumerate(range(0, len(ids), 4 * size)):
+                    own = ids[start : start + 4 * size]
+                    n = len(own) // 4
+                    out.append((doc_id, k, start // 4, n, zlib.crc32(own), part, numbers[n], *[np.frombuffer(own, "<u4").tolist()] * texts))
+                    numbers[n] += 1
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)], names)
 
     return run
@@ -127,7 +111,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, texts: bool = False, id_c
     """
     spark = docs.sparkSession
     schema = PIECES + ", ids array<int>" * texts
-    pieces = cut(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut_pieces(path, size, texts), schema), "pieces")
+    pieces = cut(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(cut_pieces(path, size, texts), schema), "pieces")
     by_task = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     ranks: dict[int, list] = {}

@@ -82,16 +82,10 @@ def unpack_rising(body: bytes) -> np.ndarray:
     return np.cumsum(unpack(body).astype(np.int64))
 
 
-def ascii_words(texts: pa.Array, lower: bool = False) -> pa.Array:
-    """Lists of what stands between ASCII white space; of null and empty texts none."""
-    texts = pc.ascii_trim_whitespace(texts)
-    texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
-    return pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-
-
-def block_rows(words_of: Callable[[pa.Array], pa.Array], end: bytes | None, flagged: bool, buckets: int, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> Callable:
+def block_rows(split: Callable[[bytes], list[bytes]] | None, end: bytes | None, flagged: bool, buckets: int, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> Callable:
     """mapInArrow from doc_id, text, flag to rows of SCHEMA: kind 0 a document, kind 1 the words of a bucket, kind 2
-    what extra gives. words_of makes lists of words of texts; end, if given, follows each text as a word of its own.
+    what extra gives. Texts are split by split, or are lists of words already; end, if given, follows each text as a word
+    of its own.
 
     Words are numbered by falling frequency in the block, then in order, so that most positions are small and
     neighbours alike. Counts are of occurrences in documents whose flag is set, if flagged, and in all else. limits
@@ -134,24 +128,22 @@ def block_rows(words_of: Callable[[pa.Array], pa.Array], end: bytes | None, flag
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, docs, words, total, size = TaskContext.get().partitionId() << 32, [], Numbers(), 0, 0
+        after = [] if end is None else [end]
         for batch in batches:
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            lists = words_of(batch.column(1))
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                done = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, done + min(CHUNK, most_words), side="right")))
-                coded = lists.slice(at, to - at).flatten().dictionary_encode()
+            for at, to, texts in listed_texts(batch.column(1)) if split is None else whole_texts(batch.column(1)):
                 known = len(words)
-                number = np.fromiter(map(words.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint32)
-                codes, lengths = number[coded.indices.to_numpy(zero_copy_only=False)], np.diff(ends[at:to], prepend=done)
-                if end is not None:
-                    codes, lengths = np.insert(codes, np.cumsum(lengths), words[end]), lengths + 1
-                docs += zip(doc_ids[at:to], flags[at:to], np.split(codes, np.cumsum(lengths)[:-1]), strict=True)
-                total += len(codes)
+                if split is None:
+                    coded = texts.flatten().dictionary_encode()
+                    number = np.fromiter(map(words.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint32)
+                    lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+                    codes = np.split(number[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(lengths)[:-1])
+                else:
+                    own = [*split(texts), *after]
+                    codes = [np.fromiter(map(words.__getitem__, own), np.uint32, len(own))]
+                docs += zip(doc_ids[at:to], flags[at:to], codes, strict=True)
+                total += sum(map(len, codes))
                 size += sum(map(len, islice(reversed(words), len(words) - known)))
-                at = to
                 if total >= most_words or len(words) >= most_distinct or size >= most_bytes:
                     yield from flush(block, docs, words)
                     block, docs, words, total, size = block + 1, [], Numbers(), 0, 0
@@ -160,6 +152,20 @@ def block_rows(words_of: Callable[[pa.Array], pa.Array], end: bytes | None, flag
     return run
 
 
+def whole_texts(texts: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    for i, text in enumerate(texts):
+        yield i, i + 1, text.as_py()
+
+
+def listed_texts(lists: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """Slices of lists with CHUNK words together; a longer list comes alone."""
+    ends, at = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+        yield at, to, lists.slice(at, to - at)
+        at = to
+
+
 def rows(block: int, kind: int, **given) -> pa.RecordBatch:
     types = {"doc_id": pa.int64(), "flag": pa.bool_(), "body": pa.binary(), "places": pa.binary(), "counts": pa.binary(), "at": pa.int32(), "n": pa.int64()}
     size = len(next(iter(given.values())))
@@ -182,13 +188,13 @@ class Blocks:
     """The rows of block_rows in a table bucketed by block and split by kind. remove() takes it out of the catalog and
     the shared folder."""
 
-    def __init__(self, docs: DataFrame, words_of: Callable[[pa.Array], pa.Array], end: bytes | None = None, flagged: bool = False, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> None:
-        """docs: doc_id, text (whatever words_of takes), flag."""
+    def __init__(self, docs: DataFrame, split: Callable[[bytes], list[bytes]] | None, end: bytes | None = None, flagged: bool = False, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> None:
+        """docs: doc_id, text (binary, or an array of words without split), flag."""
         self.spark = spark = docs.sparkSession
         self.name = f"siltstone_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(spark)}/{self.name}"
         docs = docs.select("doc_id", "text", "flag")
-        blocks = docs.mapInArrow(block_rows(words_of, end, flagged, buckets_for(docs), extra, limits), SCHEMA)
+        blocks = docs.mapInArrow(block_rows(split, end, flagged, buckets_for(docs), extra, limits), SCHEMA)
         delete_at_exit(spark, self.path)
         blocks.write.format("parquet").option("compression", "zstd").option("path", self.path).partitionBy("kind").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
         self.table = spark.table(self.name)
