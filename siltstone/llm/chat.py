@@ -139,7 +139,8 @@ def format_conversations(turns: DataFrame, parts: bool = False) -> DataFrame:
     With parts, text is a JSON list of typed parts. Null texts and roles are empty. Turns are ordered by (turn, role,
     text), so ties have a defined order and repeated rows are turns of their own; null turns come first. Rows with a
     null conv_id are one conversation. A conversation's output is its turns' outputs one after the other; it is never
-    gathered in memory, so a conversation may be of any length. Other columns are ignored.
+    gathered in memory, so a conversation may be of any length; it is one task's, as each turn's place in its output
+    depends on the turns before. An empty table gives an empty table. Other columns are ignored.
     """
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_formatted(parts), FORMATTED)
@@ -176,5 +177,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """formatted: what format_conversations returned, in its order. One row per conversation, all from the output:
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Empty texts count as turns; a conversation
+    without an assistant has loss_chars 0 and the digest of nothing; an empty table gives an empty table."""
     return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
