@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import paragraphs, semantic_chunks
+from ..operators.store import projected_stats, quota_guard
+from ..operators.structure import structured_chunks
 
 MOST_BYTES = 25 << 20
 ROUTES = {"text": ["txt", "md", "text"], "pdf": ["pdf"], "docx": ["docx"], "image": ["png", "jpg", "jpeg", "webp"]}
@@ -146,7 +148,27 @@ def image_documents(files: DataFrame, recognise) -> DataFrame:
     return files.where("route = 'image'").select("document_id", "source_file", "content").mapInPandas(run, f"document_id string, source_file string, elements {ELEMENTS}")
 
 
-def ingest_text(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of the text and DOCX files under a path."""
+def chunked(documents: DataFrame, exam: str) -> DataFrame:
+    """documents: document_id, source_file, elements. A paper's own chunks (structure.CHUNK), and for documents that are
+    none the semantic ones, with nulls for what only papers have."""
+    own = structured_chunks(documents, exam)
+    rest = documents.join(own.select("document_id").distinct(), "document_id", "left_anti")
+    plain = semantic_chunks(rest).join(rest.select("document_id", "source_file"), "document_id")
+    return own.unionByName(plain.drop("element_types", "sources"), allowMissingColumns=True)
+
+
+def ingest(spark: SparkSession, path: str, exam: str, recognise: Callable[[bytes], list[tuple[str, float]]] | None = None) -> DataFrame:
+    """Chunks of all files under a path that have a reader: text, DOCX, PDF and, with a recogniser, images. Files with the
+    same bytes are one document, under the first name."""
     files = read_files(spark, path)
-    return semantic_chunks(text_documents(files).unionByName(docx_documents(files)))
+    first = files.groupBy("document_id").agg(F.min("path").alias("path"))
+    files = files.join(first, ["document_id", "path"], "left_semi")
+    documents = text_documents(files).unionByName(docx_documents(files)).unionByName(pdf_documents(files, recognise=recognise).drop("error"))
+    if recognise:
+        documents = documents.unionByName(image_documents(files, recognise))
+    return chunked(documents.where("size(elements) > 0"), exam)
+
+
+def accepted(store: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What the store would be with the incoming chunks, and whether its quotas allow it: documents, chunks, accepted."""
+    return quota_guard(projected_stats(store, incoming, "", by_document=True))

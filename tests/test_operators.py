@@ -179,7 +179,7 @@ def test_text_files(spark, tmp_path):
     found = files.read_files(spark, str(tmp_path))
     assert {r.source_file: r.route for r in found.collect()} == {"a.txt": "text", "b.bin": "unsupported"}
     assert [e["text"] for e in files.text_documents(found).first()["elements"]] == ["First part.", "Secondhand part."]
-    assert files.ingest_text(spark, str(tmp_path)).first()["text"].startswith("[Page 1]\n\nFirst part.")
+    assert files.ingest(spark, str(tmp_path), "Mock").first()["text"].startswith("[Page 1]\n\nFirst part.")
 
 
 def test_token_stream():
@@ -415,3 +415,24 @@ def test_visual_chunks_follow_their_group():
     region = {"page": 1, "kind": "table", "bbox": [0, 0, 100, 100], "confidence": 0.9, "connectors": [], "lines": [{"text": t, "bbox": [x, y, x + 8, y + 8], "confidence": 1.0} for t, x, y in [("H", 5, 5), ("I", 55, 5), ("7", 5, 30), ("u", 55, 30), ("v", 5, 60), ("8", 55, 60)]]}
     seen = {c["chunk_id"]: c for c in chunks_of("d", "f.pdf", [{"element_id": "e1", "page": 1, "text": said, "confidence": 0.9}], "Mock", regions=[region])}
     assert seen["d-table-7-8"]["text"] == "| H | I |\n| --- | --- |\n| 7 | u |\n| v | 8 |"
+
+
+def test_ingest_of_a_folder(spark, tmp_path):
+    """A paper gets its structure, another text the semantic fold, copies and unreadable files nothing of their own."""
+    from siltstone.operators import store
+    from siltstone.sources import files
+
+    paper = "READING PASSAGE ONE\n\nThe Story of Wine\n\nWine has been made for years and people like it in many countries.\n\nQuestions 1-2\nWrite TRUE, FALSE or NOT GIVEN\n1. A.\n2. B."
+    (tmp_path / "paper.txt").write_text(paper)
+    (tmp_path / "copy.txt").write_text(paper)
+    (tmp_path / "plain.md").write_text("Just a note.\n\nAnd another.")
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF nothing")
+    (tmp_path / "scan.png").write_bytes(b"Seen text")
+    rows = files.ingest(spark, str(tmp_path), "Mock", recognise=lambda content: [(content.decode(), 0.5)])
+    got = {(r["source_file"], r["unit_type"]): r["text"] for r in rows.collect()}
+    assert set(got) == {("copy.txt", "document_outline"), ("copy.txt", "passage"), ("copy.txt", "question_group"), ("copy.txt", "question"), ("plain.md", None), ("scan.png", None)}
+    assert got["plain.md", None] == "[Page 1]\n\nJust a note.\n\nAnd another." and "Seen text" in got["scan.png", None]
+    old = spark.createDataFrame([(f"d{i}", "f") for i in range(28)], "document_id string, source_file string")
+    r = files.accepted(old, rows).first()
+    assert (r["documents"], r["accepted"]) == (31, False)
+    assert store.quota_guard(store.stats(old)).first()["accepted"]
