@@ -436,3 +436,16 @@ def test_ingest_of_a_folder(spark, tmp_path):
     r = files.accepted(old, rows).first()
     assert (r["documents"], r["accepted"]) == (31, False)
     assert store.quota_guard(store.stats(old)).first()["accepted"]
+
+
+def test_embedded_tasks_of_a_paper():
+    """A mark without a task is skipped; the next one keeps its number; a question's options stay with it."""
+    from siltstone.operators.structure import chunks_of
+
+    pages = lambda *texts: [{"element_id": f"e{i}", "page": i + 1, "text": t, "confidence": 1.0} for i, t in enumerate(texts)]
+    paper = "Reading Passage 1\nTowns grow over time.\nQuestion 12\n12. From the list below choose the best name for Reading Passage 1.\nA Towns then\nB Growth for all\nC Change of minds\nD Homes within walls"
+    own = chunks_of("d", "f", pages(paper, "Task 1", "TASK 2\nIn many towns, rents have been rising for years.\nSay why and what can be done."), "Mock")
+    question = next(c for c in own if c["unit_type"] == "question")
+    assert question["question_type"] == "multiple_choice" and "A Towns then" in question["text"] and "D Homes within walls" in question["text"]
+    tasks = [c for c in own if c["unit_type"] == "writing_task"]
+    assert [(c["task_index"], c["text"]) for c in tasks] == [(1, "Task 2\nIn many towns, rents have been rising for years. Say why and what can be done.")] and tasks[0]["pages"] == [3]
