@@ -58,9 +58,16 @@ def _nfkd_unmarked(text: pd.Series) -> pd.Series:
     return text.map(plain)
 
 
+#: Characters that canonical composition may change or join with their neighbours: marks, Hangul letters,
+#: and blocks that hold characters with another canonical form. Texts without any are composed already.
+COMPOSED_BLOCKS = [(0x0340, 0x0387), (0x0958, 0x09DF), (0x0A33, 0x0A5E), (0x0B5C, 0x0B5D), (0x0F43, 0x0FB9), (0x1100, 0x11FF), (0x1F71, 0x1FFD), (0x2000, 0x2001), (0x2126, 0x212B), (0x2329, 0x232A), (0x2ADC, 0x2ADC), (0xF900, 0xFB4E), (0x1D15E, 0x1D1C0), (0x2F800, 0x2FA1D)]
+MAY_COMPOSE = r"[\p{M}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in COMPOSED_BLOCKS) + "]"
+
+
 def nfc(text: Column, needed: bool = True) -> Column:
-    """Canonical composition. Spark has no such function, so it takes Arrow batches through Python where needed."""
-    return _nfc(text) if needed else text
+    """Canonical composition. Spark has no such function, so texts that may need it take Arrow batches through Python;
+    of others nothing is sent."""
+    return F.coalesce(_nfc(F.when(text.rlike(MAY_COMPOSE), text)), text) if needed else text
 
 
 def strip(text: Column) -> Column:

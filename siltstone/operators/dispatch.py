@@ -242,3 +242,12 @@ def context_block(label: Column, text: Column) -> Column:
 def event_json(kind: str, *fields: Column) -> Column:
     """One line of a stream of events."""
     return F.to_json(F.struct(F.lit(kind).alias("type"), *fields))
+
+
+#: What is told of a retrieval's rows.
+TOLD = {"chunk_id": "string", "document_id": "string", "source_file": "string", "retrieval_method": "string", "unit_type": "string", "passage_number": "int", "range_start": "int", "range_end": "int", "parent_id": "string", "pages": "array<int>"}
+
+
+def compact(sources: DataFrame) -> DataFrame:
+    """What is told of a retrieval's rows, in order; null for what they don't have."""
+    return sources.select(*(F.col(c).cast(t).alias(c) if c in sources.columns else F.lit(None).cast(t).alias(c) for c, t in TOLD.items()))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import catalog, dispatch, models, quality, replies, strategy
 from ..sources import files
 from ..streaming import limits
-from .analytics import _MARKET, _market, _message, _titles
+from .analytics import _FIELD, _MARKET, _field_scores, _market, _message, _titles
 from .common import Registry, quoted, table
 from .generated import NL, K, made, pick, pick_text
 
@@ -229,6 +229,29 @@ def title_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score > 0").select("p_partkey", F.round("score", 6).alias("score"))
 
 
+_MODES = {"single": ([7], "auto"), "explicit_one": ([3], "explicit"), "explicit_more": ([3, 5], "explicit"), "gone": ([-1], "auto"), "all": (None, "auto")}
+
+
+def _scope_sql(name: str, ids: list[int] | None, mode: str) -> str:
+    some = f"WHERE p_partkey IN ({', '.join(map(str, ids))})" if ids else ""
+    one = "explicit_single" if mode == "explicit" else "requested_single" if ids else "catalog_single"
+    many = "explicit_multiple" if mode == "explicit" else "unresolved"
+    return f"""SELECT '{name}' AS request, CASE WHEN {'n = 0' if ids else 'false'} THEN 'invalid_requested_scope' WHEN s1 >= 60 AND (scored = 1 OR s1 - s2 >= 10) THEN 'catalog_reference' WHEN n = 1 THEN '{one}' ELSE '{many}' END AS method,
+        CASE WHEN s1 >= 60 AND (scored = 1 OR s1 - s2 >= 10) THEN CAST(k AS VARCHAR) WHEN n = 1 THEN CAST(k0 AS VARCHAR) ELSE '' END AS resolved
+        FROM (SELECT count(*) AS n, count(*) FILTER (s > 0) AS scored, coalesce(max(s), 0) AS s1, coalesce((list(s ORDER BY s DESC))[2], 0) AS s2, arg_max(p_partkey, s) AS k, min(p_partkey) AS k0 FROM sc {some})"""
+
+
+@add(f"WITH {_FIELD}, sc AS (SELECT p_partkey, coalesce(score * 5, 0) AS s FROM part LEFT JOIN fs USING (p_partkey)) " + " UNION ALL ".join(_scope_sql(n, *m) for n, m in _MODES.items()))
+def scope_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope that a message names among all parts, or those that a request gives."""
+    scored = table(spark, sf_dir, "part").select("p_partkey").join(_field_scores(spark, sf_dir), "p_partkey", "left").select("p_partkey", F.coalesce(F.col("score") * 5, F.lit(0.0)).alias("score"))
+    out = None
+    for name, (ids, mode) in _MODES.items():
+        one = catalog.resolve_scope(scored, ids, mode, key="p_partkey").select(F.lit(name).alias("request"), "method", F.array_join("resolved", ",").alias("resolved"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _ASK = "Summarize Exam Book 18 READING TEST 2, the pdf"
 _FILES = {"'Exam Book 18 READING TEST 2.pdf'": 240.0, "'Exam Book 18 READING TEST ' || (k % 9 + 30) || '.pdf'": None, "'Notes on reading test two ' || k || '.png'": 0.0, "k || ' summarize exam book.txt'": 0.0}
 
@@ -266,3 +289,28 @@ def classify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = made(spark, sf_dir, text=pick("k", "'show the table ' || k", "'questions and more questions: answer row ' || k", "'hello ' || k", "null"))
     said = models.classify(rows, models.WordClassifier({"table": ["table", "row"], "questions": ["questions", "answer"]}), ["table", "questions"], "other")
     return said.select("k", "label", "confidence", "fell_back")
+
+
+class _Scripted:
+    """Answers as its prompts say: after the word `as`, or in the wrong language."""
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        return [p.split(" as ", 1)[1] if " as " in p else "What is the answer to this and which words are they?" for p in prompts]
+
+
+@add(f"""SELECT k, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 3 THEN 0 ELSE 1 END AS attempt, {pick('k', '0', '0', '1', '1')} AS issues, CASE WHEN k % 4 = 3 THEN 'What is the answer to this and which words are they?' WHEN k % 4 = 2 THEN '2. của tôi và bạn ' || k ELSE '1. của tôi và bạn ' || k END AS text FROM {K}""")
+def review_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right at once, right the second time, better the second time, wrong both times."""
+    from ..operators import contracts
+
+    contract = contracts.ResponseContract(language="Vietnamese", enforce_language=True, required_numbers=(1,))
+    wrong = contracts.ResponseContract(language="Vietnamese", enforce_language=True)
+    rows = made(spark, sf_dir, prompt=pick("k", "'say as 1. của tôi và bạn ' || k", "'say'", "'say'", "'say'"), retry_prompt=pick("k", "''", "'again as 1. của tôi và bạn ' || k", "'again as 2. của tôi và bạn ' || k", "'again'"))
+    told = models.reviewed(rows.where("k % 4 < 3"), _Scripted(), contract, "k").unionByName(models.reviewed(rows.where("k % 4 = 3"), _Scripted(), wrong, "k"))
+    return told.select("k", "attempt", F.size("issues").alias("issues"), "text")
+
+
+@add(f"SELECT 'c' || k AS chunk_id, 'd' || (k % 3) AS document_id, 'f' || (k % 3) || '.pdf' AS source_file, CAST(NULL AS VARCHAR) AS retrieval_method, CASE WHEN k % 10 = 0 THEN 'passage' WHEN k % 5 = 1 THEN 'question_group' ELSE 'question' END AS unit_type, CAST(k % 4 + 1 AS INTEGER) AS passage_number, CAST(NULL AS VARCHAR) AS parent_id, CAST(k % 9 + 1 AS VARCHAR) AS pages FROM {K}")
+def compact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = dispatch.compact(_chunks(spark, sf_dir))
+    return told.select("chunk_id", "document_id", "source_file", "retrieval_method", "unit_type", "passage_number", "parent_id", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))

@@ -449,3 +449,19 @@ def test_embedded_tasks_of_a_paper():
     assert question["question_type"] == "multiple_choice" and "A Towns then" in question["text"] and "D Homes within walls" in question["text"]
     tasks = [c for c in own if c["unit_type"] == "writing_task"]
     assert [(c["task_index"], c["text"]) for c in tasks] == [(1, "Task 2\nIn many towns, rents have been rising for years. Say why and what can be done.")] and tasks[0]["pages"] == [3]
+
+
+def test_composition_is_not_missed(spark):
+    """Every character that composition changes is among those for which texts go through it, and marks are."""
+    import unicodedata
+
+    from siltstone.functions.text import COMPOSED_BLOCKS, nfc
+
+    listed = lambda c: unicodedata.category(chr(c)).startswith("M") or any(a <= c <= b for a, b in COMPOSED_BLOCKS)
+    assert [hex(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c) and not listed(c)] == []
+    # what joins with a letter before it is a mark or a Hangul letter
+    second = {ord(d[1]) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and len(d := unicodedata.normalize("NFD", chr(c))) == 2}
+    assert all(listed(c) for c in second)
+    texts = ["plain", "cafe\u0301", "caf\u00e9", "\u1112\u1161\u11ab", "\u212b", None, "", "\uf900 x", "o\u0302\u0301"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", nfc(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
