@@ -238,10 +238,10 @@ def _scope_sql(name: str, ids: list[int] | None, mode: str) -> str:
     many = "explicit_multiple" if mode == "explicit" else "unresolved"
     return f"""SELECT '{name}' AS request, CASE WHEN {'n = 0' if ids else 'false'} THEN 'invalid_requested_scope' WHEN s1 >= 60 AND (scored = 1 OR s1 - s2 >= 10) THEN 'catalog_reference' WHEN n = 1 THEN '{one}' ELSE '{many}' END AS method,
         CASE WHEN s1 >= 60 AND (scored = 1 OR s1 - s2 >= 10) THEN CAST(k AS VARCHAR) WHEN n = 1 THEN CAST(k0 AS VARCHAR) ELSE '' END AS resolved
-        FROM (SELECT count(*) AS n, count(*) FILTER (s > 0) AS scored, coalesce(max(s), 0) AS s1, coalesce((list(s ORDER BY s DESC))[2], 0) AS s2, arg_max(p_partkey, s) AS k, min(p_partkey) AS k0 FROM sc {some})"""
+        FROM (SELECT count(*) AS n, count(*) FILTER (s > 0) AS scored, coalesce(max(s), 0) AS s1, coalesce((list(s ORDER BY s DESC))[2], 0) AS s2, arg_max(p_partkey, s) AS k, min(p_partkey) AS k0 FROM parts {some})"""
 
 
-@add(f"WITH {_FIELD}, sc AS (SELECT p_partkey, coalesce(score * 5, 0) AS s FROM part LEFT JOIN fs USING (p_partkey)) " + " UNION ALL ".join(_scope_sql(n, *m) for n, m in _MODES.items()))
+@add(f"WITH {_FIELD}, parts AS (SELECT p_partkey, coalesce(score * 5, 0) AS s FROM part LEFT JOIN fs USING (p_partkey)) " + " UNION ALL ".join(_scope_sql(n, *m) for n, m in _MODES.items()))
 def scope_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scope that a message names among all parts, or those that a request gives."""
     scored = table(spark, sf_dir, "part").select("p_partkey").join(_field_scores(spark, sf_dir), "p_partkey", "left").select("p_partkey", F.coalesce(F.col("score") * 5, F.lit(0.0)).alias("score"))
