@@ -129,10 +129,8 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
     """
     split = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), split.alias("text"), F.lit(True).alias("flag"))
-    blocks = Blocks(source, None, limits=limits)
     # ids that fit are halved for the shuffle
     width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
-    values = word_values(blocks, lambda word: np.frombuffer(encoder(path).word(word), "<u4").astype(width).tobytes())
 
     def finish(own: pa.Table, joined: pa.Table) -> pa.Table:
         ids, table = values_of(joined), pieces(path)
@@ -153,6 +151,6 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False, id_col: str =
         return pa.table([own.column("doc_id").cast(pa.int64())] + [pa.array(v, types[k]) for k, v in out.items()], ["doc_id", *out])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
-    out = cut(with_values(blocks, values, finish, schema), "encoded")
-    blocks.remove()
-    return out
+    with Blocks(source, None, limits=limits) as blocks:
+        values = word_values(blocks, lambda word: np.frombuffer(encoder(path).word(word), "<u4").astype(width).tobytes())
+        return cut(with_values(blocks, values, finish, schema), "encoded")

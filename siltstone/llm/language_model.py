@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, mix, small_batches, utf8
@@ -242,7 +242,11 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), (~held_out).alias("flag"))
     wanted = max(LEAST_SHARDS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(source) // SHARD_INPUT)
     shards = 1 << (wanted - 1).bit_length()
-    blocks = Blocks(source, lower_words, END, flagged=True, extra=pair_counts(shards), limits=limits)
+    with Blocks(source, lower_words, END, flagged=True, extra=pair_counts(shards), limits=limits) as blocks:
+        return _scored(spark, blocks, shards, most_bytes, chunk)
+
+
+def _scored(spark: SparkSession, blocks: Blocks, shards: int, most_bytes: int, chunk: int) -> DataFrame:
     table = blocks.table
     values = cut(word_values(blocks), "counts")
     total = table.where("kind = 0 and flag").agg(F.sum("n")).first()[0] or 0
@@ -326,5 +330,4 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
     if shared is not None:
         shared.destroy()
     drop(values)
-    blocks.remove()
     return out

@@ -185,8 +185,8 @@ def buckets_for(docs: DataFrame) -> int:
 
 
 class Blocks:
-    """The rows of block_rows in a table bucketed by block and split by kind. remove() takes it out of the catalog and
-    the shared folder."""
+    """The rows of block_rows in a table bucketed by block and split by kind. Used as a context, which takes it
+    out of the catalog and the shared folder at its end."""
 
     def __init__(self, docs: DataFrame, split: Callable[[bytes], list[bytes]] | None, end: bytes | None = None, flagged: bool = False, extra: Callable | None = None, limits: tuple[int, int, int] | None = None) -> None:
         """docs: doc_id, text (binary, or an array of words without split), flag."""
@@ -196,9 +196,23 @@ class Blocks:
         docs = docs.select("doc_id", "text", "flag")
         blocks = docs.mapInArrow(block_rows(split, end, flagged, buckets_for(docs), extra, limits), SCHEMA)
         delete_at_exit(spark, self.path)
-        blocks.write.format("parquet").option("compression", "zstd").option("path", self.path).partitionBy("kind").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
+        try:
+            self._save(blocks)
+        except BaseException:
+            self.remove()
+            raise
         self.table = spark.table(self.name)
 
+    def _save(self, blocks: DataFrame) -> None:
+        spark = self.spark
+        blocks.write.format("parquet").option("compression", "zstd").option("path", self.path).partitionBy("kind").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(self.name)
+
+    def __enter__(self) -> "Blocks":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
     def remove(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         delete(self.spark, self.path)
