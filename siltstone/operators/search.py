@@ -106,7 +106,7 @@ def keyword_search(chunks: DataFrame, query: str, top_k: int = 5, **scope) -> Da
 
 def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """queries: query_id, query. keyword_score of every chunk for every query that has a term or the whole query in it,
-    by joins on terms: query_id, chunk_id, position, score. Equi-joins with partial sums; no chunk meets a query that
+    by joins on terms: query_id, chunk_id, position, score. Query ids are unique. Equi-joins with partial sums; no chunk meets a query that
     it shares nothing with."""
     wanted = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
     own = chunks.select("chunk_id", "position", F.explode(F.array_distinct(search_terms(F.col(text)))).alias("term"))

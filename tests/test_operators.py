@@ -465,3 +465,18 @@ def test_composition_is_not_missed(spark):
     texts = ["plain", "cafe\u0301", "caf\u00e9", "\u1112\u1161\u11ab", "\u212b", None, "", "\uf900 x", "o\u0302\u0301"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", nfc(F.col("t")).alias("n")).collect()
     assert {r["i"]: r["n"] for r in rows} == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+
+
+def test_evidence_in_any_rows(spark):
+    """Several parts, repeated rows, nulls and short parts, against plain string search."""
+    sources = [(1, "The old wine, it is said, was sold young in the north."), (1, "The old wine, it is said, was sold young in the north."), (2, "old wine it is"), (3, None), (4, "")]
+    said = [("a", "old wine it is said"), ("a", "old wine it is said"), ("b", "The old wine ... sold YOUNG in the"), ("c", "old wine it … not there at all"), ("d", "wine is"), ("e", None), ("f", "ld wine, it i")]
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    want = set()
+    for k, t in sources:
+        for e, x in said:
+            parts = [p for p in map(norm, re.split(r"\.{3,}|…", x or "")) if len(p.split()) >= 3]
+            if parts and all(p in norm(t) for p in parts):
+                want.add((k, e))
+    got = validate.evidence_in(spark.createDataFrame(sources, "k int, t string"), "k", "t", spark.createDataFrame(said, "e string, x string"), "e", "x").collect()
+    assert {(r["k"], r["e"]) for r in got} == want == {(1, "a"), (2, "f"), (1, "b"), (1, "f")} and len(got) == len(want)
