@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHashes, WordHashes, cut, drop, mix, small_batches, utf8, word_hashes
+from .common import RollingHashes, WordHashes, cut, drop, free_shuffles, mix, small_batches, utf8, word_hashes
 
 WORDS = 50
 GRAM = 20
@@ -179,10 +179,13 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts
     )
     joined = cut(texts_of.join(mine, "doc_id", "left").select("doc_id", "body", "provided", "wanted", *carry), "seeded")
     drop(seeds, shared)
+    free_shuffles(docs.sparkSession)
     held = cut(joined.where("wanted is not null").select("doc_id", "body", "provided", "wanted").mapInArrow(_extend(words, gram), "doc_id long, window long, check long, later boolean"), "held")
     first = cut(held.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "check", "low"), "first")
+    free_shuffles(docs.sparkSession)
     gone = cut(held.where("later").join(first, ["window", "check"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("gone")), "gone")
     drop(held, first)
+    free_shuffles(docs.sparkSession)
     schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>", *["kept_text string"] * texts, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     whole = joined.where("wanted is null or size(wanted) = 0").select("doc_id", "body", "wanted", F.lit(None).cast("array<long>").alias("gone"), *carry)
     some = joined.where("size(wanted) > 0").join(gone, "doc_id", "left").select("doc_id", "body", "wanted", "gone", *carry)
