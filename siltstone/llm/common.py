@@ -104,12 +104,6 @@ def drop(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._siltstone_path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: executors delete a shuffle's files once the driver has forgotten it, which
-    else may take until long after the tables made from it are written."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def utf8(column: str = "text") -> F.Column:
     """Text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -5,7 +5,7 @@ two documents that share a window share its anchor. One aggregation finds the an
 document; only their smallest and largest doc_id are kept, whatever the number of copies.
 Extension: a document that holds a shared anchor extends it both ways over every placement of a window round it. The
 placements are hashed twice, with independent multipliers over independent word hashes, so that windows count as equal
-by 128 bits (10**13 windows then have a false match with probability 10**-12). One aggregation gives the smallest doc_id
+by 64 and 24 bits (of 10**13 windows, 100 TB of text, 0.2 pairs are then expected to match falsely). One aggregation gives the smallest doc_id
 that holds a window; a window that a smaller doc_id holds too is a repeat, and overlapping repeats merge into maximal
 ones, whose words go. The rule asks for any smaller document, not for one partner, so extending against one other
 document at a time would lose repeats; that is why placements are grouped and not pairs compared.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHashes, WordHashes, cut, drop, free_shuffles, mix, small_batches, utf8, word_hashes
+from .common import RollingHashes, WordHashes, cut, drop, mix, small_batches, utf8, word_hashes
 
 WORDS = 50
 GRAM = 20
@@ -111,7 +111,7 @@ def _extend(size: int, gram: int):
             w = Windows(words, size, gram)
             later = _member(w.anchor, w.doc, _lists(batch.column(3)))
             which = np.nonzero(later | _member(w.anchor, w.doc, _lists(batch.column(2))))[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.doc[which])), pa.array(w.hashes(which)), pa.array(w.checks(which)), pa.array(later[which])], ["doc_id", "window", "check", "later"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.doc[which])), pa.array(w.hashes(which)), pa.array((w.checks(which) & 0xFFFFFF).astype(np.int32)), pa.array(later[which])], ["doc_id", "window", "check", "later"])
 
     return run
 
@@ -165,7 +165,7 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts
     A word goes if a window of `words` consecutive words that covers it also starts in a document with a smaller
     doc_id; all windows are judged on the input. Null texts have no words; texts shorter than a window keep all. Rows
     with a null doc_id lose nothing and take nothing from others. Rows that repeat a doc_id are one document as to
-    what others lose, and lose what smaller ids hold. Windows are compared by 128 bits of hashes. Other columns are
+    what others lose, and lose what smaller ids hold. Windows are compared by 88 bits of hashes. Other columns are
     ignored; an empty table gives an empty table.
     """
     if clash := {"doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"} & set(carry):
@@ -179,13 +179,10 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, texts
     )
     joined = cut(texts_of.join(mine, "doc_id", "left").select("doc_id", "body", "provided", "wanted", *carry), "seeded")
     drop(seeds, shared)
-    free_shuffles(docs.sparkSession)
-    held = cut(joined.where("wanted is not null").select("doc_id", "body", "provided", "wanted").mapInArrow(_extend(words, gram), "doc_id long, window long, check long, later boolean"), "held")
+    held = cut(joined.where("wanted is not null").select("doc_id", "body", "provided", "wanted").mapInArrow(_extend(words, gram), "doc_id long, window long, check int, later boolean"), "held")
     first = cut(held.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "check", "low"), "first")
-    free_shuffles(docs.sparkSession)
     gone = cut(held.where("later").join(first, ["window", "check"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("gone")), "gone")
     drop(held, first)
-    free_shuffles(docs.sparkSession)
     schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>", *["kept_text string"] * texts, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     whole = joined.where("wanted is null or size(wanted) = 0").select("doc_id", "body", "wanted", F.lit(None).cast("array<long>").alias("gone"), *carry)
     some = joined.where("size(wanted) > 0").join(gone, "doc_id", "left").select("doc_id", "body", "wanted", "gone", *carry)
