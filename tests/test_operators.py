@@ -499,7 +499,7 @@ def test_words_that_cancel_out_have_a_vector(spark):
     assert [round(sum(x * x for x in r["embedding"]), 5) for r in rows] == [1, 1, 1, 0, 0]
 
 
-LONG_WORK = ["structure_parse", "passage_titles"]
+LONG_WORK = ["structure_parse", "passage_titles", "structured_chunks"]
 
 
 @pytest.mark.parametrize("name", LONG_WORK)
