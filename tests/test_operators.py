@@ -520,3 +520,11 @@ def test_a_paper_looks_once_for_a_title(monkeypatch):
     prose = "The river was long and it flowed through many lands for years."
     paper = Paper(f"Old Wine\n\n{prose}\n\nQuestions 1-2\nWrite TRUE, FALSE or NOT GIVEN\n1. A.\n2. B.\n\n[Page 2]\nNew Boats\n\n{prose} {prose}\n\nQuestion 3\n3. Say it.")
     assert [p.title for p in paper.passages] == ["Old Wine", "New Boats"] and len(seen) == len(set(seen)) > 4
+
+
+def test_outline_shuffles_once(spark):
+    rows = spark.createDataFrame([("d", 1, 1, 2, "matching", 1), ("d", 1, 1, 2, "matching", 2), ("d", 2, 3, 3, None, None), ("e", 1, 4, 4, None, 4)], "document_id string, passage_number int, question_start int, question_end int, question_type string, number int")
+    found = structure.outline(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r["document_id"]: [(p["passage_number"], [tuple(g) for g in p["groups"]]) for p in r["passages"]] for r in found.collect()}
+    assert got == {"d": [(1, [(1, 2, "matching", 2)]), (2, [(3, 3, None, 0)])], "e": [(1, [(4, 4, None, 1)])]}
