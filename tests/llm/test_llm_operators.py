@@ -646,3 +646,17 @@ def test_whole_pipeline_against_brute_force(spark, small, empty, tmp_path):
         x.sort()
         assert [a for a, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 2048
     assert c.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_reading_is_the_same_without_a_tape():
+    """read() and run() give the same states, for lanes of any length."""
+    from siltstone.llm.langid import ByteGRU, grid
+
+    model = ByteGRU(["a", "b", "c"], seed=5, hidden=4, embed=3)
+    x, there = grid([b"some bytes", b"", b"x", b"others, longer than these"])
+    for d in "fb":
+        plain = [(t, s.copy()) for t, s in model.run(x, there, d)]
+        read = [(t, s.copy()) for t, s in model.read(x, there, d)]
+        assert [t for t, _ in plain] == [t for t, _ in read]
+        for (_, a), (_, b) in zip(plain, read, strict=True):
+            np.testing.assert_allclose(a, b, atol=1e-5)
