@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
-from ..functions.text import collapse, strip
+from ..functions.text import collapse, let, strip
 
 #: What a relationship answers, by kind of question, and what a task's text calls its figure.
 RELATIONS = {"true_false_not_given": {"supports": "TRUE", "contradicts": "FALSE", "absent": "NOT GIVEN"}, "yes_no_not_given": {"supports": "YES", "contradicts": "NO", "absent": "NOT GIVEN"}}
@@ -65,9 +65,9 @@ def _plain(text: Column) -> Column:
 
 def option_label(answer: Column, options: Column) -> Column:
     """options: array of label and text. The one label whose text is in the answer; null for none or several."""
-    said = _plain(answer)
-    hits = F.array_distinct(F.transform(F.filter(options, lambda o: (_plain(o["text"]) != "") & F.contains(said, _plain(o["text"]))), lambda o: F.upper(o["label"])))
-    return F.when((said != "") & (F.size(hits) == 1), F.get(hits, F.lit(0)))
+    named = F.transform(options, lambda o: F.struct(_plain(o["text"]).alias("text"), F.upper(o["label"]).alias("label")))
+    hits = lambda said: F.array_distinct(F.transform(F.filter(named, lambda o: (o["text"] != "") & F.contains(said, o["text"])), lambda o: o["label"]))
+    return let(_plain(answer), lambda said: F.when(said != "", let(hits(said), lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))))))
 
 
 def selected_labels(answer: Column, allowed: Column) -> Column:
@@ -83,11 +83,14 @@ def normalised_answer(kind: Column, segment: Column, number: Column, options: Co
 
 
 def relation_label(kind: Column, related: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for k, known in RELATIONS.items():
-        for said, label in known.items():
-            out = F.when((kind == k) & (related == said), F.lit(label)).otherwise(out)
-    return out
+    def of(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, known in RELATIONS.items():
+            for said, label in known.items():
+                out = F.when((kind == k) & (x == said), F.lit(label)).otherwise(out)
+        return out
+
+    return F.when(kind.isin(*RELATIONS), let(related, of))
 
 
 def focused_source(blocks: DataFrame, key: str, block: str, position: str, required: list[int]) -> DataFrame:
@@ -147,12 +150,14 @@ def replace_answer(text: Column, number: Column, answer: Column, alone: Column)
     """The text with what follows the number's mark on its line replaced by the answer; a single question without a
     mark gets a line of its own in front. Nothing else changes."""
     mark = F.concat(F.lit(rf"(?im)^\s*{G.BULLET}{G.STARS}{G.one_of(*G.ITEM_WORDS)}?\s*"), number.cast("string"), F.lit(rf"\s*{G.any_char(G.NUMBER_ENDS)}\s*{G.STARS}"))
-    at = F.regexp_instr(text, mark)
-    found = F.regexp_substr(text, mark)
-    before = F.substring(text, F.lit(1), at + F.length(found) - 1)
-    rest = F.substring(text, at + F.length(found), F.length(text))
     led = F.concat(F.lit("Question "), number.cast("string"), F.lit(": "), answer, F.lit("\n"), strip(text))
-    return F.when(at > 0, F.concat(before, answer, F.regexp_replace(rest, r"\A[^\n]*", ""))).when(alone, led).otherwise(text)
+
+    def of(x: Column) -> Column:
+        end = x["at"] + F.length(x["found"])
+        rest = F.substring(text, end, F.length(text))
+        return F.when(x["at"] > 0, F.concat(F.substring(text, F.lit(1), end - 1), answer, F.regexp_replace(rest, r"\A[^\n]*", ""))).when(alone, led).otherwise(text)
+
+    return let(F.struct(F.regexp_instr(text, mark).alias("at"), F.regexp_substr(text, mark).alias("found")), of)
 
 
 def normalise_output(rows: DataFrame, text: str = "text", packets: str = "packets") -> DataFrame:
@@ -162,14 +167,18 @@ def normalise_output(rows: DataFrame, text: str = "text", packets: str = "packet
     state = "struct<text:string,adjustments:array<struct<number:int,answer:string,reason:string>>>"
 
     def step(now: Column, packet: Column) -> Column:
+        # each value that is used more than once is bound, or nested calls would work it out hundreds of times
         own = segment_of(now["text"], packet["number"], F.transform(F.col(packets), lambda p: p["number"]))
-        related = relationship(own)
-        mapped = relation_label(packet["kind"], related)
-        by_option = F.when(packet["kind"].isin("multiple_choice", "matching"), option_label(head(own, packet["number"]), packet["options"]))
-        answer = F.when(own != "", F.coalesce(mapped, by_option))
-        new = F.when(answer.isNull(), now["text"]).otherwise(replace_answer(now["text"], packet["number"], answer, F.size(packets) == 1))
-        change = F.struct(packet["number"].alias("number"), answer.alias("answer"), F.when(mapped.isNotNull(), F.lit("relationship_mapping")).otherwise(F.lit("option_text_mapping")).alias("reason"))
-        return F.struct(new.alias("text"), F.when(new != now["text"], F.array_append(now["adjustments"], change)).otherwise(now["adjustments"]).alias("adjustments")).cast(state)
+        mapped = lambda s: F.when(s != "", relation_label(packet["kind"], relationship(s)))
+        by_option = lambda s: F.when((s != "") & packet["kind"].isin("multiple_choice", "matching"), option_label(head(s, packet["number"]), packet["options"]))
+        chosen = lambda s: let(mapped(s), lambda m: F.struct(m.alias("mapped"), F.coalesce(m, by_option(s)).alias("answer")))
+
+        def changed(c: Column) -> Column:
+            new = F.when(c["answer"].isNull(), now["text"]).otherwise(replace_answer(now["text"], packet["number"], c["answer"], F.size(packets) == 1))
+            change = F.struct(packet["number"].alias("number"), c["answer"].alias("answer"), F.when(c["mapped"].isNotNull(), F.lit("relationship_mapping")).otherwise(F.lit("option_text_mapping")).alias("reason"))
+            return let(new, lambda n: F.struct(n.alias("text"), F.when(n != now["text"], F.array_append(now["adjustments"], change)).otherwise(now["adjustments"]).alias("adjustments")).cast(state))
+
+        return let(let(own, chosen), changed)
 
     begin = F.struct(F.col(text).alias("text"), F.array().cast("array<struct<number:int,answer:string,reason:string>>").alias("adjustments")).cast(state)
     return rows.withColumn("__n", F.aggregate(packets, begin, step)).select(*[c for c in rows.columns if c != text], F.col("__n.text").alias(text), F.col("__n.adjustments").alias("adjustments"))
@@ -178,9 +187,8 @@ def normalise_output(rows: DataFrame, text: str = "text", packets: str = "packet
 def segment_of(text: Column, number: Column, numbers: Column) -> Column:
     """segments() of one number as a column: from its mark to the nearest later mark of another requested number."""
     begin = lambda n: F.regexp_instr(text, F.concat(F.lit(r"(?im)^\s*" + G.one_of(*G.ITEM_WORDS) + r"?\s*"), n.cast("string"), F.lit(rf"\s*{G.any_char(G.NUMBER_ENDS)}")))
-    own = begin(number)
-    later = F.array_min(F.filter(F.transform(numbers, begin), lambda x: x > own))
-    cut = F.when(own > 0, F.substring(text, own, F.coalesce(later, F.length(text) + 1) - own)).otherwise(F.lit(""))
+    later = lambda own: F.array_min(F.filter(F.transform(numbers, begin), lambda x: x > own))
+    cut = let(begin(number), lambda own: F.when(own > 0, F.substring(text, own, F.coalesce(later(own), F.length(text) + 1) - own)).otherwise(F.lit("")))
     return F.when(F.size(numbers) == 1, text).otherwise(cut)
 
 

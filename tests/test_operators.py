@@ -499,7 +499,7 @@ def test_words_that_cancel_out_have_a_vector(spark):
     assert [round(sum(x * x for x in r["embedding"]), 5) for r in rows] == [1, 1, 1, 0, 0]
 
 
-LONG_WORK = ["structure_parse", "passage_titles", "structured_chunks"]
+LONG_WORK = ["structure_parse", "passage_titles", "structured_chunks", "answer_rewrite"]
 
 
 @pytest.mark.parametrize("name", LONG_WORK)
@@ -560,3 +560,22 @@ def test_review_asks_each_prompt_once_and_shuffles_nothing(spark, tmp_path):
     got = {r["prompt"]: (r["text"], r["attempt"], len(r["issues"])) for r in made.collect()}
     assert got == {"a": (fine, 0, 0), "b": (fine, 1, 0), "c": (none, 0, 1), "d": (none, 0, 1), None: ("", 0, 2)}
     assert Counter(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == {"a": 1, "b": 1, "b2": 1, "c": 1, "c2": 1, "d": 1, "d2": 1, "": 2}
+
+
+def test_answers_are_rewritten_without_repeated_expressions(spark):
+    """Nested calls bind what they use more than once: a plan with hundreds of patterns was the cost. Unknown kinds, nulls and an unmarked single question."""
+    from siltstone.operators import answers
+
+    schema = "k int, text string, packets array<struct<number:int,kind:string,options:array<struct<label:string,text:string>>>>"
+    wine = [("C", "Sold young"), ("D", "kept")]
+    rows = [
+        (1, "1. maybe\nRelationship: absent\n2. it is KEPT\n3. x", [(1, "true_false_not_given", None), (2, "matching", wine), (3, None, None)]),
+        (2, "sold young", [(4, "multiple_choice", wine)]), (3, "5. sold young, kept", [(5, "multiple_choice", wine), (6, "matching", wine)]), (4, None, [(1, "matching", wine)]),
+    ]
+    out = answers.normalise_output(spark.createDataFrame(rows, schema))
+    assert len(re.findall("regexp|rlike|split", out._jdf.queryExecution().optimizedPlan().toString().lower())) < 60
+    got = {r["k"]: (r["text"], [tuple(a) for a in r["adjustments"]]) for r in out.collect()}
+    assert got == {
+        1: ("1. NOT GIVEN\nRelationship: absent\n2. D\n3. x", [(1, "NOT GIVEN", "relationship_mapping"), (2, "D", "option_text_mapping")]),
+        2: ("Question 4: C\nsold young", [(4, "C", "option_text_mapping")]), 3: ("5. sold young, kept", []), 4: (None, []),
+    }
